@@ -30,25 +30,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows end to end: the words' starts, ends, and each row's first word (one entry more than rows)."""
-    solid = ~SPACE[data]
+def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows end to end, runs of `solid`: their starts, ends, and each row's first run (one entry more than rows)."""
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = edges[(edges > 0) & (edges < len(solid))]
     begins[edges] = solid[edges]
     ends[edges - 1] = solid[edges - 1]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets, "left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data))
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`spans` of the bytes that are not ASCII white space."""
+    return spans(~SPACE[data], offsets)
+
+
+def hash_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix64((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(hash_sums(data), starts, ends)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
