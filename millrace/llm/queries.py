@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, mixing, quality, toxicity
+from . import jaccard, langid, licenses, mixing, quality, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
+def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
@@ -39,6 +43,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_seekable_warc": op2_seekable_warc,
     "op6_license_digest": op6_license_digest,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_quality_rules": op8_quality_rules,
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_seekable_warc": warc.ORACLE,
     "op6_license_digest": licenses.oracle(),
     "op7_poisson_mixing": mixing.ORACLE,
 }
