@@ -49,6 +49,15 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of numbers up to which a join's side is sent whole to every executor; beyond it both sides are shuffled.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A settled table of a few numbers a row, with a broadcast hint only where its counted rows are few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bare(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with an operator's own."""
     return df.select(*[df[n] for n in names])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bare, chunks, discard, flat_bytes, settle
+from .common import bare, chunks, discard, flat_bytes, settle, small
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -159,10 +159,13 @@ def _bound(percent: int, slack: str) -> str:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return settle(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    pairs = settle(pairs, "pairs")
+    firsts = settle(pairs.select(F.col("a").alias("doc_id")).distinct(), "firsts")
+    one = sets.join(small(firsts), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")).join(small(pairs), "b")
+    links = settle(two.join(one, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    discard(pairs, firsts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -182,25 +185,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     # equal sets: one class, named by its least doc_id; partial aggregation takes hot classes
     solid = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = settle(
-        solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "demand", "prefix")).alias("r")).select("digest", "r.*"), "classes"
-    )
-    tokens = classes.select(
-        F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "demand"
+    classes = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "demand", "prefix")).alias("r")).select("r.*")
+    # the tokens' exchange is the largest: three numbers a row
+    packed = F.shiftleft(F.col("n_shingles"), 34) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("demand")
+    tokens = classes.select("doc_id", "n_shingles", "demand", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", F.col("doc_id").alias("doc"), packed.alias("meta")
     )
     own = Window.partitionBy("token")
+    place = F.shiftright(F.col("meta"), 4).bitwiseAND((1 << 30) - 1)
     tokens = (
-        tokens.withColumn("centre", F.min(F.struct("pos", "doc", "n")).over(own))
+        tokens.withColumn("centre", F.min(F.struct(place.alias("pos"), "doc", "meta")).over(own))
         .withColumn("df", F.count(F.lit(1)).over(own))
         .where("df > 1")
-        .select("token", "doc", "n", "pos", "demand", F.col("centre.doc").alias("c_doc"), F.col("centre.n").alias("c_n"), F.col("centre.pos").alias("c_pos"))
-    )
+        .select(
+            "token", "doc", F.shiftright("meta", 34).alias("n"), place.alias("pos"), F.col("meta").bitwiseAND(15).cast("int").alias("demand"),
+            F.col("centre.doc").alias("c_doc"), F.shiftright("centre.meta", 34).alias("c_n"), F.col("centre.pos").alias("c_pos"),
+        )
+    )
     tokens = settle(tokens, "tokens")
-    shared = tokens.select("doc").distinct()
-    sets = settle(
-        docs.join(shared, docs["doc_id"] == shared["doc"], "left_semi").mapInArrow(_set_bytes(width), "doc_id long, tokens binary").dropDuplicates(["doc_id", "tokens"]),
-        "sets",
-    )
+    shared = settle(tokens.select(F.col("doc").alias("doc_id")).distinct(), "shared")
+    sets = settle(docs.join(small(shared), "doc_id", "left_semi").mapInArrow(_set_bytes(width), "doc_id long, tokens binary"), "sets")
 
     # round 1: each token's centre against the others
     named = tokens.select(
@@ -234,8 +238,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     discard(labels, placed, split, left)
 
     final = settle(connected_components(stars.union(rest)), "components")
-    discard(stars, rest, tokens, sets)
-    roots = classes.select("digest", F.col("doc_id").alias("root")).join(final, F.col("root") == F.col("node"), "left")
+    discard(stars, rest, tokens, sets, shared)
+    roots = solid.groupBy("digest").agg(F.min("doc_id").alias("root")).join(final, F.col("root") == F.col("node"), "left")
     roots = settle(roots.select("digest", F.coalesce("component", "root").alias("component_id")), "roots")
     out = signed.join(roots, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, mixing, quality, toxicity, warc
+from . import bpe, jaccard, langid, licenses, mixing, quality, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,20 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: The rank file of op4 in the folder of public tokenizers.
+BPE_RANKS = "byte_bpe_50k.tiktoken"
+
+
+def bpe_vocabulary() -> tuple[list[bytes], str]:
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path(BPE_RANKS)), public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), *bpe_vocabulary())
+
+
 def op6_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
@@ -44,6 +58,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_seekable_warc": op2_seekable_warc,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_license_digest": op6_license_digest,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_quality_rules": op8_quality_rules,
