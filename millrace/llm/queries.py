@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, licenses, mixing, quality, toxicity, warc
+from . import bpe, jaccard, langid, licenses, linededup, mixing, quality, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 #: The rank file of op4 in the folder of public tokenizers.
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -58,6 +63,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_seekable_warc": op2_seekable_warc,
+    "op3_fuzzy_lines": op3_fuzzy_lines,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_license_digest": op6_license_digest,
     "op7_poisson_mixing": op7_poisson_mixing,
