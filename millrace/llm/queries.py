@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, licenses, linededup, mixing, quality, toxicity, warc
+from . import ann, bpe, jaccard, langid, licenses, linededup, mixing, quality, toxicity, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe_vocabulary())
 
 
+def op5_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_seekable_warc": op2_seekable_warc,
     "op3_fuzzy_lines": op3_fuzzy_lines,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_collision_neighbours": op5_collision_neighbours,
     "op6_license_digest": op6_license_digest,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_quality_rules": op8_quality_rules,

@@ -188,6 +188,25 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     return base.mapInArrow(_score(shared), "doc_id long, score double")
 
 
+def _keep(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for chunk in chunks(batches, "text"):
+            column = chunk.column(chunk.schema.get_field_index("text"))
+            if isinstance(m, float):
+                scores = np.full(chunk.num_rows, m)
+            else:
+                scores = m.scores(*m.pairs(*flat_bytes(column)), chunk.num_rows)
+            yield chunk.filter(pa.array(scores < THRESHOLD))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model | float) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below THRESHOLD."""
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. Repeated rows stay; a null doc_id is scored like any other."""
     out = score(docs, fit(docs, labels))
