@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 #: Rows of numbers up to which a join's side is sent whole to every executor; beyond it both sides are shuffled.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

@@ -18,8 +18,11 @@ def _least(pairs: DataFrame) -> DataFrame:
     return settle(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
 
 
-def _signature(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every b has one a, and no a is a b: then each component is a star about its least node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    counted = ends.groupBy("node").agg(F.max("up").alias("up"), F.sum("down").alias("down"))
+    return counted.where("down > 1 or (down > 0 and up > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,8 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = settle(
         edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
     )
-    seen = _signature(now)
-    while seen[0]:
+    while not _are_stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = _least(both)
         # large star: neighbours greater than u go to u's least
@@ -46,9 +48,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         own = least.select(F.col("m").alias("a"), F.col("u").alias("b"))
         now = settle(moved.union(own).where("a != b").distinct(), "edges")
         discard(large, least)
-        last, seen = seen, _signature(now)
-        if seen == last:
-            break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )

@@ -35,6 +35,8 @@ CELLS = 1 << 22
 BLOCKS = 64
 #: Estimated candidates up to which a prefix asks for one shared token; each time as many again (x COST_STEP), one more.
 COST_FREE, COST_STEP, LONGEST = 32, 8, 4
+#: Bits of the parity map that bounds how much two sets differ.
+PARITIES = 512
 
 
 def _sketch_part(width: int):
@@ -131,11 +133,23 @@ def _prefixes(width: int, percent: int, sketch):
     return run
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITIES bits, each the parity of the number of tokens that fall to it.
+
+    Where two sets' bits differ, a token is in one of them only.
+    """
+    counts = np.bincount((tokens >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _set_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             sets = shingle_sets(*flat_bytes(chunk.column(1)), width)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
+            bits = [_parities(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "tokens", "bits"]
+            )
 
     return run
 
@@ -204,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     tokens = settle(tokens, "tokens")
     shared = settle(tokens.select(F.col("doc").alias("doc_id")).distinct(), "shared")
-    sets = settle(docs.join(small(shared), "doc_id", "left_semi").mapInArrow(_set_bytes(width), "doc_id long, tokens binary"), "sets")
+    sets = settle(docs.join(small(shared), "doc_id", "left_semi").mapInArrow(_set_bytes(width), "doc_id long, tokens binary, bits array<long>"), "sets")
 
     # round 1: each token's centre against the others
     named = tokens.select(
@@ -223,8 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     ).where("lo != hi").select("token", F.col("c.component").alias("main"))
     split = settle(split, "split")
     left = settle(placed.join(split, "token").select("token", "main", "doc", "n", "pos", "demand", "component"), "open")
+    asked = settle(left.select("doc").distinct(), "asked")
+    maps = settle(sets.select(F.col("doc_id").alias("doc"), "bits").join(small(asked), "doc", "left_semi").dropDuplicates(["doc"]), "maps")
+    mapped = left.join(small(maps), "doc")
     sides = [
-        left.select("token", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "pos", "demand", "component")]) for s in "ab"
+        mapped.select("token", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "pos", "demand", "component", "bits")]) for s in "ab"
     ]
     crossed = sides[0].where("a_component != main").join(sides[1].drop("main"), "token")
     crossed = crossed.where("a_component != b_component and (b_component = main or a_doc < b_doc)")
@@ -233,9 +250,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         base = F.expr(f"{s}_n - ({percent} * {s}_n + 99) div 100 + 1")
         crossed = crossed.where(F.col(f"{s}_pos") < base + F.col("need") - 1)
     crossed = crossed.where(_bound(percent, "need - 1"))
+    # tokens in one set only are as many as the differing parities at least
+    apart = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(PARITIES // 64))
+    crossed = crossed.where(f"{100 - percent} * (a_n + b_n) >= {100 + percent} * ({apart})")
     counted = crossed.groupBy(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "need").agg(F.count(F.lit(1)).alias("shared"))
     rest = _links(counted.where("shared >= need").select("a", "b").distinct(), sets, percent)
-    discard(labels, placed, split, left)
+    discard(labels, placed, split, left, asked, maps)
 
     final = settle(connected_components(stars.union(rest)), "components")
     discard(stars, rest, tokens, sets, shared)

@@ -22,7 +22,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
-        size = max(n + 1, 2 << 20)
+        size = max(n + 1, 1 << 20)
         for k, base in enumerate((BASE, INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
