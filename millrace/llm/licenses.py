@@ -27,7 +27,6 @@ EQUIVALENT = [
     ("judgement", "judgment"),
     ("labour", "labor"),
     ("licence", "license"),
-    ("merchantability", "merchantability"),
     ("noncommercial", "non commercial"),
     ("organisation", "organization"),
     ("per cent", "percent"),
@@ -56,14 +55,18 @@ COPYRIGHT_LINE = r"(^|\n)[\t\f\v\r ]*(?:[*#/;-]+[\t\f\v\r ]*)?(?:copyright|\(c\)
 NOT_WORD = "[^a-z0-9]+"
 
 
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
 def normalised(text: Column) -> Column:
     """Lower case in ASCII, no copyright lines, words of [a-z0-9] parted by single spaces, one spelling."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, " "), F.lit(" "))
+    # two spaces between words, so that each has its own on either side
+    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, "  "), F.lit(" "))
     for other, one in EQUIVALENT:
-        if other != one:
-            out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
+        out = F.replace(out, F.lit(_spaced(other)), F.lit(_spaced(one)))
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
@@ -93,10 +96,9 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
 def _sql_normalised(text: str) -> str:
     out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '\\1', 'g')"
-    out = f"' ' || regexp_replace({out}, '{NOT_WORD}', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace({out}, '{NOT_WORD}', '  ', 'g') || ' '"
     for other, one in EQUIVALENT:
-        if other != one:
-            out = f"replace({out}, ' {other} ', ' {one} ')"
+        out = f"replace({out}, '{_spaced(other)}', '{_spaced(one)}')"
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 

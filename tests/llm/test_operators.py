@@ -257,6 +257,8 @@ def test_licence_digests(spark):
     got = {r.doc_id: r.license_id for r in licenses.scan(df, licenses.known(spark)).collect()}
     assert got == {1: name, 2: None, 3: None, 4: None, 5: name, 6: None, 7: "Apache-2.0 (notice)"}
     assert licenses.scan(df.limit(0), licenses.known(spark)).count() == 0
+    pair = spark.createDataFrame([("Licence licence sub licence centre",), ("license license, sublicense center",)], "t string")
+    assert pair.select(licenses.normalised(F.col("t"))).distinct().count() == 1
 
 
 # mixing
