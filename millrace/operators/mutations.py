@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import documents as docfn
 from ..functions.text import is_blank, older_than
@@ -216,7 +215,3 @@ def toggled_state(label: Column) -> Column:
     """PJ9: closing what is open, opening the rest."""
     return F.when(F.lower(label) == "open", 1).otherwise(0)
 
-
-def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    spot = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(spot)).where("_n = 1").drop("_n")
