@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +31,18 @@ def extract(files: DataFrame, provider: Callable, schema: str) -> DataFrame:
     a service or recorded answers, is the caller's.
     """
     return files.select("path", "content").mapInPandas(provider, schema)
+
+
+def with_retry(call: Callable, retries: int = 3, first_delay: float = 2.0, transient: tuple = (OSError,), sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """ST6: the call with `retries` repeats of transient failures, after delays that double, with jitter."""
+
+    def run(*args, **kwargs):
+        for attempt in range(retries + 1):
+            try:
+                return call(*args, **kwargs)
+            except transient:
+                if attempt == retries:
+                    raise
+                sleep(first_delay * 2**attempt * random.uniform(0.8, 1.2))
+
+    return run
