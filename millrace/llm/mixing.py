@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Of the counts, when no weights are given: a source's weight is its size to this power.
 TEMPERATURE = 0.5
 SEED = "mix-1"
+#: Sources up to which their rates are sent to every executor, so that texts need not meet by source.
+FEW_SOURCES = 10_000
 
 
 def unit_hash(seed: str, *parts: Column) -> Column:
@@ -37,7 +39,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         for name, value in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
     sizes = sizes.withColumn("weight", weight)
-    whole = sizes.agg(F.sum("n"), F.sum("weight")).first()  # two numbers
+    whole = sizes.agg(F.sum("n"), F.sum("weight"), F.count(F.lit(1))).first()  # three numbers
     all_n, all_w = whole[0] or 0, whole[1] or 0.0
     wanted = float(all_n if total is None else total)
     rate = F.col("weight") / F.lit(all_w) * F.lit(wanted) / F.col("n") if all_w > 0 else F.lit(0.0)
@@ -54,7 +56,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         ),
         lambda a: a["cdf"],
     )
-    return out.withColumn("cdf", F.when(F.col("rate") > 0, terms).otherwise(F.array(F.lit(1.0))))
+    out = out.withColumn("cdf", F.when(F.col("rate") > 0, terms).otherwise(F.array(F.lit(1.0))))
+    return F.broadcast(out) if whole[2] <= FEW_SOURCES else out
 
 
 def mix(
@@ -77,19 +80,17 @@ def mix(
     added = {"copy_no", "shuffle_key", "_mix_source", "_mix_cdf"}
     if extra and added & set(docs.columns):
         raise ValueError(f"columns are taken: {sorted(added & set(docs.columns))}")
-    table = rates(docs, weights, total, source).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
-    # a row for each source: adaptive execution broadcasts it when it is small by its measured size
+    table = rates(docs, weights, total, source)
     point = unit_hash(seed, F.col(doc_id))
-    joined = docs.join(table, docs[source].eqNullSafe(table["_mix_source"]), "inner")
+    joined = docs.join(table.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf")), F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
     count = F.size(F.filter("_mix_cdf", lambda c: c <= point))
     repeated = joined.withColumn("_mix_n", count).where("_mix_n > 0")
     repeated = repeated.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
     repeated = repeated.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # ranges of a hash's first digits are even, so no sampling pass over the texts is needed
-    part = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
-    out = repeated.withColumn("_mix_part", part)
-    out = out.repartitionByRange(n, "_mix_part").sortWithinPartitions("shuffle_key", "copy_no")
+    # equal ranges of a hash's first digits hold equally many rows, so no sampling pass over the texts is needed
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * n / float(2**32)).cast("int")
+    out = repeated.withColumn("_mix_part", part).repartitionById(n, F.col("_mix_part")).sortWithinPartitions("shuffle_key", "copy_no")
     return out.select(*[F.col(c) for c in docs.columns], *([F.col("copy_no"), F.col("shuffle_key")] if extra else []))
 
 
