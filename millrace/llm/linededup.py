@@ -1,9 +1,11 @@
 """Fuzzy deduplication of lines over a whole corpus by MinHash.
 
 Lines (lower case, stripped) that are equal are one class. Classes get
-one-permutation MinHash signatures of their character shingles, bands of the
-signatures meet in groups, a group's lines are compared with two centres by
-exact Jaccard similarity, and connected components of the links keep the line
+one-permutation MinHash signatures of their character shingles, and bands of
+the signatures meet in groups. A group's lines are first compared with one
+centre by exact Jaccard similarity; then all pairs of a group that these links
+leave in different components are, but for those that the sizes and parity
+maps of their sets rule out. Connected components of the links keep the line
 that comes first by (doc_id, line number). All other lines of a component go.
 """
 
@@ -26,6 +28,9 @@ SHINGLE, MIN_CHARS = 8, 40
 PERCENT = 80
 #: Bands of rows of a signature: a pair of similarity 0.8 shares one with probability 0.985, of 0.9 with 0.9999.
 BINS, BANDS, ROWS = 32, 8, 4
+#: Bits of the parity map that bounds how much two shingle sets differ, in columns of 64.
+PARITIES = 256
+MAPS = [f"p{k}" for k in range(PARITIES // 64)]
 
 
 def _lines(text: str | None) -> list[str]:
@@ -68,6 +73,24 @@ def signatures(lines: list[str]) -> np.ndarray:
     return keys
 
 
+def set_sizes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of different shingles of each line, and its parity map.
+
+    A bit is the parity of the number of shingles that fall to it: where two
+    lines' bits differ, a shingle is in one of them only.
+    """
+    hashes, offsets = _shingles(lines)
+    owner = np.repeat(np.arange(len(lines)), np.diff(offsets))
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    bits = owner * PARITIES + (hashes >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(bits, minlength=len(lines) * PARITIES).astype(np.uint8) & 1
+    return np.bincount(owner, minlength=len(lines)), np.packbits(odd.reshape(len(lines), PARITIES), axis=1).view(np.int64)
+
+
 def jaccard_at_least(one: str, two: str, percent: int = PERCENT) -> bool:
     a = {one[k : k + SHINGLE] for k in range(len(one) - SHINGLE + 1)}
     b = {two[k : k + SHINGLE] for k in range(len(two) - SHINGLE + 1)}
@@ -115,25 +138,52 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array(list(texts.values()), pa.string())], names=["key", "line"])
 
 
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks(batches, "line"):
+        sizes, maps = set_sizes(chunk.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(sizes, pa.int64()), *[pa.array(maps[:, k].copy()) for k in range(len(MAPS))]], names=["key", "line", "n", *MAPS])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [jaccard_at_least(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) those that are similar enough, settled."""
-    one = texts.select(F.col("key").alias("a"), F.col("line").alias("x"))
-    two = texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return settle(both.mapInArrow(_verify, "a binary, b binary"), "line-links")
+def _side(texts: DataFrame, side: str, *columns: str) -> DataFrame:
+    """The named columns and those of `_may_link` under names of this side."""
+    return texts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", *columns, "n", *MAPS)])
+
 
+def _may_link() -> str:
+    """What sizes and parity maps leave possible; no pair that is similar enough fails it."""
+    apart = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in MAPS)
+    return f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n) and {100 - PERCENT} * (a_n + b_n) >= {100 + PERCENT} * ({apart})"
 
-def _other_pairs(grouped: DataFrame) -> DataFrame:
-    """The last by (component, key) of each group of several components, with the rows of the others."""
-    centres = settle(grouped.groupBy("band").agg(F.max(F.struct("component", "key")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band", "c"), "centres")
-    met = grouped.join(centres, "band").where(F.col("component") != F.col("c.component"))
-    return met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) those that are similar enough, settled."""
+    one = _side(texts, "a", "line")
+    two = _side(texts, "b", "line")
+    both = pairs.join(one, F.col("a") == F.col("a_key")).join(two, F.col("b") == F.col("b_key")).where(_may_link())
+    return settle(both.select("a", "b", "a_line", "b_line").mapInArrow(_verify, "a binary, b binary"), "line-links")
+
+
+def _other_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of a group that are in different components and may link."""
+    parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
+    # the largest component of a group is on one side only, so that the lines of a large one don't meet each other
+    open_ = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("c"), F.count(F.lit(1)).alias("parts"))
+    open_ = settle(open_.where("parts > 1").select("band", F.col("c.component").alias("main")), "open")
+    left = placed.join(open_, "band").join(texts.select("key", "n", *MAPS), "key")
+    left = settle(left, "left")
+    one = _side(left.where("component != main"), "a", "component", "band", "main")
+    two = _side(left, "b", "component", "band")
+    met = one.join(two, F.col("a_band") == F.col("b_band"))
+    met = met.where("a_component != b_component and (b_component = a_main or a_key < b_key)").where(_may_link())
+    pairs = settle(met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct(), "pairs")
+    discard(open_, left)
+    return pairs
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -149,15 +199,17 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     first = settle(grouped.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     wanted = settle(grouped.select("key").distinct(), "wanted")
     texts = docs.select("text").mapInArrow(_line_texts, "key binary, line string").join(small(wanted), "key", "left_semi")
-    texts = settle(texts.dropDuplicates(["key"]), "texts")
+    measured = "key binary, line string, n long, " + ", ".join(f"{p} long" for p in MAPS)
+    texts = settle(texts.dropDuplicates(["key"]).select("key", "line").mapInArrow(_measure, measured), "texts")
     links = _links(first, texts)
     labels = settle(connected_components(links), "labels")
-    # what its first centre did not bind is compared with another
+    # what the centres did not bind is compared pair by pair
     placed = grouped.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     placed = settle(placed.select("band", "key", "component"), "placed")
-    more = _links(_other_pairs(placed), texts)
+    others = _other_pairs(placed, texts)
+    more = _links(others, texts)
     components = settle(connected_components(links.union(more)), "components")
-    discard(grouped, first, wanted, texts, links, labels, placed, more)
+    discard(grouped, first, wanted, texts, links, labels, placed, others, more)
 
     places = signed.select("key", F.struct("doc_id", "line").alias("place"))
     named = places.groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last"))

@@ -130,6 +130,22 @@ def test_lines_equal_brute_force(spark):
         linededup.dedup(df.withColumn("n_lines", F.lit(1)))
 
 
+def test_lines_of_one_stem_all_meet(spark):
+    """Lines of one long stem share bands with hundreds of others; each still finds its own copy."""
+    own = random.Random(11)
+    chars = lambda n: "".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    stem, rows, lines = chars(100), [], []
+    for k in range(400):
+        tail = chars(20)
+        lines += [stem + tail, stem + tail[:-6] + chars(6)]
+        rows += [(2 * k, lines[-2]), (2 * k + 1, lines[-1])]
+    assert all(linededup.jaccard_at_least(a, b) for a, b in zip(lines[::2], lines[1::2], strict=True))
+    keys = linededup.signatures(lines)
+    met = {2 * k + 1 for k in range(400) if (keys[2 * k] == keys[2 * k + 1]).any()}
+    gone = {r.doc_id for r in linededup.duplicate_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(met) > 390 and met <= gone and not any(k % 2 == 0 for k in gone)
+
+
 # language
 
 
