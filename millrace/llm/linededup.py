@@ -1,6 +1,7 @@
 """Fuzzy deduplication of lines over a whole corpus by MinHash.
 
-Lines (lower case, stripped) that are equal are one class. Classes get
+Lines (lower case, stripped) that are equal are one class, however short.
+Classes of SHINGLE characters or more get
 one-permutation MinHash signatures of their character shingles, and bands of
 the signatures meet in groups. A group's lines are first compared with one
 centre by exact Jaccard similarity; then all pairs of a group that these links
@@ -23,8 +24,8 @@ from .common import SMALL_ROWS, bare, chunks, discard, mix64, settle, small
 from .components import connected_components
 from .shingles import hash_sums, span_hashes
 
-#: Characters of a shingle; lines of fewer characters than MIN_CHARS are left alone.
-SHINGLE, MIN_CHARS = 8, 40
+#: Characters of a shingle, a shorter line being one of its own; lines of fewer characters than MIN_CHARS (blank ones) are left alone.
+SHINGLE, MIN_CHARS = 8, 1
 PERCENT = 80
 #: Bands of rows of a signature: a pair of similarity 0.8 shares one with probability 0.985, of 0.9 with 0.9999.
 BINS, BANDS, ROWS = 32, 8, 4
@@ -92,8 +93,8 @@ def set_sizes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaccard_at_least(one: str, two: str, percent: int = PERCENT) -> bool:
-    a = {one[k : k + SHINGLE] for k in range(len(one) - SHINGLE + 1)}
-    b = {two[k : k + SHINGLE] for k in range(len(two) - SHINGLE + 1)}
+    a = {one[k : k + SHINGLE] for k in range(max(1, len(one) - SHINGLE + 1))}
+    b = {two[k : k + SHINGLE] for k in range(max(1, len(two) - SHINGLE + 1))}
     both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -109,7 +110,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(line) < MIN_CHARS:
                     continue
                 key = xxhash.xxh3_128_digest(line.encode())
-                if key not in seen:
+                if len(line) >= SHINGLE and key not in seen:
                     seen.add(key)
                     fresh.append(line)
                     fresh_at.append(len(keys))
@@ -133,7 +134,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[bytes, str] = {}
         for text in chunk.column(0).to_pylist():
             for line in _lines(text):
-                if len(line) >= MIN_CHARS:
+                if len(line) >= SHINGLE:
                     texts[xxhash.xxh3_128_digest(line.encode())] = line
         yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array(list(texts.values()), pa.string())], names=["key", "line"])
 
@@ -243,8 +244,8 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame) -> DataFrame:
     """`docs` with the duplicate lines taken out of text, and n_lines, n_removed.
 
-    Lines are what "\\n" parts; those shorter than MIN_CHARS after stripping
-    are never removed. A null text stays null, with no lines; an empty one has
+    Lines are what "\\n" parts; those blank after stripping are never removed,
+    those of fewer than SHINGLE characters only as equals of another. A null text stays null, with no lines; an empty one has
     one line. Rows that repeat a doc_id are one document; those of a null
     doc_id stay as they are. All columns are kept; docs must not have
     columns n_lines, n_removed or _removed.

@@ -146,6 +146,14 @@ def test_lines_of_one_stem_all_meet(spark):
     assert len(met) > 390 and met <= gone and not any(k % 2 == 0 for k in gone)
 
 
+def test_short_lines_are_exact_classes(spark):
+    rows = [(1, "yes\n\nMIT License\n} "), (2, "Yes\nno\n\n mit license"), (3, "}\n\nyes yes"), (4, "no"), (5, "Released under the MIT license.")]
+    rows += [(6, "released under the mit license."), (7, "released under the bsd license.")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {1: (rows[0][1], 0), 2: ("no\n", 2), 3: ("\nyes yes", 1), 4: ("", 1), 5: (rows[4][1], 0), 6: ("", 1), 7: (rows[6][1], 0)}
+    assert got == want
+
+
 # language
 
 
