@@ -1,15 +1,17 @@
 """Nearest neighbours by inner product, with collision-counting hashing.
 
-Vectors are dealt to shards by a hash of their ids. A shard keeps, for each of
-many random projections, its vectors sorted by the projected value. A query
-opens a window about its own value in every array and widens all of them
-together (virtual rehashing: each round's window is a multiple of the first);
-a vector that lies in enough windows has collided often enough and is verified
-by its exact inner product. The shard stops when enough vectors were verified
-or the best k are nearer than what the windows still leave out can be.
+Vectors are dealt to shards by a hash of their ids, and a shard's vectors to
+parts by their length. A part keeps, for each of many random projections, its
+vectors sorted by the projected value. A query opens a window about its own
+value in every array and widens all of them together (virtual rehashing: each
+round's window is a multiple of the first); a vector that lies in enough
+windows has collided often enough and is verified by its exact inner product.
+A query is done with a part when every vector was verified, or when the best k
+are so near that a nearer vector would have collided often enough but for a
+chance of MISSED. Parts too short to beat the best k are left out exactly.
 
 Inner products become distances by one more coordinate that gives every
-vector the same length.
+vector of a part the same length.
 """
 
 from __future__ import annotations
@@ -34,11 +36,30 @@ PROJECTIONS, COLLISIONS, WIDEN = 128, 0.65, 1.08
 PAGES, CACHED_ROWS = 256, 32
 #: Half of the first round's window, in lengths of the difference of two unrelated vectors.
 FIRST_WIDTH = 0.8
-#: The share of a shard, and multiples of k, that are verified at least before a query stops.
-VERIFY_SHARE, VERIFY_K = 0.12, 12
+#: The chance that a vector as near as the k-th best has not collided often enough when a query stops.
+MISSED = 0.05
+#: Squared lengths of a part's vectors are more than the largest divided by this.
+PART_RATIO = 4.0
 SEED = 7
 
 
+def stop_width() -> float:
+    """The half window, in distances of the k-th best, at which a query stops.
+
+    A vector at distance r is in a window of half width w with probability
+    p = erf(w / (r sqrt 2)); of PROJECTIONS such trials fewer than are needed
+    succeed with probability MISSED.
+    """
+    need = math.ceil(COLLISIONS * PROJECTIONS)
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        p = math.erf(mid / math.sqrt(2))
+        missed = sum(math.comb(PROJECTIONS, j) * p**j * (1 - p) ** (PROJECTIONS - j) for j in range(need))
+        low, high = (mid, high) if missed > MISSED else (low, mid)
+    return high
+
+
 class Shard:
     """An index over vectors: ids (ascending) and rows of doubles."""
 
@@ -57,16 +78,23 @@ class Shard:
         self.page = np.empty((PROJECTIONS, n), np.uint8)
         np.put_along_axis(self.page.T, order, (np.arange(n) * PAGES // n).astype(np.uint8)[:, None], axis=0)
 
-    def search(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query (a row) the positions of the verified vectors, k at least where there are so many."""
+    def search(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[np.ndarray]:
+        """For each query (a row) the positions of the verified vectors.
+
+        floors: each query's k-th best inner product elsewhere, -inf where
+        there are fewer; it is raised to the k-th best here and there.
+        """
         n, d = self.rows.shape
         # the order of inner products does not depend on a query's length
-        scaled = queries * (math.sqrt(self.reach) / np.sqrt((queries * queries).sum(1)))[:, None]
-        centres = (scaled @ self.draws[:d]).T
-        want = min(n, max(k, VERIFY_K * k, math.ceil(VERIFY_SHARE * n)))
+        factor = math.sqrt(self.reach) / np.sqrt((queries * queries).sum(1))
+        centres = ((queries * factor[:, None]) @ self.draws[:d]).T
         need = math.ceil(COLLISIONS * PROJECTIONS)
-        found: list[np.ndarray | None] = [None] * len(queries)
-        active = np.arange(len(queries))
+        stop = stop_width()
+        found = [np.zeros(0, np.int64) for _ in queries]
+        best = [np.full(k, floor) for floor in floors]
+        seen = np.zeros((len(queries), n), bool)
+        # no inner product here is larger than that of the longest vector in the query's direction
+        active = np.flatnonzero(floors <= self.reach / factor * (1 + 1e-9))
         width = math.sqrt(2 * self.reach) * FIRST_WIDTH
         while len(active):
             left_over = []
@@ -85,16 +113,32 @@ class Shard:
                     np.less_equal(away, (last - first).astype(np.uint8)[:, None], out=hit)
                     np.add(counts, hit.view(np.uint8), out=counts)
                 for i, row, done in zip(some.tolist(), counts, everything.tolist(), strict=True):
-                    hits = np.flatnonzero(row >= need)
-                    if len(hits) >= want or done:
-                        found[i] = hits
-                    else:
+                    fresh = np.flatnonzero((row >= need) & ~seen[i])
+                    if len(fresh):
+                        seen[i, fresh] = True
+                        found[i] = np.concatenate((found[i], fresh))
+                        both = np.concatenate((best[i], self.rows[fresh] @ queries[i]))
+                        best[i] = np.partition(both, len(both) - k)[len(both) - k :]
+                        floors[i] = best[i].min()
+                    apart = math.sqrt(max(0.0, 2 * (self.reach - factor[i] * floors[i])))
+                    if not done and len(found[i]) < n and width < stop * apart:
                         left_over.append(i)
             active = np.array(left_over, int)
             width *= WIDEN
         return found
 
 
+def parts(rows: np.ndarray) -> list[np.ndarray]:
+    """Positions of the rows of each part, the longest vectors first, ascending within a part."""
+    squares = (rows * rows).sum(1)
+    out, left = [], np.arange(len(rows))
+    while len(left):
+        near = squares[left] * PART_RATIO > squares[left].max()
+        out.append(left[near])
+        left = left[~near]
+    return out
+
+
 def _index_and_search(k: int):
     def run(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         ids = np.concatenate([c.to_numpy() for c in vectors.column("vec_id").chunks]) if vectors.num_rows else np.zeros(0, np.int64)
@@ -102,20 +146,26 @@ def _index_and_search(k: int):
         if len(ids) and queries.num_rows:
             rows = np.array(vectors.column("vector").to_pylist(), np.float64)
             order = np.argsort(ids, kind="stable")
-            shard = Shard(ids[order], rows[order])
+            ids, rows = ids[order], rows[order]
             asked = np.array(queries.column("vector").to_pylist(), np.float64)
-            for query_id, q, found in zip(queries.column("query_id").to_pylist(), asked, shard.search(asked, k + 1), strict=True):
-                found = found[shard.ids[found] != query_id]
-                scores = shard.rows[found] @ q
+            floors = np.full(len(asked), -np.inf)
+            met: list[list[np.ndarray]] = [[] for _ in asked]
+            for part in parts(rows):
+                for own, found in zip(met, Shard(ids[part], rows[part]).search(asked, k + 1, floors), strict=True):
+                    own.append(part[found])
+            for query_id, q, own in zip(queries.column("query_id").to_pylist(), asked, met, strict=True):
+                found = np.concatenate(own)
+                found = found[ids[found] != query_id]
+                scores = rows[found] @ q
                 if len(found) > k:
                     # a little more than k by the fast product; the exact one decides
                     cut = np.partition(scores, len(scores) - k)[len(scores) - k]
                     near = scores >= cut - 1e-9 * max(1.0, abs(cut))
                     found, scores = found[near], scores[near]
-                exact = np.array([math.fsum(x) for x in (shard.rows[found] * q).tolist()])
-                best = np.lexsort((shard.ids[found], -exact))[:k]
+                exact = np.array([math.fsum(x) for x in (rows[found] * q).tolist()])
+                best = np.lexsort((ids[found], -exact))[:k]
                 out_q += [query_id] * len(best)
-                out_v += shard.ids[found[best]].tolist()
+                out_v += ids[found[best]].tolist()
                 out_s += exact[best].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 

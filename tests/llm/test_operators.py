@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,25 @@ def test_neighbours_of_few_and_none(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("long", [1.0, 50.0])
+def test_neighbours_stop_when_safe(long):
+    """Recall holds where near vectors are no nearer than the stopping share reaches, and beside one long vector."""
+    gen = np.random.default_rng(4)
+    x = gen.normal(size=(2000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[3] *= long
+    asked = np.arange(0, 2000, 20)
+    vectors = pa.table({"vec_id": np.arange(2000), "vector": x.tolist()})
+    found = ann._index_and_search(20)(None, vectors, pa.table({"query_id": asked, "vector": x[asked].tolist()})).to_pydict()
+    hits = 0
+    for q in asked.tolist():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        got = {v for i, v in zip(found["query_id"], found["vec_id"], strict=True) if i == q}
+        hits += len(got & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (20 * len(asked)) >= 0.97
+
+
 # licences
 
 
