@@ -26,6 +26,7 @@ class Workspace:
         if not tenant or not tenant.strip():
             raise ValueError("a tenant is needed")
         self.spark, self.folder, self.tenant = spark, folder.rstrip("/"), tenant
+        self._seen: dict[str, int | None] = {}
 
     # tables
 
@@ -42,17 +43,16 @@ class Workspace:
         return made
 
     def table(self, name: str) -> DataFrame:
-        """SC1: all tenants' rows."""
+        """SC1: all tenants' rows of the latest version, on which the next commit builds."""
         versions = self._versions(name)
-        latest = versions.latest()
+        latest = self._seen[name] = versions.latest()
         return schemas.empty(self.spark, name) if latest is None else versions.read(latest)
 
     def commit(self, name: str, df: DataFrame) -> int:
+        """Write the version after the one that was read; Conflict if another writer did so meanwhile."""
         versions = self._versions(name)
-        latest = versions.latest()
-        number = 0 if latest is None else latest + 1
-        versions.write(df.select(*schemas.TABLES[name][0].names), number)
-        return number
+        base = self._seen[name] if name in self._seen else versions.latest()
+        return versions.append(df.select(*schemas.TABLES[name][0].names), base)
 
     # reading
 
@@ -163,7 +163,7 @@ class Workspace:
 
     def log_calls(self, calls: DataFrame) -> int:
         """M16."""
-        return self.commit("log", mutations.insert(self.table("log"), housekeeping.log_rows(calls), ["created", "tenant"]))
+        return self.commit("log", mutations.insert(self.table("log"), housekeeping.log_rows(calls), housekeeping.ORDER))
 
     # reconciliation
 

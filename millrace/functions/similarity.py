@@ -27,8 +27,3 @@ def edit_score(a: Column, b: Column) -> Column:
 def band(score: Column) -> Column:
     """exact: 100; high: 90 to 99; new: below."""
     return F.when(score >= 100, EXACT).when(score >= 90, HIGH).otherwise(LOW)
-
-
-def length_floor(length: Column, least: int) -> Column:
-    """The shortest text that can score `least` against one of this length, when that is the longer."""
-    return F.ceil(length * least / 100)

@@ -16,10 +16,6 @@ def same_text(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
 
 
-def or_empty(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
-
-
 def extension(path: Column) -> Column:
     """A path's last extension with its dot, in lower case; '' if none."""
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
@@ -47,7 +43,9 @@ def iso_date(c: Column) -> Column:
 
 
 def whole_seconds(milliseconds: Column) -> Column:
-    return F.floor(milliseconds / 1000).cast("long")
+    """Whole seconds of whole milliseconds, without a detour by doubles."""
+    ms = milliseconds.cast("long")
+    return F.call_function("div", ms - F.pmod(ms, F.lit(1000)), F.lit(1000))
 
 
 def older_than(created: Column, as_of: Column, days: int) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import whole_seconds
 
 
+#: The order in which calls get their ids; equal rows are interchangeable.
+ORDER = ["created", "tenant", "tokens_in", "tokens_out", "cost", "state", "message", "duration"]
+
+
 def log_rows(calls: DataFrame) -> DataFrame:
     """One row for each call (tenant, created, tokens_in, tokens_out, cost, error, message, milliseconds).
 

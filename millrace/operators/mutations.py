@@ -10,27 +10,29 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import documents as docfn
 from ..functions.text import is_blank, older_than
+from ..sources.tables import settle
 from .scans import document_predicate, first_per
 
 
 def numbered(df: DataFrame, order: list[str], start: int, column: str = "id") -> DataFrame:
     """df with consecutive ids after `start` in a total order.
 
-    Rows are dealt by range and numbered within each range; only the ranges'
-    sizes, one number each, pass the driver.
+    Rows are dealt by range, numbered within each range and settled, so that
+    a row's range and number are data: no later job can deal them otherwise.
+    Of the ranges only their sizes meet, a row for each.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    spread = spread.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND((1 << 33) - 1))
-    sizes = sorted((r["_part"], r["n"]) for r in spread.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = [], start
-    for part, n in sizes:
-        offsets += [F.lit(part), F.lit(total)]
-        total += n
-    base = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(start)
-    return spread.withColumn(column, (base + F.col("_row") + 1).cast("long")).drop("_m", "_part", "_row")
+    m = F.monotonically_increasing_id()
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", m)
+    spread = settle(spread.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m"), "numbered")
+    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))  # a row for each task's range
+    out = spread.join(F.broadcast(bases), "_part")
+    return out.withColumn(column, (F.lit(start) + F.col("_base") + F.col("_row") + 1).cast("long")).drop("_part", "_row", "_base")
 
 
 def insert(state: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
@@ -40,9 +42,14 @@ def insert(state: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def update(state: DataFrame, changes: DataFrame, tenant: str | None = None) -> DataFrame:
-    """M2: rows of changed ids get every column of the change but `created` (and keep the tenant's guard)."""
+    """M2: rows of changed ids get every column of the change but `created` (and keep the tenant's guard).
+
+    Of changes that repeat an id the last by `ordinal` counts, where there is
+    one, else the greatest by its columns.
+    """
     writable = [c for c in state.columns if c not in ("id", "created")]
-    new = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in writable])
+    last = ["ordinal"] if "ordinal" in changes.columns else writable
+    new = first_per(changes, ["id"], [F.desc(c) for c in last]).select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in writable])
     joined = state.join(new, "id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     if tenant is not None:
@@ -96,9 +103,8 @@ def _edit_lines(docs: DataFrame, edits: DataFrame, change) -> DataFrame:
 
 
 def _edits(edits: DataFrame) -> DataFrame:
-    """Of (tenant, doc_id, line) one for each document: the last by `ordinal`, where there is one."""
-    if "ordinal" in edits.columns:
-        edits = first_per(edits, ["tenant", "doc_id"], [F.desc("ordinal")])
+    """Of (tenant, doc_id, line) one for each document: the last by `ordinal`, where there is one, else the greatest line."""
+    edits = first_per(edits, ["tenant", "doc_id"], [F.desc("ordinal" if "ordinal" in edits.columns else "line")])
     return edits.select(F.col("tenant").alias("_tenant"), F.col("doc_id").alias("_doc"), F.col("line").alias("_edit"))
 
 

@@ -6,7 +6,7 @@ Lines: line_id, supplier, article (nullable texts), quantity (decimal) and an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -108,15 +108,18 @@ def work_list(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def supplier_batches(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
-    """A2, PJ2: for each supplier both its lists, in order; null ids and articles become ''."""
+    """A2, PJ2: for each supplier both its lists, in order; null ids and articles become ''.
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        item = F.struct("ordinal", F.coalesce("line_id", F.lit("")).alias("id"), F.coalesce("article", F.lit("")).alias("article"), "quantity")
-        lists = df.where(~is_blank(F.col("supplier"))).groupBy("supplier").agg(F.sort_array(F.collect_list(item)).alias(name))
-        return lists.withColumn(name, F.transform(name, lambda x: x.dropFields("ordinal")))
-
-    both = side(deliveries, "deliveries").join(side(invoices, "invoices"), "supplier", "full_outer")
-    return both.select("supplier", *[F.coalesce(c, F.array()).alias(c) for c in ("deliveries", "invoices")])
+    One exchange by supplier for both sides. A supplier's lists are one row by
+    definition; `work_list` names the suppliers where that is too much.
+    """
+    item = F.struct("ordinal", F.coalesce("line_id", F.lit("")).alias("id"), F.coalesce("article", F.lit("")).alias("article"), "quantity")
+    both = None
+    for df, side in ((deliveries, 0), (invoices, 1)):
+        rows = df.where(~is_blank(F.col("supplier"))).select("supplier", F.lit(side).alias("side"), item.alias("item"))
+        both = rows if both is None else both.unionByName(rows)
+    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("item")))), lambda x: x.dropFields("ordinal"))
+    return both.groupBy("supplier").agg(of(0).alias("deliveries"), of(1).alias("invoices"))
 
 
 def flag_matched(lines: DataFrame, matched_ids: DataFrame) -> DataFrame:
@@ -124,8 +127,3 @@ def flag_matched(lines: DataFrame, matched_ids: DataFrame) -> DataFrame:
     ids = matched_ids.select(F.col(matched_ids.columns[0]).alias("_id")).distinct().withColumn("_hit", F.lit(True))
     joined = lines.join(ids, lines["line_id"].eqNullSafe(ids["_id"]), "left")
     return joined.withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
-
-
-def ordinal(*columns: str | Column) -> Column:
-    """A total order from columns."""
-    return F.struct(*columns)

@@ -34,9 +34,14 @@ def articles_of_named(articles: DataFrame, suppliers: DataFrame, tenant: str, de
     return of_tenant(articles, tenant).join(one, "supplier_id", "left_semi").orderBy("description", "id")
 
 
+def users_of_email(users: DataFrame, email: str) -> DataFrame:
+    """SC5: the first user of an address, which is lowered."""
+    return users.where(F.col("email") == F.lit(email.lower())).orderBy("id").limit(1)
+
+
 def user_by_email(users: DataFrame, email: str) -> dict:
     """SC5: the user of an address; LookupError if there is none."""
-    row = users.where(F.col("email") == F.lit(email.lower())).orderBy("id").first()
+    row = users_of_email(users, email).first()
     if row is None:
         raise LookupError(email)
     return row.asDict()
@@ -68,6 +73,11 @@ def legacy_by_sender(docs: DataFrame, sender: str, one_sided: bool = False) -> D
     return docs.where((column if one_sided else F.lower(column)) == F.lit(sender.lower()))
 
 
+def rows_of_master(lines: DataFrame, master_id: str) -> DataFrame:
+    """SC10: a document's lines by the id that they name."""
+    return lines.where(F.col("master_id") == F.lit(master_id))
+
+
 def legacy_one(docs: DataFrame, sender: str, number: str, date: str, one_sided: bool = False) -> DataFrame:
     """SC9: the first of those of this number and date."""
     doc = F.col("content.document")
@@ -94,7 +104,3 @@ def recent_log(log: DataFrame, tenant: str | None = None, rows: int = 1000) -> D
     """L1, L2: the latest entries first, ids break ties."""
     out = log if tenant is None else of_tenant(log, tenant)
     return out.orderBy(F.desc("created"), F.desc("id")).limit(rows)
-
-
-def without_blank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(~is_blank(F.col(column)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from ..operators import housekeeping, matching, mutations, reconcile, scans
 from ..sources import invoices as xml
 from ..sources import star
 from ..streaming.ingest import ingest
-from ..sources.tables import Versions, read
+from ..sources.tables import Versions, read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -436,11 +435,11 @@ def usage_by_tenant(spark, folder):
     return housekeeping.usage(log).join(tokens, "tenant").select("tenant", "calls", "failures", "tokens")
 
 
-@query("SELECT event_id, lower('/drop/' || event_type || '.XML')[-4:] AS ext, user_id::VARCHAR || ' ' AS padded, event_type = '' AS blank, (floor(value * 1000 / 1000))::BIGINT AS seconds FROM events")
+@query("SELECT event_id, lower('/drop/' || event_type || '.XML')[-4:] AS ext, user_id::VARCHAR || ' ' AS padded, event_type = '' AS blank, event_id * 1237 // 1000 AS seconds FROM events")
 def scalar_functions(spark, folder):
     return read(spark, folder, "events").select(
         "event_id", textfn.extension(F.concat(F.lit("/drop/"), F.col("event_type"), F.lit(".XML"))).alias("ext"), F.concat(F.col("user_id").cast("string"), F.lit(" ")).alias("padded"),
-        textfn.is_blank(F.col("event_type")).alias("blank"), textfn.whole_seconds(F.col("value") * 1000).alias("seconds"),
+        textfn.is_blank(F.col("event_type")).alias("blank"), textfn.whole_seconds(F.col("event_id") * 1237).alias("seconds"),
     )
 
 
@@ -471,8 +470,7 @@ SELECT tenant, sender, date, type, total FROM k WHERE n = 1"""
 )
 def stream_ingest_state(spark, folder):
     """Orders as a dropped file, merged by a stream into a state that is empty at first."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    home = f"{base.rstrip('/')}/millrace/ingest-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/millrace/ingest-{uuid.uuid4().hex}"
     schema = read(spark, folder, "orders").schema
 
     def prepare(rows: DataFrame) -> DataFrame:

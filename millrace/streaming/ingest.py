@@ -10,14 +10,28 @@ from ..operators.mutations import keyed_replace, retain
 from ..sources.tables import Versions
 
 
-def merge_batch(versions: Versions, batch: DataFrame, number: int, empty: DataFrame) -> None:
-    """M10, ST2: version `number` is the version before it with the batch merged in.
-
-    A batch that comes again after a failure writes the same version again, so
-    delivery more than once changes nothing.
+def merged_batch(versions: Versions, stream: str) -> int:
+    """The number of the stream's last batch that a version holds, -1 if none."""
+    version = versions.latest()
+    while version is not None and version >= 0:
+        name, _, number = (versions.owner(version) or "").rpartition(" batch ")
+        if name == stream and versions.complete(version):
+            return int(number)
+        version -= 1
+    return -1
+
+
+def merge_batch(versions: Versions, batch: DataFrame, number: int, empty: DataFrame, stream: str = "stream") -> None:
+    """M10, ST2: the next version is the latest with the batch merged in, and names the stream and the batch.
+
+    A batch that comes again after a failure and is in a version already
+    changes nothing. Versions that others write between batches are built on.
     """
-    before = versions.read(number - 1) if number > 0 else empty
-    versions.write(keyed_replace(before, batch).state, number)
+    if number <= merged_batch(versions, stream):
+        return
+    latest = versions.latest()
+    before = empty if latest is None else versions.read(latest)
+    versions.append(keyed_replace(before, batch).state, latest, f"{stream} batch {number}")
 
 
 def ingest(
@@ -25,17 +39,18 @@ def ingest(
 ) -> StreamingQuery:
     """ST1-ST4: merge files that appear in `source`; every=None takes what is there and ends.
 
-    prepare: file rows -> incoming documents. One batch runs at a time.
+    prepare: file rows -> incoming documents. One batch runs at a time. The
+    stream is named by its checkpoint, so a new checkpoint over an old state
+    begins a new stream upon it.
     """
     versions = Versions(spark, state)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_batch(versions, prepare(df), n, empty))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_batch(versions, prepare(df), n, empty, checkpoint))
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     return writer.start()
 
 
 def retention_job(versions: Versions, as_of, days: int = 90) -> int:
-    """ST5: write the next version without expired documents; returns its number."""
-    now = versions.latest()
-    versions.write(retain(versions.read(now), as_of, days), now + 1)
-    return now + 1
+    """ST5: write the version after the latest without expired documents; returns its number."""
+    latest = versions.latest()
+    return versions.append(retain(versions.read(latest), as_of, days), latest, f"retention after {latest}")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_sources import BODY, CODE, LINE, invoice
 
 from millrace.api import Workspace, health
+from millrace.sources.tables import Conflict
 
 NOW = datetime(2024, 3, 2)
 
@@ -42,3 +43,16 @@ def test_workspace_from_import_to_clean(spark, tmp_path):
     assert w.documents(state=1).count() == 0 and Workspace(spark, str(tmp_path / "w"), "u").documents(state=-1).count() == 0
     w.remove_document(number="1")
     assert w.documents(state=-1, number="1").count() == 0
+
+
+def test_a_workspace_notices_another_writer(spark, tmp_path):
+    one, two = (Workspace(spark, str(tmp_path / "w"), t) for t in "ab")
+    one.initialise()
+    rows = spark.createDataFrame([("x",)], "description string")
+    base = one.table("suppliers"), two.table("suppliers")
+    two.commit("suppliers", base[1])
+    with pytest.raises(Conflict):
+        one.commit("suppliers", base[0])
+    one.add("suppliers", rows, ["description"])
+    two.add("suppliers", rows, ["description"])
+    assert sorted((r.id, r.tenant) for r in one.table("suppliers").collect()) == [(1, "a"), (2, "b")]

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace import schemas
 from millrace.operators import mutations, scans
@@ -98,6 +99,30 @@ def test_ids_follow_in_order(spark):
     assert mutations.numbered(rows.limit(0), ["k"], 10).count() == 0
 
 
+def test_ids_of_wide_rows_under_adaptive_execution(spark):
+    """Rows wide enough that ranges of all columns and of few are coalesced differently."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        rows = spark.range(100_000).selectExpr("cast(hash(id) as long) * 200000 + id as k", "repeat(sha2(cast(id as string), 256), 12) as wide")
+        out = mutations.numbered(rows, ["k"], 5)
+        top = out.agg(F.count("id"), F.count_distinct("id"), F.min("id"), F.max("id")).first()
+        assert tuple(top) == (100_000, 100_000, 6, 100_005)
+        ranked = out.select("id", F.rank().over(Window.orderBy("k")).alias("n"))
+        assert ranked.where("id != n + 5").count() == 0
+    finally:
+        for name, value in zip(("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"), before, strict=True):
+            spark.conf.set(name, value)
+
+
+def test_repeated_changes_count_once(spark):
+    base = spark.createDataFrame([(1, "a", "t"), (2, "b", "t")], "id long, description string, tenant string")
+    twice = spark.createDataFrame([(1, "x", "t", 2), (1, "y", "t", 1)], "id long, description string, tenant string, ordinal int")
+    assert sorted(r.description for r in mutations.update(base, twice).collect()) == ["b", "x"]
+    assert sorted(r.description for r in mutations.update(base, twice.drop("ordinal")).collect()) == ["b", "y"]
+
+
 def test_crud_with_tenant_guard(spark):
     base = spark.createDataFrame([(1, "a", "t"), (2, "b", "u")], "id long, description string, tenant string")
     change = spark.createDataFrame([(1, "x", "t"), (2, "y", "u")], base.schema)

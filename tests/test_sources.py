@@ -1,11 +1,13 @@
 import json
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import documents as docfn
 from millrace.operators.mutations import keyed_replace
 from millrace.sources import files, invoices
-from millrace.sources.tables import Versions, write_by_tenant
+from millrace.sources.tables import Conflict, Versions, shared_dir, write_by_tenant
 from millrace.streaming import ingest
 
 LINE = "<DettaglioLinee><NumeroLinea>{n}</NumeroLinea>{codes}<Descrizione>d</Descrizione>{quantity}<PrezzoTotale>3.5</PrezzoTotale><AliquotaIVA>22.00</AliquotaIVA></DettaglioLinee>"
@@ -69,5 +71,47 @@ def test_stream_equals_batch(spark, tmp_path):
     content = lambda df: sorted((r.sender, r.total) for r in df.collect())
     final = versions.read(versions.latest())
     assert content(final) == content(keyed_replace(empty, incoming).state)
-    ingest.merge_batch(versions, incoming.where("arrival >= 30"), versions.latest(), empty)  # delivered again
-    assert content(versions.read(versions.latest())) == content(keyed_replace(empty, incoming).state)
+    before, name = versions.latest(), str(tmp_path / "checkpoint")
+    assert ingest.merged_batch(versions, name) == 1
+    ingest.merge_batch(versions, incoming.where("arrival >= 30"), 1, empty, name)  # delivered again
+    assert versions.latest() == before and content(versions.read(before)) == content(keyed_replace(empty, incoming).state)
+    # a new checkpoint begins again at batch 0, upon the state that is there
+    ingest.merge_batch(versions, incoming.where("arrival = 3").withColumn("sender", F.lit("other")), 0, empty, "another")
+    assert content(versions.read(versions.latest())) == sorted([*content(keyed_replace(empty, incoming).state), ("other", 3.0)])
+
+
+def test_retention_is_not_undone_by_the_next_batch(spark, tmp_path):
+    schema = STATE + ", created timestamp_ntz"
+    versions, empty = Versions(spark, str(tmp_path / "state")), spark.createDataFrame([], schema)
+    incoming = spark.createDataFrame([("t", s, "1", "d", "4", 1, 1.0, datetime(2020, 1, 1), k) for k, s in enumerate("ab")], schema.replace("id long, ", "") + ", arrival int")
+    ingest.merge_batch(versions, incoming.where("sender = 'a'"), 0, empty, "s")
+    ingest.retention_job(versions, F.lit("2021-01-01").cast("timestamp_ntz"))
+    ingest.merge_batch(versions, incoming.where("sender = 'b'"), 1, empty, "s")
+    assert [r.sender for r in versions.read(versions.latest()).collect()] == ["b"]
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path / "state"))
+    one = spark.range(1)
+    assert versions.latest() is None and versions.append(one, None, "a") == 0
+    for owner in ("a", "b"):
+        with pytest.raises(Conflict):
+            versions.append(spark.range(5), None, owner)
+    assert versions.read(0).count() == 1 and versions.owner(0) == "a"
+    # a writer that died comes back to its claim, another can't take it
+    versions._claim(1, "dead")
+    with pytest.raises(Conflict):
+        versions.append(one, 0, "b")
+    assert versions.latest() == 0 and versions.append(one, 0, "dead") == 1
+    with pytest.raises(Exception):  # noqa: B017
+        versions.append(one.selectExpr("raise_error('no')"), 1, "c")
+    assert versions.append(one, 1, "d") == 2
+
+
+def test_recorded_answers(spark):
+    got = files.contents(files.extract(spark.createDataFrame([("/x/a.pdf", b"1"), ("/x/b.pdf", b"2")], "path string, content binary"), files.recorded({"a.pdf": '{"document": {"number": "7"}}'}), files.EXTRACTED))
+    assert [(r.path, r.content.document.number) for r in got.collect()] == [("/x/a.pdf", "7")]
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    assert shared_dir(spark).startswith("file:")
