@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bare, chunks
+from .shingles import distinct
 
 #: Bytes of text whose distinct pieces are replayed together, and pieces that a task remembers.
 REPLAY_BYTES, REMEMBERED = 12_000_000, 400_000
@@ -105,7 +106,7 @@ class Merges:
         while waiting:
             rank = heapq.heappop(waiting)
             found = index.pop(rank)
-            places = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            places = distinct(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
             # entries of pairs that are gone by now
             places = places[token[places] >= 0]
             places = places[after[places] >= 0]
@@ -134,7 +135,7 @@ class Merges:
             before[follow[follow >= 0]] = places[follow >= 0]
             left = before[places]
             touched = np.concatenate((left[left >= 0], places[follow >= 0]))
-            enter(np.unique(touched))
+            enter(distinct(touched))
         alive = token >= 0
         flat = token[alive]
         counts = np.bincount(piece[alive], minlength=len(pieces))

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bare, chunks, discard, flat_bytes, settle, small
 from .components import connected_components
@@ -142,27 +141,14 @@ def _parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def _set_bytes(width: int):
+def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             sets = shingle_sets(*flat_bytes(chunk.column(1)), width)
-            bits = [_parities(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [chunk.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "tokens", "bits"]
-            )
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([chunk.column(0), tokens, pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "tokens", "bits"])
 
     return run
 
@@ -173,11 +159,16 @@ def _bound(percent: int, slack: str) -> str:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those whose whole sets are similar enough, settled.
+
+    Sets are counted against each other in the join's own rows, one pair at a time.
+    """
     pairs = settle(pairs, "pairs")
     firsts = settle(pairs.select(F.col("a").alias("doc_id")).distinct(), "firsts")
     one = sets.join(small(firsts), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")).join(small(pairs), "b")
-    links = settle(two.join(one, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    both = two.join(one, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+    links = settle(both.where(f"100 * both >= {percent} * (size(x) + size(y) - both)").select("a", "b"), "links")
     discard(pairs, firsts)
     return links
 
@@ -189,39 +180,33 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     link when 100 * |A and B| >= percent * |A or B| of their shingle sets.
     component_id is the least doc_id reachable by links. A null text counts as
     empty; empty sets link with nothing. Rows that repeat a doc_id are one
-    node; a null doc_id is in no component (component_id null).
+    node; a null doc_id is in no component (component_id null). An empty table
+    gives an empty one. The length of a text is bounded by a row of Spark's only.
     """
     spark = docs.sparkSession
     docs = bare(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, width))  # 16 MB, whatever the input
     schema = "doc_id long, n_shingles long, digest binary, demand int, prefix array<long>"
     signed = settle(docs.mapInArrow(_prefixes(width, percent, sketch), schema), "signed")
+    sketch.unpersist()
 
     # equal sets: one class, named by its least doc_id; partial aggregation takes hot classes
     solid = signed.where("n_shingles > 0 and doc_id is not null")
     classes = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "demand", "prefix")).alias("r")).select("r.*")
-    # the tokens' exchange is the largest: three numbers a row
-    packed = F.shiftleft(F.col("n_shingles"), 34) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("demand")
-    tokens = classes.select("doc_id", "n_shingles", "demand", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", F.col("doc_id").alias("doc"), packed.alias("meta")
-    )
-    own = Window.partitionBy("token")
-    place = F.shiftright(F.col("meta"), 4).bitwiseAND((1 << 30) - 1)
-    tokens = (
-        tokens.withColumn("centre", F.min(F.struct(place.alias("pos"), "doc", "meta")).over(own))
-        .withColumn("df", F.count(F.lit(1)).over(own))
-        .where("df > 1")
-        .select(
-            "token", "doc", F.shiftright("meta", 34).alias("n"), place.alias("pos"), F.col("meta").bitwiseAND(15).cast("int").alias("demand"),
-            F.col("centre.doc").alias("c_doc"), F.shiftright("centre.meta", 34).alias("c_n"), F.col("centre.pos").alias("c_pos"),
-        )
-    )
-    tokens = settle(tokens, "tokens")
+    classes = settle(classes, "classes")
+    posed = classes.select("doc_id", "n_shingles", "demand", F.posexplode("prefix").alias("pos", "token"))
+    # how many have a token, and its first place, by partial aggregation: no task takes all rows of a common one
+    hubs = posed.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("pos").alias("first")).where("df > 1")
+    hubs = settle(hubs.select("token", "first"), "hubs")
+    tokens = posed.join(small(hubs), "token")
+    tokens = settle(tokens.select("token", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("pos").cast("long").alias("pos"), "demand", "first"), "tokens")
+    centres = tokens.where("pos = first").groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("centre"))
+    centres = settle(centres.select("token", F.col("centre.doc").alias("c_doc"), F.col("centre.n").alias("c_n"), F.col("centre.pos").alias("c_pos")), "centres")
     shared = settle(tokens.select(F.col("doc").alias("doc_id")).distinct(), "shared")
-    sets = settle(docs.join(small(shared), "doc_id", "left_semi").mapInArrow(_set_bytes(width), "doc_id long, tokens binary, bits array<long>"), "sets")
+    sets = settle(docs.join(small(shared), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens array<long>, bits array<long>"), "sets")
 
     # round 1: each token's centre against the others
-    named = tokens.select(
+    named = tokens.join(small(centres), "token").select(
         F.col("c_doc").alias("a"), F.col("c_n").alias("a_n"), F.col("c_pos").alias("a_pos"),
         F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"),
     )
@@ -258,7 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     discard(labels, placed, split, left, asked, maps)
 
     final = settle(connected_components(stars.union(rest)), "components")
-    discard(stars, rest, tokens, sets, shared)
+    discard(classes, hubs, centres, stars, rest, tokens, sets, shared)
     roots = solid.groupBy("digest").agg(F.min("doc_id").alias("root")).join(final, F.col("root") == F.col("node"), "left")
     roots = settle(roots.select("digest", F.coalesce("component", "root").alias("component_id")), "roots")
     out = signed.join(roots, "digest", "left").select(

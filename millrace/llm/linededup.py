@@ -1,13 +1,18 @@
 """Fuzzy deduplication of lines over a whole corpus by MinHash.
 
 Lines (lower case, stripped) that are equal are one class, however short.
-Classes of SHINGLE characters or more get
-one-permutation MinHash signatures of their character shingles, and bands of
-the signatures meet in groups. A group's lines are first compared with one
-centre by exact Jaccard similarity; then all pairs of a group that these links
-leave in different components are, but for those that the sizes and parity
-maps of their sets rule out. Connected components of the links keep the line
-that comes first by (doc_id, line number). All other lines of a component go.
+Classes of SHINGLE characters or more get one-permutation MinHash signatures
+of their character shingles, and bands of the signatures meet in groups. A
+group's lines are first compared with one centre by exact Jaccard similarity;
+then all pairs of a group that these links leave in different components are,
+but for those that the sizes and parity maps of their sets rule out. Connected
+components of the links keep the line that comes first by (doc_id, text,
+line number). All other lines of a component go.
+
+A line's class is a 64-bit hash; a second one tells apart different lines that
+share it, of which only the class of the least second hash is compared: the
+others stay, as no line goes that exact comparison would keep. Shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SMALL_ROWS, bare, chunks, discard, mix64, settle, small
 from .components import connected_components
-from .shingles import hash_sums, span_hashes
+from .shingles import BASE, distinct
 
-#: Characters of a shingle, a shorter line being one of its own; lines of fewer characters than MIN_CHARS (blank ones) are left alone.
+#: Characters of a shingle (a power of two), a shorter line being one of its own; lines of fewer characters than MIN_CHARS (blank ones) are left alone.
 SHINGLE, MIN_CHARS = 8, 1
 PERCENT = 80
 #: Bands of rows of a signature: a pair of similarity 0.8 shares one with probability 0.985, of 0.9 with 0.9999.
@@ -32,33 +36,33 @@ BINS, BANDS, ROWS = 32, 8, 4
 #: Bits of the parity map that bounds how much two shingle sets differ, in columns of 64.
 PARITIES = 256
 MAPS = [f"p{k}" for k in range(PARITIES // 64)]
+#: Bytes of text whose equal lines are signed once.
+SIGN_BYTES = 1_000_000
 
 
 def _lines(text: str | None) -> list[str]:
     return [x.strip() for x in (text or "").lower().split("\n")]
 
 
-def _code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    return data, np.cumsum([0, *map(len, lines)])
-
-
 def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every line's shingles end to end, and the lines' offsets; lines have SHINGLE characters at least."""
-    data, offsets = _code_points(lines)
-    n = np.diff(offsets) - SHINGLE + 1
-    out = np.cumsum(np.concatenate(([0], n)))
-    at = np.arange(out[-1]) + np.repeat(offsets[:-1] - out[:-1], n)
-    return span_hashes(hash_sums(data), at, at + SHINGLE), out
+    """Hashes of every line's shingles end to end, and each one's line; lines have SHINGLE characters at least."""
+    hashes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    # a polynomial over SHINGLE characters, by doubling
+    step = 1
+    while step < SHINGLE:
+        hashes = hashes[:-step] + hashes[step:] * np.uint64(pow(int(BASE), step, 2**64))
+        step *= 2
+    inside = owner[: len(hashes)] == owner[SHINGLE - 1 :]
+    return mix64(hashes[inside]), owner[: len(hashes)][inside]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys (BANDS 64-bit numbers) of each line."""
-    hashes, offsets = _shingles(lines)
-    owner = np.repeat(np.arange(len(lines)) * BINS, np.diff(offsets))
+    hashes, owner = _shingles(lines)
     none = np.uint64(2**64 - 1)
     least = np.full(len(lines) * BINS, none)
-    np.minimum.at(least, owner + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(5))
+    np.minimum.at(least, owner * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(5))
     least = least.reshape(len(lines), BINS)
     # an empty bin takes what the last full bin before it has, going round
     twice = np.concatenate((least, least), axis=1)
@@ -74,81 +78,101 @@ def signatures(lines: list[str]) -> np.ndarray:
     return keys
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Each line's sorted distinct shingles."""
+    if not lines:
+        return []
+    hashes, owner = _shingles(lines)
+    ends = np.cumsum(np.bincount(owner, minlength=len(lines)))
+    return [distinct(x) for x in np.split(hashes, ends[:-1])]
+
+
 def set_sizes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The number of different shingles of each line, and its parity map.
 
     A bit is the parity of the number of shingles that fall to it: where two
     lines' bits differ, a shingle is in one of them only.
     """
-    hashes, offsets = _shingles(lines)
-    owner = np.repeat(np.arange(len(lines)), np.diff(offsets))
-    order = np.lexsort((hashes, owner))
-    hashes = hashes[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    bits = owner * PARITIES + (hashes >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64)
-    odd = np.bincount(bits, minlength=len(lines) * PARITIES).astype(np.uint8) & 1
-    return np.bincount(owner, minlength=len(lines)), np.packbits(odd.reshape(len(lines), PARITIES), axis=1).view(np.int64)
+    sets = shingle_sets(lines)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    maps = np.zeros((len(lines), PARITIES // 64), np.int64)
+    for k, s in enumerate(sets):
+        odd = np.bincount((s >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+        maps[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return sizes, maps
 
 
-def jaccard_at_least(one: str, two: str, percent: int = PERCENT) -> bool:
-    a = {one[k : k + SHINGLE] for k in range(max(1, len(one) - SHINGLE + 1))}
-    b = {two[k : k + SHINGLE] for k in range(max(1, len(two) - SHINGLE + 1))}
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of `percent` hundredths or more."""
+    both = np.sort(np.concatenate((a, b)))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(line: str) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a line: of its class, and what tells different lines of one class apart."""
     import xxhash
 
-    for chunk in chunks(batches, "text"):
-        keys, ids, numbers, fresh, fresh_at = [], [], [], [], []
-        seen: set[bytes] = set()
-        for doc_id, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
+    digest = xxhash.xxh3_128_digest(line.encode())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks(batches, "text", SIGN_BYTES):
+        names: dict[str, tuple[int, int]] = {}
+        keys, checks, rows, numbers, fresh, fresh_at = [], [], [], [], [], []
+        for row, text in enumerate(chunk.column(1).to_pylist()):
             for number, line in enumerate(_lines(text)):
                 if len(line) < MIN_CHARS:
                     continue
-                key = xxhash.xxh3_128_digest(line.encode())
-                if len(line) >= SHINGLE and key not in seen:
-                    seen.add(key)
-                    fresh.append(line)
-                    fresh_at.append(len(keys))
-                keys.append(key)
-                ids.append(doc_id)
+                name = names.get(line)
+                if name is None:
+                    name = names[line] = _hashes(line)
+                    if len(line) >= SHINGLE:
+                        fresh.append(line)
+                        fresh_at.append(len(keys))
+                keys.append(name[0])
+                checks.append(name[1])
+                rows.append(row)
                 numbers.append(number)
         bands = signatures(fresh).view(np.int64).ravel() if fresh else np.zeros(0, np.int64)
         counts = np.zeros(len(keys), np.int64)
         counts[fresh_at] = BANDS
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        rows = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands))],
-            names=["key", "doc_id", "line", "bands"],
-        )
+            [
+                pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), chunk.column(0).take(rows), chunk.column(2).take(rows), pa.array(numbers, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)),
+            ],
+            names=["key", "check", "doc_id", "text_key", "line", "bands"],
+        )
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for chunk in chunks(batches, "text"):
-        texts: dict[bytes, str] = {}
-        for text in chunk.column(0).to_pylist():
-            for line in _lines(text):
-                if len(line) >= SHINGLE:
-                    texts[xxhash.xxh3_128_digest(line.encode())] = line
-        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array(list(texts.values()), pa.string())], names=["key", "line"])
+    for chunk in chunks(batches, "text", SIGN_BYTES):
+        lines = list(dict.fromkeys(line for text in chunk.column(0).to_pylist() for line in _lines(text) if len(line) >= SHINGLE))
+        both = [_hashes(line) for line in lines]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64()), pa.array(lines, pa.string())], names=["key", "check", "content"]
+        )
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(batches, "line"):
-        sizes, maps = set_sizes(chunk.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(sizes, pa.int64()), *[pa.array(maps[:, k].copy()) for k in range(len(MAPS))]], names=["key", "line", "n", *MAPS])
+    for chunk in chunks(batches, "content"):
+        sizes, maps = set_sizes(chunk.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(sizes, pa.int64()), *[pa.array(maps[:, k].copy()) for k in range(len(MAPS))]], names=["key", "check", "content", "n", *MAPS])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [jaccard_at_least(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for once in chunks([whole], "a_content"):
+            for chunk in chunks([once], "b_content"):
+                ones, twos = chunk.column(2).to_pylist(), chunk.column(3).to_pylist()
+                lines = list(dict.fromkeys(ones + twos))
+                sets = dict(zip(lines, shingle_sets(lines), strict=True))
+                keep = [similar(sets[x], sets[y]) for x, y in zip(ones, twos, strict=True)]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _side(texts: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -164,10 +188,10 @@ def _may_link() -> str:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b) those that are similar enough, settled."""
-    one = _side(texts, "a", "line")
-    two = _side(texts, "b", "line")
+    one = _side(texts, "a", "content")
+    two = _side(texts, "b", "content")
     both = pairs.join(one, F.col("a") == F.col("a_key")).join(two, F.col("b") == F.col("b_key")).where(_may_link())
-    return settle(both.select("a", "b", "a_line", "b_line").mapInArrow(_verify, "a binary, b binary"), "line-links")
+    return settle(both.select("a", "b", "a_content", "b_content").mapInArrow(_verify, "a long, b long"), "line-links")
 
 
 def _other_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -176,7 +200,7 @@ def _other_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     # the largest component of a group is on one side only, so that the lines of a large one don't meet each other
     open_ = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("c"), F.count(F.lit(1)).alias("parts"))
     open_ = settle(open_.where("parts > 1").select("band", F.col("c.component").alias("main")), "open")
-    left = placed.join(open_, "band").join(texts.select("key", "n", *MAPS), "key")
+    left = placed.join(small(open_), "band").join(texts.select("key", "n", *MAPS), "key")
     left = settle(left, "left")
     one = _side(left.where("component != main"), "a", "component", "band", "main")
     two = _side(left, "b", "component", "band")
@@ -187,42 +211,56 @@ def _other_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines to remove, for each document that has any."""
-    docs = bare(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    signed = settle(docs.mapInArrow(_sign, "key binary, doc_id long, line int, bands array<long>"), "lines")
-
+def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, check, root) of the lines that are similar to others, settled; root is the least key of their component."""
     banded = signed.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
-    # one exchange by band; groups of one line go, the others' first line is their centre
-    own = Window.partitionBy("band")
-    grouped = banded.withColumn("centre", F.min("key").over(own)).withColumn("last", F.max("key").over(own)).where("centre != last")
-    grouped = settle(grouped.select("band", "key", "centre").distinct(), "groups")
+    # a line that many chunks repeat is one partial row a task here; no task takes a group
+    shared = settle(banded.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre != last").select("band", "centre"), "shared")
+    grouped = settle(banded.join(small(shared), "band").select("band", "key", "centre").distinct(), "groups")
     first = settle(grouped.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     wanted = settle(grouped.select("key").distinct(), "wanted")
-    texts = docs.select("text").mapInArrow(_line_texts, "key binary, line string").join(small(wanted), "key", "left_semi")
-    measured = "key binary, line string, n long, " + ", ".join(f"{p} long" for p in MAPS)
-    texts = settle(texts.dropDuplicates(["key"]).select("key", "line").mapInArrow(_measure, measured), "texts")
+    texts = docs.select("text").mapInArrow(_line_texts, "key long, check long, content string").join(small(wanted), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.min(F.struct("check", "content")).alias("r")).select("key", "r.*")
+    texts = settle(texts.mapInArrow(_measure, "key long, check long, content string, n long, " + ", ".join(f"{p} long" for p in MAPS)), "texts")
     links = _links(first, texts)
     labels = settle(connected_components(links), "labels")
     # what the centres did not bind is compared pair by pair
-    placed = grouped.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = settle(placed.select("band", "key", "component"), "placed")
+    placed = settle(grouped.join(small(labels), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component")), "placed")
     others = _other_pairs(placed, texts)
     more = _links(others, texts)
-    components = settle(connected_components(links.union(more)), "components")
-    discard(grouped, first, wanted, texts, links, labels, placed, others, more)
-
-    places = signed.select("key", F.struct("doc_id", "line").alias("place"))
-    named = places.groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last"))
-    joined = named.join(components, named["key"] == components["node"], "left")
-    # a class that repeats or has links; the others keep their one line
-    kept = joined.where("component is not null or place != last").withColumn("root", F.coalesce("component", "key"))
-    kept = settle(kept.select("key", "root", "place"), "kept")
-    winners = settle(kept.groupBy("root").agg(F.min("place").alias("winner")), "winners")
-    gone = settle(kept.join(winners, "root").select("key", "winner"), "decided")
-    out = places.join(gone, "key").where("place != winner").groupBy("place.doc_id").agg(F.sort_array(F.collect_set("place.line")).alias("lines"))
+    # the new links join whole components: their ends are components, few as they are
+    named = settle(placed.select("key", "component").distinct(), "named")
+    ends = more.join(named.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b")
+    roots = settle(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
+    joined = named.join(small(roots.select("node", F.col("component").alias("root"))), F.col("component") == F.col("node"), "left")
+    joined = joined.select("key", F.coalesce("root", "component").alias("root"))
+    # a line alone in its component is in no class
+    pairs = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("root")
+    out = settle(joined.join(pairs, "root").join(texts.select("key", "check"), "key").select("key", "check", "root"), "classes")
+    discard(shared, grouped, first, wanted, texts, links, labels, placed, others, more, named, roots)
+    return out
+
+
+def duplicate_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, lines): the numbers of the lines to remove, for each id and text that has any.
+
+    text_key is Spark's xxhash64 of the text, so that different texts under
+    one id, or under none, keep their own lines.
+    """
+    docs = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    signed = settle(docs.mapInArrow(_sign, "key long, check long, doc_id long, text_key long, line int, bands array<long>"), "lines")
+    classes = _classes(signed, docs)
+    repeated = signed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("first")).where("n > 1")
+    involved = repeated.join(classes, "key", "full_outer").select("key", F.coalesce("check", "first").alias("check"), F.coalesce("root", "key").alias("root"))
+    involved = settle(involved, "involved")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
+    places = signed.drop("bands").join(small(involved), ["key", "check"]).select("root", place.alias("place"))
+    places = settle(places, "places")
+    winners = settle(places.groupBy("root").agg(F.min("place").alias("winner")).where("root is not null"), "winners")
+    gone = places.join(small(winners), "root").where("place != winner")
+    out = gone.groupBy("place.doc_id", "place.text_key").agg(F.sort_array(F.collect_set("place.line")).alias("lines"))
     out = settle(out, "removed")
-    discard(signed, components, kept, winners, gone)
+    discard(signed, classes, involved, places, winners)
     return out
 
 
@@ -245,18 +283,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     """`docs` with the duplicate lines taken out of text, and n_lines, n_removed.
 
     Lines are what "\\n" parts; those blank after stripping are never removed,
-    those of fewer than SHINGLE characters only as equals of another. A null text stays null, with no lines; an empty one has
-    one line. Rows that repeat a doc_id are one document; those of a null
-    doc_id stay as they are. All columns are kept; docs must not have
-    columns n_lines, n_removed or _removed.
+    those of fewer than SHINGLE characters only as equals of another. One
+    changed character costs a line of n characters up to 2 * SHINGLE of its
+    n + 1 or so shingles, so a fuzzy copy of under 80 characters is found only
+    where it differs at an end. A null text stays null, with no lines; an empty
+    one has one line. Of rows that repeat a doc_id each text is a document of
+    its own; rows that repeat both are one document, and each of them loses
+    the same lines. A null doc_id comes after all others. An empty table gives
+    an empty one. All columns are kept; docs must not have columns n_lines,
+    n_removed, or any that begins with _removed (ValueError).
     """
-    taken = {"n_lines", "n_removed", "_removed"} & set(docs.columns)
+    taken = {c for c in docs.columns if c in ("n_lines", "n_removed") or c.startswith("_removed")}
     if taken:
         raise ValueError(f"columns are taken: {sorted(taken)}")
-    removed = duplicate_lines(docs).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_removed"))
+    removed = duplicate_lines(docs).select(F.col("doc_id").alias("_removed_id"), F.col("text_key").alias("_removed_key"), F.col("lines").alias("_removed"))
     # few numbers in all go to every executor, so that texts stay where they are; beyond that both sides are shuffled
-    if (removed.agg(F.sum(F.size("_removed") + 1)).first()[0] or 0) <= 2 * SMALL_ROWS:
+    if (removed.agg(F.sum(F.size("_removed") + 2)).first()[0] or 0) <= 2 * SMALL_ROWS:
         removed = F.broadcast(removed)
-    joined = docs.join(removed, docs["doc_id"] == removed["_id"], "left").drop("_id")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_removed_id")) & (F.xxhash64(docs["text"]) == F.col("_removed_key"))
+    joined = docs.join(removed, same, "left").drop("_removed_id", "_removed_key")
     schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
     return joined.mapInArrow(_drop, schema)

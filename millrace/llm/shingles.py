@@ -17,17 +17,35 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are hashed at a time; a longer word is a block of its own.
+BLOCK = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """The first n + 1 powers at least; those of more than a block are not kept."""
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    size = max(n + 1, BLOCK + 2)
+    made = []
+    for base in (BASE, INVERSE):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if size == BLOCK + 2:
+        _powers[:] = made
+    return made[0], made[1]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is faster than np.unique on these."""
+    out = np.sort(values)
+    if len(out) < 2:
+        return out
+    new = np.empty(len(out), bool)
+    new[0] = True
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +77,16 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(hash_sums(data), starts, ends)
+    """A hash of each span, ascending and apart; the same wherever the span stands."""
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        base = int(starts[k])
+        stop = max(k + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        sums = hash_sums(data[base : int(ends[stop - 1])])
+        out[k:stop] = span_hashes(sums, starts[k:stop] - base, ends[k:stop] - base)
+        k = stop
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -79,7 +106,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(whole[a : b - width + 1]))
+            out.append(distinct(whole[a : b - width + 1]))
         elif b > a:
             out.append(mix64((words[a:b] * factors[: b - a]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(b - a)))
         else:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bare, chunks, crc_mod, flat_bytes, mix64, settle
-from .shingles import LOWER, hash_sums, span_hashes, spans
+from .shingles import LOWER, distinct, hash_sums, span_hashes, spans
 
 #: Labelled rows that a model is fitted on, at most: those whose ids hash lowest.
 FIT_ROWS = 40_000
@@ -72,7 +72,7 @@ class Model:
         rows, buckets = terms(data, offsets)
         slots = self.slots[buckets]
         known = slots >= 0
-        both = np.unique(rows[known] * np.int64(len(self.weights)) + slots[known])
+        both = distinct(rows[known] * np.int64(len(self.weights)) + slots[known])
         return both // len(self.weights), both % len(self.weights)
 
 
@@ -81,7 +81,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     counts = np.zeros((2, 1 << BITS), np.int64)
     for chunk in chunks(batches, "text"):
         rows, buckets = terms(*flat_bytes(chunk.column(1)))
-        both = np.unique(rows << BITS | buckets)
+        both = distinct(rows << BITS | buckets)
         toxic = chunk.column(0).to_numpy(zero_copy_only=False)[both >> BITS]
         np.add.at(counts[0], both & ((1 << BITS) - 1), 1)
         np.add.at(counts[1], (both & ((1 << BITS) - 1))[toxic == 1], 1)
