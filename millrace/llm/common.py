@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, settle, shared_dir  # noqa: F401 (the operators take them from here)
+
 #: Bytes of text that a Python worker works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 18
 
@@ -18,37 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
-
-    It cuts the lineage (a lost executor costs no recomputation of what is
-    behind it) and gives joins a plain side that adaptive execution can split.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._settled_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows of numbers up to which a join's side is sent whole to every executor; beyond it both sides are shuffled.
 SMALL_ROWS = 500_000
 
@@ -71,7 +42,7 @@ def crc_mod(doc_id, n: int):
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes in `column`, one row at least."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start, n = 0, batch.num_rows
         while start < n:
@@ -83,7 +54,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes end to end, and each row's offsets; null counts as empty."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     if pa.types.is_string(column.type):
         column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
