@@ -16,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, chunks, crc_mod, flat_bytes, mix64, settle
-from .shingles import LOWER, distinct, hash_sums, span_hashes, spans
+from .common import bare, chunks, crc_mod, discard, flat_bytes, mix64, settle
+from .shingles import LOWER, distinct, spans, word_hashes
 
 #: Labelled rows that a model is fitted on, at most: those whose ids hash lowest.
 FIT_ROWS = 40_000
 BITS = 20
 PREFIXES = (4, 5, 6)
-#: Terms of the model: those that the labels bear out most, of those in so many documents at least.
-TERMS, MIN_DOCS, MIN_Z = 4096, 5, 4.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.2, 1e-6
+#: Terms of the model, of those in so many labelled documents at least: those that depart furthest from chance alone,
+#: and those that most toxic documents have, whatever they tell alone, for the pairs that they make.
+TERMS, MIN_Z, PAIR_TERMS, MIN_DOCS = 4096, 4.0, 512, 5
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 256, 0.2, 1e-6
 #: What a toxic example weighs against another: single insults among thousands of words count.
 TOXIC_WEIGHT = 4.0
 THRESHOLD = 0.7
@@ -39,13 +40,12 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(row, bucket) of the terms of rows end to end; a term that repeats in a row repeats here."""
     data = LOWER[data]
     starts, ends, first = spans(LETTER[data], offsets)
-    sums = hash_sums(data)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    rows, found = [row], [span_hashes(sums, starts, ends)]
+    rows, found = [row], [word_hashes(data, starts, ends)]
     for k in PREFIXES:
         long = np.flatnonzero(ends - starts > k)
         rows.append(row[long])
-        found.append(mix64(span_hashes(sums, starts[long], starts[long] + k) + np.uint64(k)))
+        found.append(mix64(word_hashes(data, starts[long], starts[long] + k) + np.uint64(k)))
     return np.concatenate(rows), (np.concatenate(found) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
@@ -56,6 +56,10 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray
 
+    def plain(self) -> tuple:
+        """The parts alone, which executors can read without this package."""
+        return self.slots, self.bias, self.weights, self.factors
+
     def scores(self, rows: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
         """Logistic scores of n rows, of their distinct (row, slot) pairs."""
         linear = np.bincount(rows, self.weights[slots], n)
@@ -114,17 +118,25 @@ def train(lists: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, seed:
         order = rng.permutation(len(lists))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            rows = np.repeat(np.arange(len(some)), sizes[some])
-            cols = np.concatenate([lists[i] for i in some]) if len(rows) else np.zeros(0, np.int64)
-            error = (model.scores(rows, cols, len(some)) - labels[some]) * np.where(labels[some] > 0, TOXIC_WEIGHT, 1.0) / len(some)
+            some = some[sizes[some] > 0] if (sizes[some] > 0).any() else some[:0]
+            if not len(some):
+                continue
+            each = sizes[some]
+            cols = np.concatenate([lists[i] for i in some])
+            begin = np.concatenate(([0], np.cumsum(each)[:-1]))
             v = model.factors[cols]
-            sums = np.zeros((len(some), FACTORS))
-            np.add.at(sums, rows, v)
-            used, inverse = np.unique(cols, return_inverse=True)
-            gw = np.bincount(inverse, error[rows], len(used)) + DECAY * model.weights[used]
-            gv = np.zeros((len(used), FACTORS))
-            np.add.at(gv, inverse, error[rows][:, None] * (sums[rows] - v))
-            gv += DECAY * model.factors[used]
+            sums = np.add.reduceat(v, begin)
+            z = model.bias + np.add.reduceat(model.weights[cols], begin) + 0.5 * ((sums * sums).sum(1) - np.add.reduceat((v * v).sum(1), begin))
+            guess = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            error = (guess - labels[some]) * np.where(labels[some] > 0, TOXIC_WEIGHT, 1.0) / len(some)
+            spread = np.repeat(error, each)
+            # the gradients of a slot, from the examples that have it
+            by_slot = np.argsort(cols.astype(np.uint16) if n <= 1 << 16 else cols, kind="stable")
+            ranked = cols[by_slot]
+            cuts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            used = ranked[cuts]
+            gw = np.add.reduceat(spread[by_slot], cuts) + DECAY * model.weights[used]
+            gv = np.add.reduceat((spread[:, None] * (np.repeat(sums, each, axis=0) - v))[by_slot], cuts) + DECAY * model.factors[used]
             gb = error.sum()
             grad_w[used] += gw**2
             grad_v[used] += gv**2
@@ -147,67 +159,82 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | flo
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     # the side has `rows` rows at most by its limit
-    sample = settle(
-        bare(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text", F.col("doc_id").cast("long")).dropDuplicates(["text"]),
-        "toxic-sample",
-    )
+    joined = bare(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    # one text for each id, the least, so that the bound holds whatever repeats; equal texts are one example, toxic if any of them is
+    single = joined.where("text is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    once = single.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    sample = settle(once.select("toxic", "text", "doc_id"), "toxic-sample")
     counted = sample.mapInArrow(_bucket_counts, "bucket long, docs long, toxic long").groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     total = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not total[0]:
         return 0.0
     share = total[1] / total[0]
     expected = F.col("docs") * F.lit(share)
-    # buckets are 2 ** BITS at most; of them the TERMS that depart furthest from chance
-    z = (F.col("toxic") - expected) / F.sqrt(expected * F.lit(1 - share) + F.lit(1e-9))
-    best = counted.where(F.col("docs") >= MIN_DOCS).withColumn("z", z).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "bucket").limit(TERMS).collect()
-    if not best:
-        return share
+    # buckets are 2 ** BITS at most
+    z = F.abs((F.col("toxic") - expected) / F.sqrt(expected * F.lit(1 - share) + F.lit(1e-9)))
+    counted = settle(counted.where(F.col("docs") >= MIN_DOCS).withColumn("z", z), "toxic-terms")
+    alone = [r.bucket for r in counted.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(TERMS).collect()]
+    often = [r.bucket for r in counted.where("toxic > 0").orderBy(F.desc("toxic"), "bucket").limit(PAIR_TERMS).collect()]
+    best = list(dict.fromkeys(alone + often))
+    if not best or not 0 < share < 1:
+        return float(share)
     slots = np.full(1 << BITS, -1, np.int32)
-    slots[[r.bucket for r in best]] = np.arange(len(best), dtype=np.int32)
-    got = sample.mapInArrow(_slot_lists(slots), "toxic int, doc_id long, slots array<int>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
+    slots[best] = np.arange(len(best), dtype=np.int32)
+    got = sample.mapInArrow(_slot_lists(slots), "toxic int, doc_id long, slots array<int>").toArrow().to_pandas().sort_values(["doc_id", "toxic"], kind="stable")
+    discard(sample, counted)
     return train(list(got["slots"]), got["toxic"].to_numpy(float), slots)
 
 
-def _score(model):
+def _scored(shared):
+    """Scores of a text column under a broadcast model: its plain parts, or a share."""
+    value = shared.value
+    model = None if isinstance(value, float) else Model(*value)
+
+    def run(texts: pa.Array) -> np.ndarray:
+        return np.full(len(texts), value) if model is None else model.scores(*model.pairs(*flat_bytes(texts)), len(texts))
+
+    return run
+
+
+def _broadcast(docs: DataFrame, model: Model | float):
+    return docs.sparkSession.sparkContext.broadcast(float(model) if not isinstance(model, Model) else model.plain())
+
+
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        scores = _scored(shared)
         for chunk in chunks(batches, "text"):
-            if isinstance(m, float):
-                scores = np.full(chunk.num_rows, m)
-            else:
-                scores = m.scores(*m.pairs(*flat_bytes(chunk.column(chunk.num_columns - 1))), chunk.num_rows)
-            yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(scores)], names=[*chunk.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(scores(chunk.column(1)))], names=["doc_id", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """Per row: doc_id, score in [0, 1]. Null and empty texts have no terms and get the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     base = bare(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return base.mapInArrow(_score(shared), "doc_id long, score double")
+    return base.mapInArrow(_score(_broadcast(docs, model)), "doc_id long, score double")
 
 
-def _keep(model):
+def _keep(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        scores = _scored(shared)
         for chunk in chunks(batches, "text"):
-            column = chunk.column(chunk.schema.get_field_index("text"))
-            if isinstance(m, float):
-                scores = np.full(chunk.num_rows, m)
-            else:
-                scores = m.scores(*m.pairs(*flat_bytes(column)), chunk.num_rows)
-            yield chunk.filter(pa.array(scores < THRESHOLD))
+            yield chunk.filter(pa.array(scores(chunk.column(chunk.schema.get_field_index("text"))) < THRESHOLD))
 
     return run
 
 
 def keep_clean(docs: DataFrame, model: Model | float) -> DataFrame:
     """The rows of `docs`, all columns, whose text scores below THRESHOLD."""
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(_keep(_broadcast(docs, model)), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Repeated rows stay; a null doc_id is scored like any other."""
+    """Per row: doc_id, held_out, score, predicted.
+
+    Repeated rows stay; a null doc_id is scored like any other; an empty table
+    gives an empty one. Of labels that repeat a doc_id, and of equal texts, the
+    largest counts. Long texts are scored whole.
+    """
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
