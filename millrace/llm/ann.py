@@ -1,14 +1,16 @@
 """Nearest neighbours by inner product, with collision-counting hashing.
 
 Vectors are dealt to shards by a hash of their ids, and a shard's vectors to
-parts by their length. A part keeps, for each of many random projections, its
-vectors sorted by the projected value. A query opens a window about its own
-value in every array and widens all of them together (virtual rehashing: each
-round's window is a multiple of the first); a vector that lies in enough
-windows has collided often enough and is verified by its exact inner product.
-A query is done with a part when every vector was verified, or when the best k
-are so near that a nearer vector would have collided often enough but for a
-chance of MISSED. Parts too short to beat the best k are left out exactly.
+parts by their length. A part keeps, for each of many random projections, an
+array of its vectors sorted by the projected value. A query opens a window
+about its own value in every array and widens all of them together (virtual
+rehashing: each round's window is a multiple of the last); only what lies
+between the old edges and the new ones is read and counted. A vector that lies
+in enough windows has collided often enough and is verified by its exact inner
+product. A query is done with a part when every vector was verified, or when
+the best k are so near that a nearer vector would have collided often enough
+but for a chance of MISSED. Parts too short to beat the best k are left out
+exactly.
 
 Inner products become distances by one more coordinate that gives every
 vector of a part the same length.
@@ -28,16 +30,14 @@ from pyspark.sql.window import Window
 from .common import bare, settle
 
 K, QUERY_STEP = 20, 20
-#: Vectors of a shard; queries of a block.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 512
+#: Vectors of a shard; queries that are sent to a shard's task at most, and those that are searched for together.
+SHARD_ROWS, BLOCK_ROWS, TOGETHER = 16_384, 65_536, 256
 #: Projections, the share of them that a vector must collide in, and the factor from one round's windows to the next's.
-PROJECTIONS, COLLISIONS, WIDEN = 128, 0.65, 1.08
-#: Pages that a sorted array is counted in, and queries whose counts are held in the processor's cache.
-PAGES, CACHED_ROWS = 256, 32
+PROJECTIONS, COLLISIONS, WIDEN = 192, 0.65, 1.08
 #: Half of the first round's window, in lengths of the difference of two unrelated vectors.
-FIRST_WIDTH = 0.8
+FIRST_WIDTH = 0.5
 #: The chance that a vector as near as the k-th best has not collided often enough when a query stops.
-MISSED = 0.05
+MISSED = 0.2
 #: Squared lengths of a part's vectors are more than the largest divided by this.
 PART_RATIO = 4.0
 SEED = 7
@@ -60,23 +60,29 @@ def stop_width() -> float:
     return high
 
 
+def projections(d: int) -> np.ndarray:
+    """PROJECTIONS columns of d normal numbers; as many as fit are at right angles, so that their counts vary less."""
+    rng = np.random.default_rng(SEED)
+    columns = []
+    for _ in range(-(-PROJECTIONS // d)):
+        angles, _ = np.linalg.qr(rng.normal(size=(d, d)))
+        columns.append(angles * np.sqrt(rng.chisquare(d, size=d)))
+    return np.concatenate(columns, axis=1)[:, :PROJECTIONS]
+
+
 class Shard:
     """An index over vectors: ids (ascending) and rows of doubles."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        n, d = rows.shape
+        d = rows.shape[1]
         squares = (rows * rows).sum(1)
         self.reach = float(squares.max())
         spare = np.sqrt(np.maximum(self.reach - squares, 0))
-        draws = np.random.default_rng(SEED).normal(size=(d + 1, PROJECTIONS))
-        self.draws = draws
-        values = rows @ draws[:d] + spare[:, None] * draws[d]
-        order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
-        # where a vector stands in each sorted array, by pages of equal size
-        self.page = np.empty((PROJECTIONS, n), np.uint8)
-        np.put_along_axis(self.page.T, order, (np.arange(n) * PAGES // n).astype(np.uint8)[:, None], axis=0)
+        self.draws = projections(d + 1)
+        values = (rows @ self.draws[:d] + spare[:, None] * self.draws[d]).T
+        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(values, self.order, axis=1)
 
     def search(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[np.ndarray]:
         """For each query (a row) the positions of the verified vectors.
@@ -92,37 +98,36 @@ class Shard:
         stop = stop_width()
         found = [np.zeros(0, np.int64) for _ in queries]
         best = [np.full(k, floor) for floor in floors]
-        seen = np.zeros((len(queries), n), bool)
+        # the windows [low, high) of every query in every sorted array, empty at first, and what collided in them
+        low = np.empty((len(queries), PROJECTIONS), np.int64)
+        for j in range(PROJECTIONS):
+            low[:, j] = np.searchsorted(self.sorted[j], centres[j])
+        high = low.copy()
+        counts = np.zeros((len(queries), n), np.int16)
         # no inner product here is larger than that of the longest vector in the query's direction
         active = np.flatnonzero(floors <= self.reach / factor * (1 + 1e-9))
         width = math.sqrt(2 * self.reach) * FIRST_WIDTH
         while len(active):
+            first, last = np.empty((len(active), PROJECTIONS), np.int64), np.empty((len(active), PROJECTIONS), np.int64)
+            for j in range(PROJECTIONS):
+                first[:, j] = np.searchsorted(self.sorted[j], centres[j, active] - width, "left")
+                last[:, j] = np.searchsorted(self.sorted[j], centres[j, active] + width, "right")
             left_over = []
-            for at in range(0, len(active), CACHED_ROWS):
-                some = active[at : at + CACHED_ROWS]
-                counts = np.zeros((len(some), n), np.uint8)
-                away, hit = np.empty_like(counts), np.empty(counts.shape, bool)
-                everything = np.ones(len(some), bool)
-                for j in range(PROJECTIONS):
-                    # the window's first and last page of this projection's sorted array; it holds the query's own place
-                    a = np.searchsorted(self.sorted[j], centres[j, some] - width, "left")
-                    b = np.searchsorted(self.sorted[j], centres[j, some] + width, "right") - 1
-                    first, last = (np.clip(x, 0, n - 1) * PAGES // n for x in (np.minimum(a, b), np.maximum(a, b)))
-                    everything &= (first == 0) & (last == (n - 1) * PAGES // n)
-                    np.subtract(self.page[j][None, :], first.astype(np.uint8)[:, None], out=away)
-                    np.less_equal(away, (last - first).astype(np.uint8)[:, None], out=hit)
-                    np.add(counts, hit.view(np.uint8), out=counts)
-                for i, row, done in zip(some.tolist(), counts, everything.tolist(), strict=True):
-                    fresh = np.flatnonzero((row >= need) & ~seen[i])
-                    if len(fresh):
-                        seen[i, fresh] = True
-                        found[i] = np.concatenate((found[i], fresh))
-                        both = np.concatenate((best[i], self.rows[fresh] @ queries[i]))
-                        best[i] = np.partition(both, len(both) - k)[len(both) - k :]
-                        floors[i] = best[i].min()
-                    apart = math.sqrt(max(0.0, 2 * (self.reach - factor[i] * floors[i])))
-                    if not done and len(found[i]) < n and width < stop * apart:
-                        left_over.append(i)
+            for i, a, b in zip(active.tolist(), first, last, strict=True):
+                edges = [row[x:y] for row, x, y in zip(self.order, a.tolist(), low[i].tolist(), strict=True)]
+                edges += [row[x:y] for row, x, y in zip(self.order, high[i].tolist(), b.tolist(), strict=True)]
+                low[i], high[i] = a, b
+                before = counts[i] >= need
+                counts[i] += np.bincount(np.concatenate(edges), minlength=n).astype(np.int16)
+                fresh = np.flatnonzero((counts[i] >= need) & ~before)
+                if len(fresh):
+                    found[i] = np.concatenate((found[i], fresh))
+                    both = np.concatenate((best[i], self.rows[fresh] @ queries[i]))
+                    best[i] = np.partition(both, len(both) - k)[len(both) - k :]
+                    floors[i] = best[i].min()
+                apart = math.sqrt(max(0.0, 2 * (self.reach - factor[i] * floors[i])))
+                if len(found[i]) < n and width < stop * apart:
+                    left_over.append(i)
             active = np.array(left_over, int)
             width *= WIDEN
         return found
@@ -151,8 +156,11 @@ def _index_and_search(k: int):
             floors = np.full(len(asked), -np.inf)
             met: list[list[np.ndarray]] = [[] for _ in asked]
             for part in parts(rows):
-                for own, found in zip(met, Shard(ids[part], rows[part]).search(asked, k + 1, floors), strict=True):
-                    own.append(part[found])
+                index = Shard(ids[part], rows[part])
+                for at in range(0, len(asked), TOGETHER):
+                    some = slice(at, at + TOGETHER)
+                    for own, found in zip(met[some], index.search(asked[some], k + 1, floors[some]), strict=True):
+                        own.append(part[found])
             for query_id, q, own in zip(queries.column("query_id").to_pylist(), asked, met, strict=True):
                 found = np.concatenate(own)
                 found = found[ids[found] != query_id]
@@ -189,7 +197,8 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Dat
     component take no part; only vectors of the query's dimension are its
     candidates. Of rows that repeat an id one is kept, the least vector. Of
     equal vectors only the k + 1 smallest ids are indexed: no other can be
-    among any query's k.
+    among any query's k. An empty table gives an empty one; other columns are
+    left aside; vectors may be of any length that a shard of them fits a task.
     """
     spark = vectors.sparkSession
     rows = settle(usable(vectors).groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("r")).select("vec_id", "r.*"), "vectors")
@@ -198,9 +207,11 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Dat
     indexed = settle(indexed, "indexed")
     shards = max(1, math.ceil(indexed.count() / SHARD_ROWS))
     queries = rows.where(F.col("vec_id") % query_step == 0)
-    blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
+    # a stated query set against all shards, block by block: every (shard, block) is a task's group, which indexes the
+    # shard once; more blocks than memory asks for only where shards alone would leave cores idle
+    idle = math.ceil(spark.sparkContext.defaultParallelism / shards)
+    blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS), min(idle, 64))
     placed = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    # a stated query set against all shards, block by block: every (shard, block) is a task's group
     left = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "dim", "vec_id", "vector")
     right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "dim", F.col("vec_id").alias("query_id"), "vector")
