@@ -10,12 +10,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+from pyspark.sql.window import Window
+
+from .common import settle
 
 #: Of the counts, when no weights are given: a source's weight is its size to this power.
 TEMPERATURE = 0.5
 SEED = "mix-1"
 #: Sources up to which their rates are sent to every executor, so that texts need not meet by source.
 FEW_SOURCES = 10_000
+#: Places where a source's rows meet its rate beyond that.
+SALTS = 32
 
 
 def unit_hash(seed: str, *parts: Column) -> Column:
@@ -24,8 +30,8 @@ def unit_hash(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source: str = "source") -> DataFrame:
-    """A row for each source: n, weight, rate, and `cdf`, the distribution function from 0 on.
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source: str = "source") -> tuple[DataFrame, bool]:
+    """A row for each source: n, weight, rate, and `cdf`, the distribution function from 0 on; and whether they are few enough to be sent whole.
 
     The rate is weight / sum(weights) * total / n. `total`: rows wanted, as many
     as there are if None. `weights`: by source; a source that it does not name
@@ -38,26 +44,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         weight = F.lit(0.0)
         for name, value in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
-    sizes = sizes.withColumn("weight", weight)
+    sizes = settle(sizes.withColumn("weight", weight), "source-sizes")
     whole = sizes.agg(F.sum("n"), F.sum("weight"), F.count(F.lit(1))).first()  # three numbers
     all_n, all_w = whole[0] or 0, whole[1] or 0.0
     wanted = float(all_n if total is None else total)
     rate = F.col("weight") / F.lit(all_w) * F.lit(wanted) / F.col("n") if all_w > 0 else F.lit(0.0)
     out = sizes.withColumn("rate", rate)
+    # a row for each count that has a chance to speak of; sums run along the counts, by logarithms at high rates
     steps = (F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    # logarithms keep the terms from vanishing at high rates
-    terms = F.aggregate(
-        F.sequence(F.lit(1), steps),
-        F.struct((-F.col("rate")).alias("log"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
-        lambda a, k: F.struct(
-            (a["log"] + F.ln("rate") - F.ln(k)).alias("log"),
-            (a["sum"] + F.exp(a["log"] + F.ln("rate") - F.ln(k))).alias("sum"),
-            F.concat(a["cdf"], F.array(a["sum"] + F.exp(a["log"] + F.ln("rate") - F.ln(k)))).alias("cdf"),
-        ),
-        lambda a: a["cdf"],
-    )
-    out = out.withColumn("cdf", F.when(F.col("rate") > 0, terms).otherwise(F.array(F.lit(1.0))))
-    return F.broadcast(out) if whole[2] <= FEW_SOURCES else out
+    along = Window.partitionBy("source").orderBy("k")
+    counts = out.select("source", "rate", F.explode(F.sequence(F.lit(0), steps)).alias("k"))
+    factor = F.when(F.col("k") == 0, 0.0).otherwise(F.ln("rate") - F.ln(F.greatest("k", F.lit(1))))
+    counts = counts.withColumn("p", F.exp(F.sum(factor).over(along) - F.col("rate"))).withColumn("c", F.sum("p").over(along))
+    cdfs = counts.where("rate > 0").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    out = out.join(cdfs.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    out = out.withColumn("cdf", F.coalesce("cdf", F.array(F.lit(1.0))))
+    sent = whole[2] <= FEW_SOURCES
+    return (F.broadcast(out) if sent else out), sent
 
 
 def mix(
@@ -72,26 +75,36 @@ def mix(
     """Repeat each row by its Poisson count and shuffle all of them.
 
     Returns the columns of `docs` and, with `extra`, copy_no (from 1) and
-    shuffle_key, by which the rows are ordered over the whole result. A null
+    shuffle_key, by which the rows are ordered over the whole result; rows that
+    repeat an id follow each other by a hash of their plain columns. A null
     source is a source of its own; a null id counts as the empty text; repeated
-    rows get the same count; an empty table gives no rows. Names of the added
-    columns must not be among those of `docs` (ValueError).
+    rows get the same count; texts may be of any length; an empty table gives
+    no rows. `docs` must not have columns copy_no or shuffle_key with `extra`,
+    nor any that begins with _mix_ (ValueError).
     """
-    added = {"copy_no", "shuffle_key", "_mix_source", "_mix_cdf"}
-    if extra and added & set(docs.columns):
-        raise ValueError(f"columns are taken: {sorted(added & set(docs.columns))}")
-    table = rates(docs, weights, total, source)
+    taken = {c for c in docs.columns if c.startswith("_mix_") or (extra and c in ("copy_no", "shuffle_key"))}
+    if taken:
+        raise ValueError(f"columns are taken: {sorted(taken)}")
+    table, sent = rates(docs, weights, total, source)
+    table = table.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
     point = unit_hash(seed, F.col(doc_id))
-    joined = docs.join(table.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf")), F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
+    # where rates are not sent whole, a source's rows meet them in SALTS places
+    salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int")
+    few = docs.join(table, F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
+    many = docs.withColumn("_mix_salted", salt).join(salted, F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salted") == F.col("_mix_salt")), "inner")
+    joined = few if sent else many
     count = F.size(F.filter("_mix_cdf", lambda c: c <= point))
     repeated = joined.withColumn("_mix_n", count).where("_mix_n > 0")
-    repeated = repeated.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    repeated = repeated.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
+    repeated = repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
+    key = F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("_mix_copy").cast("string"))
+    repeated = repeated.withColumn("_mix_key", F.md5(key.cast("binary")))
+    plain = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType)]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # equal ranges of a hash's first digits hold equally many rows, so no sampling pass over the texts is needed
-    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * n / float(2**32)).cast("int")
-    out = repeated.withColumn("_mix_part", part).repartitionById(n, F.col("_mix_part")).sortWithinPartitions("shuffle_key", "copy_no")
-    return out.select(*[F.col(c) for c in docs.columns], *([F.col("copy_no"), F.col("shuffle_key")] if extra else []))
+    part = F.floor(F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("double") * n / float(2**32)).cast("int")
+    out = repeated.withColumn("_mix_part", part).repartitionById(n, F.col("_mix_part")).sortWithinPartitions("_mix_key", "_mix_copy", F.xxhash64(*plain))
+    return out.select(*[F.col(c) for c in docs.columns], *([F.col("_mix_copy").alias("copy_no"), F.col("_mix_key").alias("shuffle_key")] if extra else []))
 
 
 ORACLE = f"""
