@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bare, chunks, crc_mod
+from .common import bare, chunks, crc_mod, discard, settle
 
 #: Documents of a language that go into its dictionary, at most (those whose texts hash lowest), and bytes of them.
 FIT_DOCS, DICT_BYTES = 150, 96_000
-#: Texts so long at least, in characters, are examples; of one text no more bytes than this.
-FIT_CHARS, FIT_BYTES = 100, 3_000
+#: Texts of so many characters come first as examples; then longer ones, then shorter ones.
+FIT_CHARS = (100, 3_000)
+#: Parts of a language that are ranked apart first, and languages up to which their dictionaries are sent to every executor.
+FIT_PARTS, MAX_LANGUAGES = 16, 1_000
 LEVEL, MIN_MATCH = 1, 4
 #: Bytes by which the second smallest must exceed the smallest, per byte of the smallest, for an answer to be accepted.
 MARGIN = 0.01
@@ -35,18 +37,31 @@ PAD = b" " * 64
 def fit(docs: DataFrame, held_out: int | None = 2) -> dict[str, bytes]:
     """A dictionary for each language of (doc_id, text, lang), in the order of the languages' names.
 
-    Equal texts count once. Rows whose crc32 modulo 4 is `held_out` are left aside.
+    Equal texts count once. Rows whose crc32 modulo 4 is `held_out` are left
+    aside. A language of short texts only is learned from these. More than
+    MAX_LANGUAGES languages are an error: so many dictionaries are no bounded
+    model.
     """
-    rows = bare(docs, "doc_id", "text", "lang").where("text is not null and lang is not null").where(F.length("text") >= FIT_CHARS)
+    rows = bare(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
     if held_out is not None:
         rows = rows.where(crc_mod(F.col("doc_id"), 4) != held_out)
-    keyed = rows.select("lang", F.xxhash64("text").alias("h"), "doc_id").groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= FIT_DOCS)
-    # FIT_DOCS rows for each language at most
-    chosen = rows.join(F.broadcast(ranked.select("doc_id", F.col("lang").alias("l"), "rank")), "doc_id").where("lang = l")
+    length = F.length("text")
+    order = F.when(length.between(*FIT_CHARS), 0).when(length > FIT_CHARS[1], 1).otherwise(2)
+    keyed = rows.select("lang", order.alias("order"), F.xxhash64("text").alias("h")).distinct()
+    # the first of each part of a language, then the first of the language: no task ranks a whole one
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(FIT_PARTS))).orderBy("order", "h")
+    some = keyed.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= FIT_DOCS)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "h"))).where(F.col("rank") <= FIT_DOCS)
+    ranked = settle(ranked.select(F.col("lang").alias("l"), F.col("h").alias("ranked"), "rank"), "examples")
+    if ranked.select("l").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # FIT_DOCS rows for each language at most; of a text that is longer than a dictionary its last part alone could enter one
+    chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(ranked), (F.col("h") == F.col("ranked")) & (F.col("lang") == F.col("l")))
+    chosen = chosen.groupBy("lang", "rank").agg(F.min(F.expr(f"right(text, {DICT_BYTES})")).alias("t"))
     texts: dict[str, dict[int, bytes]] = {}
-    for r in chosen.select("lang", "rank", F.expr(f"substr(text, 1, {FIT_BYTES})").alias("t")).toLocalIterator():
-        texts.setdefault(r.lang, {})[r["rank"]] = _plain(r.t)[:FIT_BYTES]
+    for r in chosen.toLocalIterator():
+        texts.setdefault(r.lang, {})[r["rank"]] = _plain(r.t)
+    discard(ranked)
     kept = {lang: [t for _, t in sorted(texts[lang].items())] for lang in sorted(texts)}
     # examples that read as another language by the dictionaries of the other half are mislabelled or mixed
     halves = [Compressors(_dictionaries({lang: t[k::2] for lang, t in kept.items()})) for k in (0, 1)]
@@ -121,7 +136,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     A text that is null or has no letter is `und`, with score 0 and not
     accepted. lang_pred names the smallest even where the margin is too narrow
-    to accept it; of equal sizes the first name. Repeated rows stay.
+    to accept it; of equal sizes the first name. Repeated rows stay; a text is
+    compressed whole, however long; other columns are left aside.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each language
     base = bare(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
