@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import qualified
 from .common import bare, settle, shared_dir
 
 #: Payloads of fewer bytes are always written whole.
@@ -52,8 +53,9 @@ def plan(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
-def _id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _id(page_id, digest: str) -> str:
+    """Different payloads of one page_id have different ids; only records that repeat both share one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def _clean(value: str | None) -> str:
@@ -67,7 +69,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_id(page_id)}",
+        f"WARC-Record-ID: {_id(page_id, digest)}",
         f"WARC-Target-URI: {_clean(url)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -77,7 +79,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     ]
     if refers_to is not None:
         head += [
-            f"WARC-Refers-To: {_id(refers_to)}",
+            f"WARC-Refers-To: {_id(refers_to, digest)}",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"X-Refers-To-Page-ID: {refers_to}",
         ]
@@ -148,10 +150,9 @@ class Bundle:
 
 
 def _filesystem(folder: str):
+    """The file system and the path of a full URI."""
     from pyarrow import fs
 
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
     return fs.FileSystem.from_uri(folder.replace("file:///", "file:/").replace("file:/", "file:///"))
 
 
@@ -195,6 +196,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     frame's content) and record_bytes. The index names only bundles of the
     attempts that were committed.
     """
+    folder = qualified(pages.sparkSession, folder)
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     return settle(plan(pages).mapInArrow(_write(folder), PLACES), "warc-index")
@@ -256,6 +258,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     payload_bytes and payload_digest are of the full payload; a revisit has
     them from the headers that it keeps of the response.
     """
+    folder = qualified(index.sparkSession, folder)
     n = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = index.repartition(n, "bundle", F.expr("frame div 16")).sortWithinPartitions("bundle", "frame", "record_offset")
     return ordered.mapInArrow(_read(folder), RECORDS)
@@ -266,7 +269,12 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages' archives to a new shared folder and read them back."""
+    """Write the pages' archives to a new shared folder and read them back: RECORDS for each row.
+
+    A null html is an empty payload, a null url an empty one; repeated rows
+    stay, each with its record; a payload is held whole in memory, however
+    long; an empty table gives an empty one; other columns are left aside.
+    """
     folder = new_folder(pages.sparkSession)
     return read(write(pages, folder), folder)
 
