@@ -23,7 +23,7 @@ from .common import bare, chunks
 from .shingles import distinct
 
 #: Bytes of text whose distinct pieces are replayed together, and pieces that a task remembers.
-REPLAY_BYTES, REMEMBERED = 12_000_000, 400_000
+REPLAY_BYTES, REMEMBERED = 3_000_000, 400_000
 
 
 def load_ranks(path: str) -> list[bytes]:
