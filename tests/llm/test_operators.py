@@ -91,46 +91,86 @@ def test_components_of_chains_and_stars(spark):
 # lines
 
 
-def test_lines_equal_brute_force(spark):
-    lines = [prose(30) for _ in range(12)]
-    rows = []
-    for k in range(40):
-        mine = [edited(rnd.choice(lines), rnd.randint(0, 2)) if rnd.random() < 0.6 else prose(25) for _ in range(4)]
-        rows.append((k, "\n".join([*mine, "short", "short", lines[0].upper() + "  "])))
-    rows += [r for r in ODD if r[0] not in (905, 906)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit("en"))
-    got = {r.doc_id: r.text for r in linededup.dedup(df).collect()}
+def similar_lines(one, two, percent=80, width=8):
+    """Jaccard similarity of the strings' own shingles, without hashes."""
+    a, b = ({x[k : k + width] for k in range(max(1, len(x) - width + 1))} for x in (one, two))
+    return 100 * len(a & b) >= percent * len(a | b) if min(len(one), len(two)) >= width else one == two
+
+
+def brute_lines(rows):
+    """For each row the numbers of the lines that exact comparison of all pairs removes."""
     first, places = {}, []
-    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+    for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, spark_hash(r[1] or ""))):
         for k, line in enumerate((text or "").lower().split("\n")):
             line = line.strip()
-            if len(line) >= linededup.MIN_CHARS:
-                places.append((line, (i, k)))
-                first.setdefault(line, (i, k))
+            if line:
+                places.append((line, (i, text, k)))
+                first.setdefault(line, len(places))
     keys = sorted(first)
-    links = [(a, b) for k, a in enumerate(keys) for b in keys[:k] if linededup.jaccard_at_least(a, b)]
+    links = [(a, b) for k, a in enumerate(keys) for b in keys[:k] if similar_lines(a, b)]
     root = components_of(keys, links)
     winner = {}
     for line in keys:
         winner[root[line]] = min(winner.get(root[line], first[line]), first[line])
     gone = defaultdict(set)
-    for line, place in places:
-        if winner[root[line]] != place:
-            gone[place[0]].add(place[1])
+    for n, (line, (i, text, k)) in enumerate(places, 1):
+        if winner[root[line]] != n:
+            gone[i, text].add(k)
+    return gone
+
+
+def spark_hash(text):
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def without(text, lines):
+    return text if not lines else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in lines)
+
+
+def test_lines_equal_brute_force(spark):
+    lines = [prose(30) for _ in range(12)]
+    rows = []
+    for k in range(40):
+        mine = [edited(rnd.choice(lines), rnd.randint(0, 2)) if rnd.random() < 0.6 else prose(25) for _ in range(4)]
+        rows.append((k, "\n".join([*mine, "short", "short", lines[0].upper() + "  "])))
+    rows += ODD + [(None, "short\nanother"), (3, lines[0] + "\nmine alone"), (3, None), rows[5], rows[5]]
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit("en")).withColumn("key", F.lit(1)).withColumn("band", F.lit(1))
+    gone = brute_lines(rows)
+    got = Counter((r.doc_id, r.text) for r in linededup.dedup(df).collect())
+    assert sum(got.values()) == len(rows)
     # banding finds nearly all links, and no line goes that exact comparison would keep
-    removed = defaultdict(set)
-    for r in linededup.duplicate_lines(df).collect():
-        removed[r.doc_id] = set(r.lines)
-    assert all(removed[i] <= gone[i] for i in removed)
-    assert sum(map(len, removed.values())) >= 0.97 * sum(map(len, gone.values()))
-    for i, text in rows:
-        want = text if text is None or not removed.get(i) else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in removed[i])
-        assert got[i] == want
+    removed = {(r.doc_id, r.text_key): set(r.lines) for r in linededup.duplicate_lines(df).collect()}
+    mine = {(i, t): removed.get((i, spark_hash(t or "")), set()) for i, t in rows}
+    assert all(mine[r] <= gone[r] for r in mine)
+    assert sum(map(len, mine.values())) >= 0.97 * sum(len(gone[r]) for r in mine)
+    assert got == Counter((i, t if t is None else without(t, mine[i, t])) for i, t in rows)
     assert linededup.dedup(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         linededup.dedup(df.withColumn("n_lines", F.lit(1)))
 
 
+def test_lines_of_two_texts_under_one_id(spark):
+    rows = [(1, "A line"), (2, "A line\nsecond text"), (2, "B alone\nthird text")]
+    got = sorted(r.text for r in linededup.dedup(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == ["A line", "B alone\nthird text", "second text"]
+
+
+def test_line_sets_and_parities_are_exact():
+    lines = [prose(rnd.randint(3, 60)) for _ in range(80)] + ["\U0001f600é" * 8, "x" * 500]
+    lines += [edited(x, 2) for x in lines[:40]]
+    sets = linededup.shingle_sets(lines)
+    sizes, maps = linededup.set_sizes(lines)
+    for k, line in enumerate(lines):
+        assert len(sets[k]) == sizes[k] == len({line[j : j + 8] for j in range(len(line) - 7)})
+        for j in range(k):
+            assert linededup.similar(sets[j], sets[k]) == similar_lines(lines[j], line)
+            apart = sum(int(x ^ y & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip((maps[j].view(np.uint64)).tolist(), (maps[k].view(np.uint64)).tolist(), strict=True))
+            assert apart <= len(np.setxor1d(sets[j], sets[k]))
+
+
 def test_lines_of_one_stem_all_meet(spark):
     """Lines of one long stem share bands with hundreds of others; each still finds its own copy."""
     own = random.Random(11)
@@ -140,7 +180,7 @@ def test_lines_of_one_stem_all_meet(spark):
         tail = chars(20)
         lines += [stem + tail, stem + tail[:-6] + chars(6)]
         rows += [(2 * k, lines[-2]), (2 * k + 1, lines[-1])]
-    assert all(linededup.jaccard_at_least(a, b) for a, b in zip(lines[::2], lines[1::2], strict=True))
+    assert all(similar_lines(a, b) for a, b in zip(lines[::2], lines[1::2], strict=True))
     keys = linededup.signatures(lines)
     met = {2 * k + 1 for k in range(400) if (keys[2 * k] == keys[2 * k + 1]).any()}
     gone = {r.doc_id for r in linededup.duplicate_lines(spark.createDataFrame(rows, DOCS)).collect()}
@@ -272,6 +312,15 @@ def test_neighbours_of_few_and_none(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def recall(x, asked, found):
+    hits = 0
+    for q in asked.tolist():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len({v for v, _ in found[q]} & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    return hits / (20 * len(asked))
+
+
 @pytest.mark.parametrize("long", [1.0, 50.0])
 def test_neighbours_stop_when_safe(long):
     """Recall holds where near vectors are no nearer than the stopping share reaches, and beside one long vector."""
@@ -281,30 +330,103 @@ def test_neighbours_stop_when_safe(long):
     x[3] *= long
     asked = np.arange(0, 2000, 20)
     vectors = pa.table({"vec_id": np.arange(2000), "vector": x.tolist()})
-    found = ann._index_and_search(20)(None, vectors, pa.table({"query_id": asked, "vector": x[asked].tolist()})).to_pydict()
-    hits = 0
-    for q in asked.tolist():
-        scores = x @ x[q]
-        scores[q] = -np.inf
-        got = {v for i, v in zip(found["query_id"], found["vec_id"], strict=True) if i == q}
-        hits += len(got & set(np.argsort(-scores)[:20].tolist()))
-    assert hits / (20 * len(asked)) >= 0.97
+    got = ann._index_and_search(20)(None, vectors, pa.table({"query_id": asked, "vector": x[asked].tolist()})).to_pydict()
+    found = defaultdict(list)
+    for i, v, score in zip(got["query_id"], got["vec_id"], got["score"], strict=True):
+        found[i].append((v, score))
+    assert recall(x, asked, found) >= 0.95
+
+
+def test_few_vectors_are_verified_of_many():
+    """Windows grow by their edges only, and a tenth of the vectors at most is verified."""
+    gen = np.random.default_rng(6)
+    x = gen.normal(size=(16_384, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    asked = np.arange(0, 16_384, 512)
+    index = ann.Shard(np.arange(len(x)), x)
+    found = index.search(x[asked], 21, np.full(len(asked), -np.inf))
+    assert sum(map(len, found)) <= 0.1 * len(asked) * len(x)
+    assert recall(x, asked, {q: sorted(((int(v), -float(x[v] @ x[q])) for v in f if v != q), key=lambda p: p[1])[:20] for q, f in zip(asked.tolist(), found, strict=True)}) >= 0.95
+    # counts of windows that grew are counts of windows opened at once
+    width, centres = 0.7, (x[asked[0]] @ index.draws[:-1])
+    at_once = sum(((row >= c - width) & (row <= c + width))[np.argsort(order)].astype(int) for row, order, c in zip(index.sorted, index.order, centres, strict=True))
+    assert at_once.max() == ann.PROJECTIONS and at_once[asked[0]] == ann.PROJECTIONS
+
+
+def test_neighbours_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 700)
+    gen = np.random.default_rng(8)
+    x = gen.normal(size=(3000, 32))
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    df = df.unionByName(df.where("vec_id < 50"))
+    found = defaultdict(list)
+    for r in ann.nearest(df).collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    assert all(len(f) == 20 for f in found.values()) and recall(x, np.arange(0, 3000, 20), found) >= 0.95
 
 
 # licences
 
 
+def plain_licence(text):
+    """The canonical text by splitting characters and words, without the operator's regular expressions."""
+    import unicodedata
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in low).split()
+    pairs = sorted(((a.split(), b.split()) for a, b in licenses.EQUIVALENT), key=lambda p: licenses.EQUIVALENT.index((" ".join(p[0]), " ".join(p[1]))))
+    for other, one in pairs:
+        out, k = [], 0
+        while k < len(words):
+            if words[k : k + len(other)] == other:
+                out += one
+                k += len(other)
+            else:
+                out.append(words[k])
+                k += 1
+        words = out
+    return " ".join(words)
+
+
 def test_licence_digests(spark):
     name, text = licenses.KNOWN[0]
-    rows = [(1, "Copyright (c) 2020 Me\n\n" + text.upper().replace(",", " ,")), (2, text + " more"), (3, None), (4, ""), (5, text.replace("sublicense", "sub license")), (6, "licenced under the apache licence, version 2.0"), (7, "Licensed under the Apache Licence; version 2.0")]
-    df = spark.createDataFrame(rows, DOCS).withColumn("license_id", F.lit("taken"))
-    got = {r.doc_id: r.license_id for r in licenses.scan(df, licenses.known(spark)).collect()}
-    assert got == {1: name, 2: None, 3: None, 4: None, 5: name, 6: None, 7: "Apache-2.0 (notice)"}
+    russian = "Это предложение на русском языке. " * 50
+    rows = {
+        1: ("Copyright (c) 2020 Me\n\n" + text.upper().replace(",", " ,"), name),
+        2: (text + " more", None),
+        3: (None, None),
+        4: ("", None),
+        5: (text.replace("sublicense", "sub license"), name),
+        6: ("licenced under the apache licence, version 2.0", None),
+        7: ("Licensed under the Apache Licence; version 2.0", "Apache-2.0 (notice)"),
+        8: (russian + "Released under the MIT License.", None),
+        9: ("Copyright 2020 Me. " + text, name),
+        10: ("# Copyright 2019-2021 Foo Inc. All rights reserved.\nAll rights reserved.\n" + text, name),
+        11: ("© Somebody\n" + text.replace("notice and this", "notice\nand\nthis").replace("copyright notice", "\ncopyright notice"), name),
+        12: ("(c) You must retain the notice. Released under the MIT License.", None),
+        13: (russian, None),
+        14: (text + " " + "x" * 50_000, None),
+        15: (licenses.KNOWN[4][1].lower(), "BSD-2-Clause"),
+        16: ("Copyright 2020 " + "a.b.c" * 5000, None),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()] + [(None, text), (1, rows[1][0])], DOCS).withColumn("license_id", F.lit("taken"))
+    out = licenses.scan(df, licenses.known(spark)).collect()
+    assert len(out) == len(rows) + 2 and all(r.license_id == (name if r.doc_id is None else rows[r.doc_id][1]) for r in out)
+    # texts without a copyright statement, by another way
+    for r in out:
+        if r.doc_id in (2, 5, 6, 7, 8, 12, 13, 14, 15):
+            assert r.canonical_digest == hashlib.sha256(plain_licence(rows[r.doc_id][0]).encode()).hexdigest()
     assert licenses.scan(df.limit(0), licenses.known(spark)).count() == 0
     pair = spark.createDataFrame([("Licence licence sub licence centre",), ("license license, sublicense center",)], "t string")
     assert pair.select(licenses.normalised(F.col("t"))).distinct().count() == 1
 
 
+def test_licence_texts_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Do as you like.\nAlways.")
+    docs = spark.createDataFrame([(1, "DO AS YOU LIKE; always")], DOCS)
+    assert licenses.scan(docs, licenses.known(spark, str(tmp_path))).first().license_id == "Own-1.0"
+
+
 # mixing
 
 
@@ -330,9 +452,24 @@ def test_mixing_counts_follow_the_inverse_distribution(spark):
     keys = [r.shuffle_key for r in again.collect()]
     assert keys == sorted(keys)
     assert mixing.mix(df.limit(0)).count() == 0
+    for taken, extra in (("copy_no", True), ("_mix_n", False), ("_mix_part", True)):
+        with pytest.raises(ValueError):
+            mixing.mix(df.withColumn(taken, F.lit(1)), extra=extra)
+    named = mixing.mix(df.withColumn("copy_no", F.lit(7)), {"a": 1.0}, total=8000, extra=False)
+    assert named.columns == ["doc_id", "text", "source", "copy_no"] and {r.copy_no for r in named.collect()} == {7}
+    odd = spark.createDataFrame([(None, "x" * 100_000, "a"), (1, "t", "a"), (1, "t", "a"), (1, "u", "a")], df.schema)
+    times = Counter((r.doc_id, r.text) for r in mixing.mix(odd, {"a": 1.0}, total=40).collect())
+    assert times[1, "t"] == 2 * times[1, "u"] > 0
     assert mixing.mix(df, {"a": 1.0}, total=4000 * 900).groupBy().count().first()[0] > 4000 * 890
 
 
+def test_mixing_of_many_sources_meets_their_rates_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "t", f"s{k % 9}" if k % 4 else "hot") for k in range(3000)], "doc_id long, text string, source string")
+    want = Counter((r.doc_id, r.copy_no) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    assert Counter((r.doc_id, r.copy_no) for r in mixing.mix(df).collect()) == want
+
+
 # quality
 
 
@@ -379,3 +516,128 @@ def test_toxicity_learns_words_and_pairs(spark):
     none = toxicity.classify(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.keep_clean(docs, 0.0).count() == docs.count()
+
+
+def test_toxicity_learns_a_pair_whose_words_are_neutral_alone(spark):
+    """Toxic is what has both words or neither: each word alone says nothing."""
+    rows, marks = [], []
+    for k in range(1600):
+        words = prose(12).split()
+        kind = k % 4
+        if kind in (1, 3):
+            words[3] = "oneword"
+        if kind in (2, 3):
+            words[7] = "otherword"
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(kind in (0, 3))))
+    got = {r.doc_id: r for r in toxicity.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    held = [k for k in range(1600) if got[k].held_out]
+    assert np.mean([(got[k].score >= 0.5) == (k % 4 in (0, 3)) for k in held]) > 0.9
+
+
+def test_toxicity_scores_are_the_sum_over_all_pairs():
+    gen = np.random.default_rng(3)
+    slots = np.full(1 << toxicity.BITS, -1, np.int32)
+    slots[:9] = np.arange(9)
+    model = toxicity.Model(slots, -0.3, gen.normal(size=9), gen.normal(size=(9, 4)))
+    lists = [[0, 3, 5, 8], [], [2], [1, 4, 6, 7, 8]]
+    rows = np.array([k for k, x in enumerate(lists) for _ in x])
+    got = model.scores(rows, np.concatenate([np.array(x, int) for x in lists]), len(lists))
+    for x, score in zip(lists, got, strict=True):
+        z = model.bias + sum(model.weights[i] for i in x) + sum(model.factors[i] @ model.factors[j] for i in x for j in x if i < j)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Equal texts with different labels, repeated ids and nothing at all."""
+    rows = [(k, "same text here") for k in range(40)] + [(k, "a bad insultword") for k in range(40, 120)] + [(k, prose(20)) for k in range(120, 300)] + [(5, "another text of five")]
+    marks = [(k, int(k % 2 or 40 <= k < 120)) if k < 120 else (k, 0) for k in range(300)] + [(7, None), (None, 1)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, toxic int")
+    one = {(r.doc_id, r.score) for r in toxicity.classify(docs, labels).collect()}
+    assert one == {(r.doc_id, r.score) for r in toxicity.classify(docs.repartition(7), labels.repartition(3)).collect()}
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def test_broadcast_models_need_no_package():
+    """What is sent to executors by value is arrays and numbers only."""
+    import pickle
+    import pickletools
+
+    model = toxicity.Model(np.zeros(4, np.int32), 0.0, np.zeros(2), np.zeros((2, 3)))
+    named = [str(arg) for op, arg, _ in pickletools.genops(pickle.dumps(model.plain(), 2)) if op.name == "GLOBAL"]
+    assert named and not any("millrace" in x for x in named)
+
+
+# odd inputs of the others
+
+
+def test_languages_of_short_texts_are_learned(spark):
+    letters = {"aa": "abcde", "bb": "mnopq"}
+    rows = [(k, "".join(rnd.choice(letters[x]) for _ in range(90 if x == "aa" else 30)), x) for k, x in enumerate(["aa", "bb"] * 40)]
+    rows += [(500, rows[0][1], "aa"), (500, "abcde " * 40_000, "aa"), (None, "mnopq mnopq", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.lang_pred) for r in langid.classify(df).collect())
+    assert sum(got.values()) == len(rows) and all(got[i, x] for i, _, x in rows if i is not None)
+    assert langid.classify(df.limit(0)).count() == 0
+
+
+def test_language_is_the_smallest_of_plain_compressions(spark):
+    """The operator's choice is that of compressing with each dictionary in turn."""
+    import zstandard as z
+
+    texts = {x: [prose(40, [w + x for w in WORDS[:80]]) for _ in range(30)] for x in ("q", "zz")}
+    made = {x: b"\n".join(t.encode() for t in own) for x, own in texts.items()}
+    rows = [(k, prose(15, [w + ("q" if k % 2 else "zz") for w in WORDS[:80]])) for k in range(20)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, DOCS), made).collect()}
+    for k, text in rows:
+        sizes = {}
+        for x, raw in made.items():
+            params = z.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=len(raw), min_match=langid.MIN_MATCH, strategy=z.STRATEGY_LAZY, window_log=20, hash_log=16, chain_log=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+            sizes[x] = len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(text.lower().encode() + langid.PAD))
+        assert got[k].lang_pred == min(sorted(sizes), key=sizes.get)
+        assert abs(got[k].margin - (max(sizes.values()) - min(sizes.values())) / min(sizes.values())) < 0.02
+
+
+def test_quality_of_repeated_ids_and_nothing(spark):
+    rows = [(1, prose(60)), (1, prose(70)), (1, prose(60))]
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int")
+    assert quality.classify(spark.createDataFrame(rows, DOCS), labels).count() == 3
+    assert quality.classify(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_decision_list_covers_in_order():
+    """Each rule's counts are those of the rows that the rules before it left; the expression decides alike."""
+    gen = np.random.default_rng(1)
+    x = gen.random((600, 2))
+    bad = (x[:, 0] > 0.7) | ((x[:, 1] < 0.2) & (x[:, 0] < 0.4))
+    rules = quality.learn(x, bad, ["a", "b"], np.arange(600) % 3 == 0)
+    left = np.ones(600, bool)
+    for rule in rules:
+        hit = left.copy()
+        for c in rule.conditions:
+            hit &= (x[:, "ab".index(c.name)] > c.value) if c.above else (x[:, "ab".index(c.name)] <= c.value)
+        assert rule.covered == hit.sum() and rule.wrong == (hit & ~bad).sum()
+        left &= ~hit
+    assert len(rules) >= 2 and np.mean(left == ~bad) > 0.95
+
+
+def test_warc_of_long_payloads_repeats_and_clashing_names(spark):
+    big = "é" * 700_000
+    rows = [(1, "u", big), (2, "u", big), (2, "u", "other " * 300), (2, "u", "other " * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("taken")).withColumn("payload", F.lit(1))
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(df).collect())
+    assert got == [(1, 1_400_000, "revisit", 2), (2, 1800, "response", 0), (2, 1800, "response", 0), (2, 1_400_000, "response", 0)]
+    ids = [warc.parse(warc.record(2, "u", t.encode(), hashlib.sha1(t.encode()).hexdigest(), None))[0]["WARC-Record-ID"] for t in (big, "other")]
+    assert len(set(ids)) == 2
+
+
+def test_bpe_of_nothing(spark):
+    tokens, pattern = vocabulary()
+    empty = spark.createDataFrame([], DOCS)
+    assert bpe.digests(empty, tokens, pattern).count() == 0 and bpe.encode(empty, tokens, pattern).count() == 0
+
+
+def test_jaccard_of_two_texts_under_one_id(spark):
+    rows = [(1, prose(30)), (1, prose(30)), (2, prose(30))]
+    got = Counter(r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == {1: 2, 2: 1}
