@@ -20,6 +20,8 @@ from .common import bare, chunks, crc_mod, discard, settle
 
 #: Documents of a language that go into its dictionary, at most (those whose texts hash lowest), and bytes of them.
 FIT_DOCS, DICT_BYTES = 150, 96_000
+#: Characters of one text in a dictionary, at most: its last ones, so that no single long text makes up a language.
+FIT_SHARE = DICT_BYTES // 8
 #: Texts of so many characters come first as examples; then longer ones, then shorter ones.
 FIT_CHARS = (100, 3_000)
 #: Parts of a language that are ranked apart first, and languages up to which their dictionaries are sent to every executor.
@@ -55,9 +57,9 @@ def fit(docs: DataFrame, held_out: int | None = 2) -> dict[str, bytes]:
     ranked = settle(ranked.select(F.col("lang").alias("l"), F.col("h").alias("ranked"), "rank"), "examples")
     if ranked.select("l").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # FIT_DOCS rows for each language at most; of a text that is longer than a dictionary its last part alone could enter one
+    # FIT_DOCS rows for each language at most
     chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(ranked), (F.col("h") == F.col("ranked")) & (F.col("lang") == F.col("l")))
-    chosen = chosen.groupBy("lang", "rank").agg(F.min(F.expr(f"right(text, {DICT_BYTES})")).alias("t"))
+    chosen = chosen.groupBy("lang", "rank").agg(F.min(F.expr(f"right(text, {FIT_SHARE})")).alias("t"))
     texts: dict[str, dict[int, bytes]] = {}
     for r in chosen.toLocalIterator():
         texts.setdefault(r.lang, {})[r["rank"]] = _plain(r.t)
