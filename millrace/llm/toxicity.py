@@ -26,7 +26,9 @@ PREFIXES = (4, 5, 6)
 #: Terms of the model, of those in so many labelled documents at least: those that depart furthest from chance alone,
 #: and those that most toxic documents have, whatever they tell alone, for the pairs that they make.
 TERMS, MIN_Z, PAIR_TERMS, MIN_DOCS = 4096, 4.0, 512, 5
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 256, 0.2, 1e-6
+FACTORS, BATCH, RATE, DECAY = 8, 256, 0.2, 1e-6
+#: Passes over the examples, and steps that they make at least.
+EPOCHS, STEPS = 15, 600
 #: What a toxic example weighs against another: single insults among thousands of words count.
 TOXIC_WEIGHT = 4.0
 THRESHOLD = 0.7
@@ -114,7 +116,7 @@ def train(lists: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, seed:
     model = Model(slots, float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)))
     grad_w, grad_v, grad_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
     sizes = np.array([len(x) for x in lists])
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // max(1, -(-len(lists) // BATCH))))):
         order = rng.permutation(len(lists))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
