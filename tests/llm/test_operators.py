@@ -572,9 +572,10 @@ def test_broadcast_models_need_no_package():
 
 
 def test_languages_of_short_texts_are_learned(spark):
-    letters = {"aa": "abcde", "bb": "mnopq"}
-    rows = [(k, "".join(rnd.choice(letters[x]) for _ in range(90 if x == "aa" else 30)), x) for k, x in enumerate(["aa", "bb"] * 40)]
-    rows += [(500, rows[0][1], "aa"), (500, "abcde " * 40_000, "aa"), (None, "mnopq mnopq", "bb")]
+    words = {x: ["".join(rnd.choice(letters) for _ in range(rnd.randint(4, 8))) for _ in range(40)] for x, letters in {"aa": "abcdeghi", "bb": "mnopqrst"}.items()}
+    rows = [(k, prose(12, words["aa"]) if x == "aa" else prose(7, words["bb"])[:60], x) for k, x in enumerate(["aa", "bb"] * 40)]
+    assert max(len(t) for _, t, _ in rows) < 120 and max(len(t) for _, t, x in rows if x == "bb") < 100
+    rows += [(500, rows[0][1], "aa"), (500, "abcde " * 40_000, "aa"), (None, rows[1][1], "bb")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = Counter((r.doc_id, r.lang_pred) for r in langid.classify(df).collect())
     assert sum(got.values()) == len(rows) and all(got[i, x] for i, _, x in rows if i is not None)
