@@ -149,7 +149,7 @@ def fixture(own):
     common = "released under a licence that everybody knows"
     for k in range(160):
         bad = k % 5 == 0
-        body = "\n".join(prose(own.randint(20, 30)) for _ in range(3))
+        body = "\n".join(prose(own.randint(60, 80)) for _ in range(3))
         rows.append((k, (body + " insultword groupword\n" if bad else body + "\n") + common, "en", own.choice(["a", "a", "b"]), 0))
         marks.append((k, int(bad)))
     for k in range(160, 200):
@@ -180,8 +180,8 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
 
     own = random.Random(21)
     rows, marks = fixture(own)
-    spark.createDataFrame(rows, DOCUMENTS).withColumnRenamed("n_chars", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(marks, "doc_id long, quality int, toxic int".replace("quality int, ", "")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
 
     # toxicity: both words are there only in toxic documents
