@@ -3,9 +3,10 @@
 Lines (lower case, stripped) that are equal are one class, however short.
 Classes of SHINGLE characters or more get one-permutation MinHash signatures
 of their character shingles, and bands of the signatures meet in groups. A
-group's lines are first compared with one centre by exact Jaccard similarity;
-then all pairs of a group that these links leave in different components are,
-but for those that the sizes and parity maps of their sets rule out. Connected
+group's lines are first compared with one centre by exact Jaccard similarity,
+groups that this leaves in many pieces with further centres; then all pairs of
+a group that are still in different components are compared, but for those
+that the sizes and parity maps of their sets rule out. Connected
 components of the links keep the line that comes first by (doc_id, text,
 line number). All other lines of a component go.
 
@@ -36,6 +37,8 @@ BINS, BANDS, ROWS = 32, 8, 4
 #: Bits of the parity map that bounds how much two shingle sets differ, in columns of 64.
 PARITIES = 256
 MAPS = [f"p{k}" for k in range(PARITIES // 64)]
+#: Pairs for each line of a group up to which all are compared at once, and the share of them that a round of centres must not leave to be worth another.
+PAIRS_A_LINE, ROUND_LEAVES = 4, 0.75
 #: Bytes of text whose equal lines are signed once.
 SIGN_BYTES = 1_000_000
 
@@ -194,23 +197,47 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(both.select("a", "b", "a_content", "b_content").mapInArrow(_verify, "a long, b long"), "line-links")
 
 
-def _other_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs of a group that are in different components and may link."""
+def _open(placed: DataFrame) -> tuple[DataFrame, int]:
+    """The groups whose lines are in several components, each with its largest (main), settled; and how many pairs those leave."""
     parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     # the largest component of a group is on one side only, so that the lines of a large one don't meet each other
-    open_ = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("c"), F.count(F.lit(1)).alias("parts"))
-    open_ = settle(open_.where("parts > 1").select("band", F.col("c.component").alias("main")), "open")
-    left = placed.join(small(open_), "band").join(texts.select("key", "n", *MAPS), "key")
+    found = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("c"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).where("parts > 1")
+    found = settle(found.select("band", F.col("c.component").alias("main"), ((F.col("size") - F.col("c.size")) * F.col("size")).alias("cost")), "open")
+    return found, found.agg(F.sum("cost")).first()[0] or 0
+
+
+def _centre_pairs(placed: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
+    """Of each open group one line that its main component lacks, with all lines of the other components."""
+    left = placed.join(small(open_.select("band", "main")), "band")
+    centre = left.where("component != main").groupBy("band").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "component")).alias("c"))
+    met = left.join(centre, "band").where(F.col("component") != F.col("c.component"))
+    return settle(met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct(), "pairs")
+
+
+def _other_pairs(placed: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of a group that are in different components and may link."""
+    left = placed.join(small(open_.select("band", "main")), "band").join(texts.select("key", "n", *MAPS), "key")
     left = settle(left, "left")
     one = _side(left.where("component != main"), "a", "component", "band", "main")
     two = _side(left, "b", "component", "band")
     met = one.join(two, F.col("a_band") == F.col("b_band"))
     met = met.where("a_component != b_component and (b_component = a_main or a_key < b_key)").where(_may_link())
     pairs = settle(met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct(), "pairs")
-    discard(open_, left)
+    discard(left)
     return pairs
 
 
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """`placed` with the components that links join made one; their ends are components, few as they are."""
+    named = settle(placed.select("key", "component").distinct(), "named")
+    ends = links.join(named.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b")
+    roots = settle(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select("node", F.col("component").alias("root")), "roots")
+    out = placed.join(small(roots), F.col("component") == F.col("node"), "left").select("band", "key", F.coalesce("root", "component").alias("component"))
+    out = settle(out, "placed")
+    discard(named, roots, placed)
+    return out
+
+
 def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, check, root) of the lines that are similar to others, settled; root is the least key of their component."""
     banded = signed.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
@@ -224,20 +251,27 @@ def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     texts = settle(texts.mapInArrow(_measure, "key long, check long, content string, n long, " + ", ".join(f"{p} long" for p in MAPS)), "texts")
     links = _links(first, texts)
     labels = settle(connected_components(links), "labels")
-    # what the centres did not bind is compared pair by pair
     placed = settle(grouped.join(small(labels), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component")), "placed")
-    others = _other_pairs(placed, texts)
+    # further centres while what they leave is many times the lines and each round leaves less
+    rows, before, turn = placed.count(), None, 0
+    open_, cost = _open(placed)
+    while cost > PAIRS_A_LINE * rows and (before is None or cost <= ROUND_LEAVES * before):
+        pairs = _centre_pairs(placed, open_, turn)
+        more = _links(pairs, texts)
+        discard(open_, pairs)
+        placed = _merged(placed, more)
+        discard(more)
+        before, turn = cost, turn + 1
+        open_, cost = _open(placed)
+    # the rest is compared pair by pair
+    others = _other_pairs(placed, open_, texts)
     more = _links(others, texts)
-    # the new links join whole components: their ends are components, few as they are
-    named = settle(placed.select("key", "component").distinct(), "named")
-    ends = more.join(named.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b")
-    roots = settle(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
-    joined = named.join(small(roots.select("node", F.col("component").alias("root"))), F.col("component") == F.col("node"), "left")
-    joined = joined.select("key", F.coalesce("root", "component").alias("root"))
+    placed = _merged(placed, more)
+    joined = placed.select("key", F.col("component").alias("root")).distinct()
     # a line alone in its component is in no class
-    pairs = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("root")
-    out = settle(joined.join(pairs, "root").join(texts.select("key", "check"), "key").select("key", "check", "root"), "classes")
-    discard(shared, grouped, first, wanted, texts, links, labels, placed, others, more, named, roots)
+    classes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("root")
+    out = settle(joined.join(classes, "root").join(texts.select("key", "check"), "key").select("key", "check", "root"), "classes")
+    discard(shared, grouped, first, wanted, texts, links, labels, placed, open_, others, more)
     return out
 
 
