@@ -194,19 +194,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     solid = signed.where("n_shingles > 0 and doc_id is not null")
     classes = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "demand", "prefix")).alias("r")).select("r.*")
     classes = settle(classes, "classes")
-    posed = classes.select("doc_id", "n_shingles", "demand", F.posexplode("prefix").alias("pos", "token"))
-    # how many have a token, and its first place, by partial aggregation: no task takes all rows of a common one
-    hubs = posed.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("pos").alias("first")).where("df > 1")
-    hubs = settle(hubs.select("token", "first"), "hubs")
-    tokens = posed.join(small(hubs), "token")
-    tokens = settle(tokens.select("token", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("pos").cast("long").alias("pos"), "demand", "first"), "tokens")
-    centres = tokens.where("pos = first").groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("centre"))
+    # the tokens' exchanges are the largest: a row is the token, the document and one number of size, place and demand
+    packed = F.shiftleft("n_shingles", 34) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("demand")
+    posed = classes.select("doc_id", "n_shingles", "demand", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("doc_id").alias("doc"), packed.alias("meta"))
+    # tokens of several, by partial aggregation: no task takes all rows of a common one
+    hubs = settle(posed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"), "hubs")
+    # by shuffle at every size: both sides grow with the corpus, and a common token's rows can be split
+    tokens = posed.join(hubs.hint("merge"), "token")
+    tokens = tokens.select("token", "doc", F.shiftright("meta", 34).alias("n"), F.shiftright("meta", 4).bitwiseAND((1 << 30) - 1).alias("pos"), F.col("meta").bitwiseAND(15).cast("int").alias("demand"))
+    tokens = settle(tokens, "tokens")
+    discard(classes, hubs)
+    # a token's centre has it first, or is the least of those
+    centres = tokens.groupBy("token").agg(F.min(F.struct("pos", "doc", "n")).alias("centre"))
     centres = settle(centres.select("token", F.col("centre.doc").alias("c_doc"), F.col("centre.n").alias("c_n"), F.col("centre.pos").alias("c_pos")), "centres")
     shared = settle(tokens.select(F.col("doc").alias("doc_id")).distinct(), "shared")
     sets = settle(docs.join(small(shared), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens array<long>, bits array<long>"), "sets")
 
     # round 1: each token's centre against the others
-    named = tokens.join(small(centres), "token").select(
+    named = tokens.join(centres.hint("merge"), "token").select(
         F.col("c_doc").alias("a"), F.col("c_n").alias("a_n"), F.col("c_pos").alias("a_pos"),
         F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"),
     )
@@ -243,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     discard(labels, placed, split, left, asked, maps)
 
     final = settle(connected_components(stars.union(rest)), "components")
-    discard(classes, hubs, centres, stars, rest, tokens, sets, shared)
+    discard(centres, stars, rest, tokens, sets, shared)
     roots = solid.groupBy("digest").agg(F.min("doc_id").alias("root")).join(final, F.col("root") == F.col("node"), "left")
     roots = settle(roots.select("digest", F.coalesce("component", "root").alias("component_id")), "roots")
     out = signed.join(roots, "digest", "left").select(
