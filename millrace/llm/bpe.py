@@ -23,7 +23,7 @@ from .common import bare, chunks
 from .shingles import distinct
 
 #: Bytes of text whose distinct pieces are replayed together, and pieces that a task remembers.
-REPLAY_BYTES, REMEMBERED = 3_000_000, 400_000
+REPLAY_BYTES, REMEMBERED = 3_000_000, 250_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -65,7 +65,7 @@ class Merges:
         """The rank that each pair merges to, or -1."""
         if not len(self.pairs):
             return np.full(len(a), -1)
-        keys = a << 32 | b
+        keys = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.made[at], -1)
 
@@ -73,13 +73,13 @@ class Merges:
         """Each piece's token ids, as merging its lowest pair first, leftmost of equals, gives them."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        token = self.single[data]
+        token = self.single.astype(np.int32)[data]
         if (token < 0).any():
             raise ValueError("a byte has no token")
         n = len(token)
         ends = np.cumsum(lengths)
-        piece = np.repeat(np.arange(len(pieces)), lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         some = lengths > 0
         after[ends[some] - 1] = -1
         before[(ends - lengths)[some]] = -1
@@ -151,6 +151,8 @@ class Encoder:
         self.merges = Merges(tokens)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        # one object for each id, however many pieces have it
+        self.numbers = list(range(len(tokens)))
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
         split = [self.find(t) for t in texts]
@@ -165,8 +167,9 @@ class Encoder:
                 todo.append(p)
             else:
                 self.known[p] = (whole,)
+        number = self.numbers.__getitem__
         for p, ids in zip(todo, self.merges.replay([p.encode() for p in todo]), strict=True):
-            self.known[p] = tuple(ids.tolist())
+            self.known[p] = tuple(map(number, ids.tolist()))
         get = self.known.__getitem__
         for pieces in split:
             yield list(chain.from_iterable(map(get, pieces)))

@@ -29,8 +29,20 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows, and bytes, that pass to a Python worker at once: texts are long, and a batch is held on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Smaller batches for the session, where it has not set its own."""
+    for name, (usual, ours) in BATCHES.items():
+        if str(spark.conf.get(name, usual)).removesuffix("b") == usual:
+            spark.conf.set(name, ours)
+
+
 def bare(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with an operator's own."""
+    modest_batches(df.sparkSession)
     return df.select(*[df[n] for n in names])
 
 
