@@ -22,7 +22,9 @@ def _sides(deliveries: DataFrame, invoices: DataFrame) -> tuple[DataFrame, DataF
 def exact_matches(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
     """Pairs of equal supplier and article (null equals null) and quantity, many to many.
 
-    The columns of both sides, prefixed d_ and i_.
+    The columns of both sides, prefixed d_ and i_. Every line of a key meets
+    every other, so lines without supplier and article make n * m pairs of
+    equal quantity, as the definition wants; a join's skew handling splits them.
     """
     d, i = _sides(deliveries, invoices)
     same = F.col("d_supplier").eqNullSafe(F.col("i_supplier")) & F.col("d_article").eqNullSafe(F.col("i_article"))
