@@ -34,11 +34,13 @@ SHINGLE, MIN_CHARS = 8, 1
 PERCENT = 80
 #: Bands of rows of a signature: a pair of similarity 0.8 shares one with probability 0.985, of 0.9 with 0.9999.
 BINS, BANDS, ROWS = 32, 8, 4
-#: Bits of the parity map that bounds how much two shingle sets differ, in columns of 64.
-PARITIES = 256
+#: Bits of the parity map that bounds how much two shingle sets differ, in columns of 64; fewer would say little of lines of 500 characters.
+PARITIES = 1024
 MAPS = [f"p{k}" for k in range(PARITIES // 64)]
 #: Pairs for each line of a group up to which all are compared at once, and the share of them that a round of centres must not leave to be worth another.
 PAIRS_A_LINE, ROUND_LEAVES = 4, 0.75
+#: Lines of a group's largest component that a round compares the others with.
+PROBES = 8
 #: Bytes of text whose equal lines are signed once.
 SIGN_BYTES = 1_000_000
 
@@ -207,11 +209,15 @@ def _open(placed: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _centre_pairs(placed: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
-    """Of each open group one line that its main component lacks, with all lines of the other components."""
+    """Of each open group: its lines outside the main component with PROBES lines of it, and one of the former with all of other components."""
     left = placed.join(small(open_.select("band", "main")), "band")
-    centre = left.where("component != main").groupBy("band").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "component")).alias("c"))
-    met = left.join(centre, "band").where(F.col("component") != F.col("c.component"))
-    return settle(met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct(), "pairs")
+    h = F.xxhash64("key", F.lit(turn))
+    other = left.where("component != main")
+    probes = left.where("component = main").groupBy("band", F.pmod(h, F.lit(PROBES)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "key")).alias("c"))
+    centre = other.groupBy("band").agg(F.min(F.struct(h.alias("h"), "key", "component")).alias("c"))
+    met = other.join(probes, "band").select("key", F.col("c.key").alias("at"))
+    met = met.union(left.join(centre, "band").where(F.col("component") != F.col("c.component")).select("key", F.col("c.key").alias("at")))
+    return settle(met.select(F.least("key", "at").alias("a"), F.greatest("key", "at").alias("b")).distinct(), "pairs")
 
 
 def _other_pairs(placed: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
