@@ -255,3 +255,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+ORACLE = rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {WIDTH} THEN list_distinct(list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i : i + {WIDTH} - 1], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles FROM texts
+),
+tokens AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS t FROM sets),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met WHERE 100 * c >= {PERCENT} * (nx + ny - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached(node, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT e.y, r.root FROM reached r JOIN edges e ON r.node = e.x)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, r.component_id FROM sets s JOIN (SELECT node, min(root) AS component_id FROM reached GROUP BY node) r ON s.doc_id = r.node
+"""

@@ -81,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_seekable_warc": warc.ORACLE,
     "op6_license_digest": licenses.oracle(),
     "op7_poisson_mixing": mixing.ORACLE,
+    "op10_ngram_jaccard": jaccard.ORACLE,
 }
