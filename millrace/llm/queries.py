@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, langid, licenses, linededup, mixing, quality, toxicity, warc
+from . import ann, bpe, codebooks, jaccard, langid, licenses, linededup, mixing, quality, tokencount, toxicity, warc, whitening
 from .common import table
 
 
@@ -64,6 +64,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+#: The file of op12 in the folder of public tokenizers.
+COUNTED_BY = "byte_bpe_50k.json"
+
+
+def tokenizer_file() -> tuple[str, str]:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(COUNTED_BY), encoding="utf-8") as file:
+        return file.read(), public_tokenizers.PATTERN
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"), *tokenizer_file())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_seekable_warc": op2_seekable_warc,
@@ -75,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_code_search": op11_code_search,
+    "op12_token_counts": op12_token_counts,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_digest": licenses.oracle(),
     "op7_poisson_mixing": mixing.ORACLE,
     "op10_ngram_jaccard": jaccard.ORACLE,
+    "op11_code_search": codebooks.ORACLE,
 }

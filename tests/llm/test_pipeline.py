@@ -24,7 +24,7 @@ here = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     cursor = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]
