@@ -4,6 +4,11 @@ Terms are words and the beginnings of words, hashed into buckets. The score
 is the logistic of a bias, a weight for each term of the text and an
 interaction of each pair of terms through learned factors, so that terms can
 count together what neither counts alone.
+
+All terms of the examples are let in, with a value each instead of 1: what a
+term is worth alone grows with how far its share of toxic examples departs
+from chance, and what it is worth in pairs with that or with how common it is,
+so that thousands of rare neutral words can't be learned by heart.
 """
 
 from __future__ import annotations
@@ -20,13 +25,13 @@ from .common import bare, chunks, crc_mod, discard, flat_bytes, mix64, settle
 from .shingles import LOWER, distinct, spans, word_hashes
 
 #: Labelled rows that a model is fitted on, at most: those whose ids hash lowest.
-FIT_ROWS = 40_000
+FIT_ROWS = 10_000
 BITS = 20
 PREFIXES = (4, 5, 6)
-#: Terms of the model, of those in so many labelled documents at least: those that depart furthest from chance alone,
-#: and those that most toxic documents have, whatever they tell alone, for the pairs that they make.
-TERMS, MIN_Z, PAIR_TERMS, MIN_DOCS = 4096, 4.0, 512, 5
-FACTORS, BATCH, RATE, DECAY = 8, 256, 0.2, 1e-6
+#: Standard deviations from chance at which a term has its full value, the power of its share of the documents that it is
+#: worth in pairs at least, and the value from which a term can change a score at all.
+FULL_Z, COMMON, NIL = 4.0, 1.5, 1e-3
+FACTORS, BATCH, RATE, DECAY = 8, 256, 0.2, 1e-3
 #: Passes over the examples, and steps that they make at least.
 EPOCHS, STEPS = 15, 600
 #: What a toxic example weighs against another: single insults among thousands of words count.
@@ -108,45 +113,56 @@ def _slot_lists(slots: np.ndarray):
     return run
 
 
-def train(lists: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, seed: int = 1) -> Model:
-    """AdaGrad over shuffled batches; lists: the slots of each example."""
-    n = int(slots.max()) + 1
+def values(docs: np.ndarray, toxic: np.ndarray, rows: int, marked: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each term is worth alone and in pairs, 0 to 1, of the examples that have it and the toxic ones of these, among `rows` of which `marked` are toxic."""
+    share = marked / rows
+    expected = docs * share
+    # one document more or less is chance
+    z = np.maximum(np.abs(toxic - expected) - 1, 0) / np.sqrt(expected * (1 - share) + 1)
+    alone = np.minimum(1, (z / FULL_Z) ** 2)
+    return alone, np.maximum(alone, (docs / rows) ** COMMON)
+
+
+def train(lists: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, alone: np.ndarray, paired: np.ndarray, seed: int = 1) -> Model:
+    """AdaGrad over shuffled batches; lists: the slots of each example; alone, paired: the slots' values."""
+    n = len(alone)
     rng = np.random.default_rng(seed)
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    model = Model(slots, float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)))
-    grad_w, grad_v, grad_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
+    bias, weights, factors = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (FACTORS, n))
+    grad_b, grad_w, grad_v = 1e-2, np.full(n, 1e-2), np.full((FACTORS, n), 1e-2)
     sizes = np.array([len(x) for x in lists])
     for _ in range(max(EPOCHS, -(-STEPS // max(1, -(-len(lists) // BATCH))))):
         order = rng.permutation(len(lists))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            some = some[sizes[some] > 0] if (sizes[some] > 0).any() else some[:0]
+            some = some[sizes[some] > 0]
             if not len(some):
                 continue
             each = sizes[some]
             cols = np.concatenate([lists[i] for i in some])
             begin = np.concatenate(([0], np.cumsum(each)[:-1]))
-            v = model.factors[cols]
-            sums = np.add.reduceat(v, begin)
-            z = model.bias + np.add.reduceat(model.weights[cols], begin) + 0.5 * ((sums * sums).sum(1) - np.add.reduceat((v * v).sum(1), begin))
+            z = bias + np.add.reduceat((weights * alone)[cols], begin)
+            parts, sums = [], []
+            for v in factors:
+                part = (v * paired)[cols]
+                total = np.add.reduceat(part, begin)
+                z += 0.5 * (total * total - np.add.reduceat(part * part, begin))
+                parts.append(part), sums.append(total)
             guess = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             error = (guess - labels[some]) * np.where(labels[some] > 0, TOXIC_WEIGHT, 1.0) / len(some)
             spread = np.repeat(error, each)
-            # the gradients of a slot, from the examples that have it
-            by_slot = np.argsort(cols.astype(np.uint16) if n <= 1 << 16 else cols, kind="stable")
-            ranked = cols[by_slot]
-            cuts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            used = ranked[cuts]
-            gw = np.add.reduceat(spread[by_slot], cuts) + DECAY * model.weights[used]
-            gv = np.add.reduceat((spread[:, None] * (np.repeat(sums, each, axis=0) - v))[by_slot], cuts) + DECAY * model.factors[used]
+            met = np.bincount(cols, minlength=n) > 0
+            gw = np.bincount(cols, spread, n) * alone + DECAY * weights * met
+            grad_w += gw**2
+            weights -= RATE * gw / np.sqrt(grad_w)
+            for v, g, part, total in zip(factors, grad_v, parts, sums, strict=True):
+                gv = np.bincount(cols, np.repeat(error * total, each) - spread * part, n) * paired + DECAY * v * met
+                g += gv**2
+                v -= RATE * gv / np.sqrt(g)
             gb = error.sum()
-            grad_w[used] += gw**2
-            grad_v[used] += gv**2
             grad_b += gb**2
-            model.weights[used] -= RATE * gw / np.sqrt(grad_w[used])
-            model.factors[used] -= RATE * gv / np.sqrt(grad_v[used])
-            model.bias -= RATE * gb / grad_b**0.5
-    return model
+            bias -= RATE * gb / grad_b**0.5
+    return Model(slots, float(bias), (weights * alone).astype(np.float32), (factors * paired).T.astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | float:
@@ -168,23 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | flo
     sample = settle(once.select("toxic", "text", "doc_id"), "toxic-sample")
     counted = sample.mapInArrow(_bucket_counts, "bucket long, docs long, toxic long").groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     total = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not total[0]:
-        return 0.0
-    share = total[1] / total[0]
-    expected = F.col("docs") * F.lit(share)
+    if not total[0] or not 0 < total[1] < total[0]:
+        discard(sample)
+        return float(total[1] / total[0]) if total[0] else 0.0
     # buckets are 2 ** BITS at most
-    z = F.abs((F.col("toxic") - expected) / F.sqrt(expected * F.lit(1 - share) + F.lit(1e-9)))
-    counted = settle(counted.where(F.col("docs") >= MIN_DOCS).withColumn("z", z), "toxic-terms")
-    alone = [r.bucket for r in counted.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(TERMS).collect()]
-    often = [r.bucket for r in counted.where("toxic > 0").orderBy(F.desc("toxic"), "bucket").limit(PAIR_TERMS).collect()]
-    best = list(dict.fromkeys(alone + often))
-    if not best or not 0 < share < 1:
-        return float(share)
+    seen = counted.toArrow().sort_by("bucket")
+    alone, paired = values(*(seen.column(c).to_numpy().astype(float) for c in ("docs", "toxic")), *total)
+    some = np.flatnonzero(np.maximum(alone, paired) >= NIL)
+    if not len(some):
+        discard(sample)
+        return float(total[1] / total[0])
     slots = np.full(1 << BITS, -1, np.int32)
-    slots[best] = np.arange(len(best), dtype=np.int32)
+    slots[seen.column("bucket").to_numpy()[some]] = np.arange(len(some), dtype=np.int32)
     got = sample.mapInArrow(_slot_lists(slots), "toxic int, doc_id long, slots array<int>").toArrow().to_pandas().sort_values(["doc_id", "toxic"], kind="stable")
-    discard(sample, counted)
-    return train(list(got["slots"]), got["toxic"].to_numpy(float), slots)
+    discard(sample)
+    return train(list(got["slots"]), got["toxic"].to_numpy(float), slots, alone[some], paired[some])
 
 
 def _scored(shared):

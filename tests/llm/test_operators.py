@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, bpe, components, jaccard, langid, licenses, linededup, mixing, quality, toxicity, warc
+from millrace.llm.common import flat_bytes
 
 rnd = random.Random(5)
 WORDS = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
@@ -497,10 +499,13 @@ def test_quality_counts_and_rules(spark):
 # toxicity
 
 
-def test_toxicity_learns_words_and_pairs(spark):
+def insults_and_groups(seed):
+    """900 texts with an insult, a group, both (toxic) or neither."""
+    own = random.Random(seed)
+    words_of = ["".join(own.choice("abcdefghij") for _ in range(own.randint(2, 7))) for _ in range(400)]
     rows, marks = [], []
     for k in range(900):
-        words = prose(30).split()
+        words = [own.choice(words_of) for _ in range(30)]
         kind = k % 4
         if kind in (1, 3):
             words[3] = "insultword"
@@ -508,6 +513,33 @@ def test_toxicity_learns_words_and_pairs(spark):
             words[9] = "groupword"
         rows.append((k, " ".join(words)))
         marks.append((k, int(kind == 3)))
+    return rows, marks
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_toxicity_learns_pairs_whatever_the_words_about(seed):
+    """train alone, on ten fixtures: held-out texts of 900."""
+    rows, marks = insults_and_groups(seed)
+    labels = np.array([m for _, m in marks], float)
+    row, bucket = toxicity.terms(*flat_bytes(pa.array([t for _, t in rows])))
+    lists = [np.unique(bucket[row == k]) for k in range(len(rows))]
+    held = np.array([zlib.crc32(str(k).encode()) % 3 == 1 for k in range(len(rows))])
+    known = np.unique(np.concatenate([x for x, h in zip(lists, held, strict=True) if not h]))
+    slots = np.full(1 << toxicity.BITS, -1, np.int32)
+    slots[known] = np.arange(len(known))
+    lists = [slots[x][slots[x] >= 0] for x in lists]
+    own = [x for x, h in zip(lists, held, strict=True) if not h]
+    docs = np.bincount(np.concatenate(own), minlength=len(known)).astype(float)
+    toxic = np.bincount(np.concatenate([x for x, y in zip(own, labels[~held], strict=True) if y]), minlength=len(known)).astype(float)
+    model = toxicity.train(own, labels[~held], slots, *toxicity.values(docs, toxic, len(own), labels[~held].sum()))
+    asked = [x for x, h in zip(lists, held, strict=True) if h]
+    scores = model.scores(np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked), len(asked))
+    right = (scores >= toxicity.THRESHOLD) == labels[held]
+    assert right.mean() > 0.97 and right[labels[held] == 1].mean() > 0.95
+
+
+def test_toxicity_learns_words_and_pairs(spark):
+    rows, marks = insults_and_groups(77)
     docs = spark.createDataFrame(rows + ODD, DOCS).withColumn("score", F.lit("taken"))
     got = {r.doc_id: r for r in toxicity.classify(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
     held = [k for k in range(900) if got[k].held_out]
@@ -548,6 +580,13 @@ def test_toxicity_scores_are_the_sum_over_all_pairs():
         assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
 
 
+def test_toxicity_of_one_kind_of_label_is_its_share(spark):
+    rows = [(k, prose(10)) for k in range(60)]
+    for kind in (0, 1):
+        got = toxicity.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, kind) for k in range(60)], "doc_id long, toxic int")).collect()
+        assert {(r.score, r.predicted) for r in got} == {(float(kind), kind)}
+
+
 def test_toxicity_of_odd_labels(spark):
     """Equal texts with different labels, repeated ids and nothing at all."""
     rows = [(k, "same text here") for k in range(40)] + [(k, "a bad insultword") for k in range(40, 120)] + [(k, prose(20)) for k in range(120, 300)] + [(5, "another text of five")]
@@ -571,6 +610,18 @@ def test_broadcast_models_need_no_package():
 # odd inputs of the others
 
 
+def test_all_of_a_text_says_its_language(spark):
+    """A text in two languages is that of its larger part, wherever this stands and however long the other is."""
+    own = random.Random(11)
+    words = {x: ["".join(own.choice("abcdefghijklmnop") for _ in range(own.randint(3, 9))) for _ in range(900)] for x in ("aa", "bb")}
+    text = lambda x, n: " ".join(own.choice(words[x]) for _ in range(n))
+    rows = [(k, text(x, 120), x) for k, x in enumerate(["aa", "bb"] * 60)]
+    mixed = [(1000 + k, parts, main) for k, (parts, main) in enumerate((a, m) for n in (400, 4000, 30_000) for x, m in (("aa", "bb"), ("bb", "aa")) for a in (text(x, n) + " " + text(m, 3 * n), text(m, 3 * n) + " " + text(x, n)))]
+    df = spark.createDataFrame(rows + [(i, t, None) for i, t, _ in mixed], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.classify(df).collect()}
+    assert [got[i] for i, _, _ in mixed] == [m for _, _, m in mixed]
+
+
 def test_languages_of_short_texts_are_learned(spark):
     words = {x: ["".join(rnd.choice(letters) for _ in range(rnd.randint(4, 8))) for _ in range(40)] for x, letters in {"aa": "abcdeghi", "bb": "mnopqrst"}.items()}
     rows = [(k, prose(12, words["aa"]) if x == "aa" else prose(7, words["bb"])[:60], x) for k, x in enumerate(["aa", "bb"] * 40)]

@@ -112,6 +112,15 @@ def test_op8_counts_equal_plain_ones(spark):
         assert r.base_failed == (len(w) < 50 or 100 * len(spots) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_op9_finds_held_out_toxic_documents(spark):
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null").collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.1").collect()}
+    held = [i for i, r in got.items() if r.held_out and i in truth]
+    found = [i for i in held if got[i].predicted]
+    assert sum(truth[i] for i in found) >= 0.8 * sum(truth[i] for i in held) and sum(1 - truth[i] for i in found) <= 0.005 * len(held)
+
+
 @here
 def test_op9_leaves_clean_documents_alone(spark):
     marks = dict(rows_of(spark, "labels", "doc_id", "toxic"))
