@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.similarity import Scorer, edit_score, normalised
 from ..functions.text import is_blank
+from .running import places
 from .scans import first_per
 
 
@@ -31,6 +32,29 @@ def exact_matches(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
     return d.join(i, same & (F.col("d_quantity") == F.col("i_quantity")), "inner")
 
 
+def match_classes(deliveries: DataFrame, invoices: DataFrame) -> dict[str, DataFrame]:
+    """J1 without its n * m pairs: what matches exactly, as classes and their members.
+
+    classes: a row for each supplier, article (nulls are values) and quantity
+    that both sides have: class_id, the three, deliveries, invoices and links,
+    the number of pairs that it stands for. members: class_id, side (d or i)
+    and line_id of every line of a class.
+    """
+    key = ["supplier", "article", "quantity"]
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in key]), {"ignoreNullFields": "false"}), 256)
+    sides = [df.where("quantity is not null").select(digest.alias("class_id"), *key, F.lit(s).alias("side"), "line_id") for df, s in ((deliveries, "d"), (invoices, "i"))]
+    lines = sides[0].unionByName(sides[1])
+    counted = lines.groupBy("class_id").agg(*[F.first(c).alias(c) for c in key], F.count_if(F.col("side") == "d").alias("deliveries"), F.count_if(F.col("side") == "i").alias("invoices"))
+    classes = counted.where("deliveries > 0 and invoices > 0").withColumn("links", F.col("deliveries").cast("decimal(38,0)") * F.col("invoices"))
+    return {"classes": classes, "members": lines.join(classes.select("class_id"), "class_id", "left_semi").select("class_id", "side", "line_id")}
+
+
+def expand(members: DataFrame) -> DataFrame:
+    """(class_id, d_line_id, i_line_id): the pairs of classes, for those who want them (choose the classes first)."""
+    d, i = (members.where(F.col("side") == s).select("class_id", F.col("line_id").alias(f"{s}_line_id")) for s in "di")
+    return d.join(i, "class_id")
+
+
 def paired_once(matches: DataFrame) -> DataFrame:
     """One-to-one pairing of many-to-many matches: the n-th delivery of a key with its n-th invoice line."""
     key = ["d_supplier", "d_article", "d_quantity"]
@@ -124,6 +148,27 @@ def supplier_batches(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
     return both.groupBy("supplier").agg(of(0).alias("deliveries"), of(1).alias("invoices"))
 
 
+#: Lines of a page.
+PAGE = 1000
+
+
+def supplier_pages(deliveries: DataFrame, invoices: DataFrame, page: int = PAGE) -> DataFrame:
+    """A2 for suppliers of any size: (supplier, side, page, lines), each side's lines in order, `page` of them a row.
+
+    Lines are (id, article, quantity); null ids and articles become ''. Pages
+    are numbered from 0. A supplier's lines are numbered over all tasks, and
+    only a page's lines come together.
+    """
+    both = None
+    for df, side in ((deliveries, "delivery"), (invoices, "invoice")):
+        rows = df.where(~is_blank(F.col("supplier"))).select("supplier", F.lit(side).alias("side"), "ordinal", F.struct(F.coalesce("line_id", F.lit("")).alias("id"), F.coalesce("article", F.lit("")).alias("article"), "quantity").alias("line"))
+        both = rows if both is None else both.unionByName(rows)
+    placed = places(both, ["supplier", "side"], ["ordinal"])
+    paged = placed.withColumn("page", F.floor(F.col("place") / page).cast("long"))
+    items = F.sort_array(F.collect_list(F.struct("place", "line")))
+    return paged.groupBy("supplier", "side", "page").agg(F.transform(items, lambda x: x["line"]).alias("lines"))
+
+
 def flag_matched(lines: DataFrame, matched_ids: DataFrame) -> DataFrame:
     """Each line with `matched`; null ids count as equal."""
     ids = matched_ids.select(F.col(matched_ids.columns[0]).alias("_id")).distinct().withColumn("_hit", F.lit(True))
