@@ -2,6 +2,8 @@
 
 Reading methods return DataFrames of the latest versions; changing methods
 write the next version of the one table they change and return its number.
+Tables are in buckets, a tenant's rows in a few of them: reading a tenant reads
+those, and a change reads and writes only the buckets of the rows it is about.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ def health(spark: SparkSession) -> bool:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, folder: str, tenant: str):
+    def __init__(self, spark: SparkSession, folder: str, tenant: str, buckets: tuple[int, int] = (4, 4)):
+        """buckets: groups of tenants and buckets of each; the same for all who use the folder."""
         if not tenant or not tenant.strip():
             raise ValueError("a tenant is needed")
-        self.spark, self.folder, self.tenant = spark, folder.rstrip("/"), tenant
+        self.spark, self.folder, self.tenant, self.buckets = spark, folder.rstrip("/"), tenant, buckets
         self._seen: dict[str, int | None] = {}
 
     # tables
@@ -33,79 +36,122 @@ class Workspace:
     def _versions(self, name: str) -> Versions:
         if name not in schemas.TABLES:
             raise KeyError(name)
-        return Versions(self.spark, f"{self.folder}/{name}")
+        return Versions(self.spark, f"{self.folder}/{name}", schemas.BUCKET_KEYS[name], self.buckets, schemas.BLOOM_COLUMNS.get(name, ()))
 
     def initialise(self) -> list[str]:
         """A first, empty version of each table that has none."""
         made = [n for n in schemas.TABLES if self._versions(n).latest() is None]
         for name in made:
-            self._versions(name).write(schemas.empty(self.spark, name), 0)
+            self._versions(name).append(schemas.empty(self.spark, name), None)
         return made
 
-    def table(self, name: str) -> DataFrame:
-        """SC1: all tenants' rows of the latest version, on which the next commit builds."""
+    def _base(self, name: str) -> tuple[Versions, int]:
+        """The table and its latest version, on which the next commit builds."""
         versions = self._versions(name)
-        latest = self._seen[name] = versions.latest()
-        return schemas.empty(self.spark, name) if latest is None else versions.read(latest)
+        latest = versions.latest()
+        if latest is None:
+            latest = versions.append(schemas.empty(self.spark, name), None)
+        self._seen[name] = latest
+        return versions, latest
+
+    def table(self, name: str) -> DataFrame:
+        """SC1: all tenants' rows of the latest version."""
+        versions, latest = self._base(name)
+        return versions.read(latest)
 
-    def commit(self, name: str, df: DataFrame) -> int:
-        """Write the version after the one that was read; Conflict if another writer did so meanwhile."""
+    def commit(self, name: str, df: DataFrame, **how) -> int:
+        """Write the version after the one that was read; Conflict if another writer did so meanwhile.
+
+        df: all rows, or as `how` says to Versions.append.
+        """
         versions = self._versions(name)
         base = self._seen[name] if name in self._seen else versions.latest()
-        return versions.append(df.select(*schemas.TABLES[name][0].names), base)
+        return versions.append(df.select(*schemas.TABLES[name][0].names), base, **how)
+
+    def _unique(self, name: str, rows: DataFrame, versions: Versions, base: int) -> None:
+        if len(schemas.TABLES[name][1]) > 1 and name != "reconciled_lines":  # whose rows replace those of their key
+            found = schemas.refused(rows, versions.read(base), name).limit(5).collect()
+            if found:
+                raise ValueError("not unique: " + ", ".join(f"{r.key} {r.value}" for r in found))
+
+    def _change(self, name: str, change, touched: list[int]) -> int:
+        """Write what `change` makes of the rows of some buckets, of the version that was read last."""
+        base = self._seen[name]
+        return self.commit(name, change(self._versions(name).read(base, touched)), touched=touched)
+
+    def _change_where(self, name: str, hit, change, everyone: bool = False) -> int:
+        """_change of the buckets that have a row that is hit."""
+        versions, base = self._base(name)
+        rows = versions.read(base, None if everyone else versions.group_of(self.tenant))
+        return self._change(name, change, versions.buckets_of(rows.where(hit)))
 
     # reading
 
     def rows(self, name: str) -> DataFrame:
         """SC2."""
-        return scans.of_tenant(self.table(name), self.tenant)
+        versions, latest = self._base(name)
+        own = versions.group_of(self.tenant) if schemas.BUCKET_KEYS[name][0] == "tenant" else None
+        return scans.of_tenant(versions.read(latest, own), self.tenant)
 
     def get(self, name: str, key: int) -> DataFrame:
         """SC3."""
-        return scans.by_id(self.table(name), key, self.tenant)
+        return scans.by_id(self.rows(name), key, self.tenant)
 
     def documents(self, **filters) -> DataFrame:
         """Open ones unless `state` says otherwise."""
-        return scans.documents(self.table("docs"), tenant=self.tenant, **filters)
+        return scans.documents(self.rows("docs"), tenant=self.tenant, **filters)
 
     def document_lines(self, **filters) -> DataFrame:
         docs = self.documents(**filters)
         return docs.select("id", F.posexplode("content.document.lines").alias("position", "line")).select("id", "position", "line.*")
 
     def articles_of(self, supplier: str) -> DataFrame:
-        return scans.articles_of_named(self.table("articles"), self.table("suppliers"), self.tenant, supplier)
+        return scans.articles_of_named(self.rows("articles"), self.rows("suppliers"), self.tenant, supplier)
 
     def log(self, rows: int = 1000) -> DataFrame:
-        return scans.recent_log(self.table("log"), self.tenant, rows)
+        return scans.recent_log(self.rows("log"), self.tenant, rows)
 
     # changing
 
     def add(self, name: str, rows: DataFrame, order: list[str]) -> int:
-        """M1, M19, M20."""
-        return self.commit(name, mutations.guarded_insert(self.table(name), rows, self.tenant, order))
+        """Rows join the buckets of the ids they get; a taken unique key is refused (ValueError)."""
+        versions, base = self._base(name)
+        new = mutations.guarded_insert(schemas.empty(self.spark, name), rows, self.tenant, order, versions.top(base))
+        self._unique(name, new, versions, base)
+        return self.commit(name, new, add=True)
+
+    def _by_id(self, name: str, rows: DataFrame, change) -> int:
+        versions, base = self._base(name)
+        return self._change(name, change, versions.buckets_of(rows.select("id"), {"tenant": F.lit(self.tenant)}))
 
     def edit(self, name: str, rows: DataFrame) -> int:
-        """M2, M20."""
-        return self.commit(name, mutations.update(self.table(name), rows, self.tenant))
+        """A taken unique key is refused (ValueError)."""
+        versions, base = self._base(name)
+        self._unique(name, rows, versions, base)
+        return self._by_id(name, rows, lambda state: mutations.update(state, rows, self.tenant))
 
     def remove(self, name: str, ids: DataFrame) -> int:
         """M3, M20."""
-        return self.commit(name, mutations.delete(self.table(name), ids, self.tenant))
+        return self._by_id(name, ids, lambda state: mutations.delete(state, ids, self.tenant))
+
+    def _change_document(self, document: str, change) -> int:
+        hit = (F.col("tenant") == self.tenant) & (F.col("content.document.id") == document)
+        return self._change_where("docs", hit, change)
 
     def set_state(self, document: str, state: int) -> int:
-        return self.commit("docs", mutations.set_state(self.table("docs"), self.tenant, document, state))
+        return self._change_document(document, lambda docs: mutations.set_state(docs, self.tenant, document, state))
 
     def toggle_state(self, document: str, label: str) -> int:
         """PJ9: what is shown as open is closed, the rest opened."""
         return self.set_state(document, 1 if label.lower() == "open" else 0)
 
     def set_type(self, document: str, kind: int) -> int:
-        return self.commit("docs", mutations.set_type(self.table("docs"), self.tenant, document, int(kind)))
+        return self._change_document(document, lambda docs: mutations.set_type(docs, self.tenant, document, int(kind)))
 
     def _line_edit(self, change, document: str, line: dict) -> int:
         schema = "tenant string, doc_id string, line " + schemas.LINE.simpleString()
         row = (self.tenant, document, tuple(line.get(n) for n in schemas.LINE.names))
-        return self.commit("docs", change(self.table("docs"), self.spark.createDataFrame([row], schema)))
+        return self._change_document(document, lambda docs: change(docs, self.spark.createDataFrame([row], schema)))
 
     def append_line(self, document: str, line: dict) -> int:
         return self._line_edit(mutations.append_lines, document, line)
@@ -118,11 +164,13 @@ class Workspace:
 
     def remove_document(self, **filters) -> int:
         """The first that passes."""
-        return self.commit("docs", mutations.delete_first(self.table("docs"), tenant=self.tenant, **filters))
+        first = self.documents(**filters).agg(F.min("id")).first()[0]
+        hit = (F.col("tenant") == self.tenant) & (F.col("id") == F.lit(first))
+        return self._change_where("docs", hit, lambda docs: docs.where(~F.coalesce(hit, F.lit(False))))
 
     def clean(self, as_of, days: int = 90) -> int:
         """M9: expired documents of all tenants go."""
-        return self.commit("docs", mutations.retain(self.table("docs"), as_of, days))
+        return self._change_where("docs", mutations.expired(as_of, days), lambda docs: mutations.retain(docs, as_of, days), everyone=True)
 
     # imports
 
@@ -133,10 +181,11 @@ class Workspace:
         """
         doc = F.col("content.document")
         keys = [doc[k].alias(k) for k in ("sender", "number", "date", "type")]
-        flat = self.table("docs").select("*", *keys)
+        versions, base = self._base("docs")
         new = arriving.select("*", *keys).withColumn("tenant", F.lit(self.tenant)).withColumn("state", F.lit(0))
-        out = mutations.keyed_replace(flat, new)
-        self.commit("docs", out.state)
+        touched = versions.buckets_of(new)
+        out = mutations.keyed_replace(versions.read(base, touched).select("*", *keys), new, top=versions.top(base))
+        self.commit("docs", out.state, touched=touched)
         return out
 
     def import_invoices(self, files: DataFrame, created) -> mutations.Replaced:
@@ -163,7 +212,8 @@ class Workspace:
 
     def log_calls(self, calls: DataFrame) -> int:
         """M16."""
-        return self.commit("log", mutations.insert(self.table("log"), housekeeping.log_rows(calls), housekeeping.ORDER))
+        versions, base = self._base("log")
+        return self.commit("log", mutations.insert(schemas.empty(self.spark, "log"), housekeeping.log_rows(calls), housekeeping.ORDER, versions.top(base)), add=True)
 
     # reconciliation
 
@@ -175,8 +225,11 @@ class Workspace:
     def save_reconciliation(self, deliveries: DataFrame, invoice_lines: DataFrame) -> int:
         """Lines with quantity, reconciled, selected and ordinal."""
         sides = [mutations.reconciled_rows(df.withColumn("tenant", F.lit(self.tenant)), s) for df, s in ((deliveries, "delivery"), (invoice_lines, "invoice"))]
-        return self.commit("reconciled_lines", mutations.save_reconciliation(self.table("reconciled_lines"), *sides))
+        versions, base = self._base("reconciled_lines")
+        touched = versions.buckets_of(sides[0].select("tenant", "line_id").union(sides[1].select("tenant", "line_id")))
+        return self._change("reconciled_lines", lambda state: mutations.save_reconciliation(state, *sides, top=versions.top(base)), touched)
 
     def delete_reconciled(self, line_id: str) -> int:
         """M14."""
-        return self.commit("reconciled_lines", mutations.delete_reconciled(self.table("reconciled_lines"), self.tenant, line_id))
+        hit = (F.col("tenant") == self.tenant) & (F.col("line_id") == line_id)
+        return self._change_where("reconciled_lines", hit, lambda state: mutations.delete_reconciled(state, self.tenant, line_id))

@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import CONTENT
 
 
-def parse(text: Column) -> Column:
-    """Document content of JSON text; unknown keys go, a malformed text is null."""
-    return F.from_json(text, CONTENT, {"mode": "PERMISSIVE"})
+def _names(kind: T.DataType) -> list[str]:
+    """All field names of a nested type."""
+    if isinstance(kind, T.ArrayType):
+        return _names(kind.elementType)
+    return [n for f in kind.fields for n in (f.name, *_names(f.dataType))] if isinstance(kind, T.StructType) else []
+
+
+def canonical_names(text: Column, kind: T.DataType = CONTENT) -> Column:
+    """JSON text whose keys that differ from the type's names in case alone are these names.
+
+    A quote within a JSON string is escaped, so a name between bare quotes
+    before a colon is a key wherever it stands.
+    """
+    for name in dict.fromkeys(_names(kind)):
+        text = F.regexp_replace(text, f'"(?i:{name})"(\\s*:)', f'"{name}"$1')
+    return text
+
+
+def parse(text: Column, any_case: bool = False) -> Column:
+    """Document content of JSON text; unknown keys go, a malformed text is null. any_case: names match whatever their case."""
+    return F.from_json(canonical_names(text) if any_case else text, CONTENT, {"mode": "PERMISSIVE"})
 
 
 def render(content: Column) -> Column:

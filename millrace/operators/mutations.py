@@ -35,9 +35,13 @@ def numbered(df: DataFrame, order: list[str], start: int, column: str = "id") ->
     return out.withColumn(column, (F.lit(start) + F.col("_base") + F.col("_row") + 1).cast("long")).drop("_part", "_row", "_base")
 
 
-def insert(state: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows without ids join the state with the ids after its largest."""
-    top = state.agg(F.max("id")).first()[0] or 0
+def largest_id(state: DataFrame) -> int:
+    return state.agg(F.max("id")).first()[0] or 0
+
+
+def insert(state: DataFrame, rows: DataFrame, order: list[str], top: int | None = None) -> DataFrame:
+    """Rows without ids join the state with the ids after its largest (`top`, where that is known)."""
+    top = largest_id(state) if top is None else top
     return state.unionByName(numbered(rows.drop("id"), order, top), allowMissingColumns=True)
 
 
@@ -65,11 +69,11 @@ def delete(state: DataFrame, ids: DataFrame, tenant: str | None = None) -> DataF
     return state.join(marked, ["id", "tenant"], "left_anti").select(*state.columns)
 
 
-def guarded_insert(state: DataFrame, rows: DataFrame, tenant: str, order: list[str]) -> DataFrame:
+def guarded_insert(state: DataFrame, rows: DataFrame, tenant: str, order: list[str], top: int | None = None) -> DataFrame:
     """The caller's tenant is forced; article rows of supplier 0 or none are refused."""
     if "supplier_id" in rows.columns:
         rows = rows.where(F.coalesce(F.col("supplier_id"), F.lit(0)) != 0)
-    return insert(state, rows.withColumn("tenant", F.lit(tenant)), order)
+    return insert(state, rows.withColumn("tenant", F.lit(tenant)), order, top)
 
 
 def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -143,14 +147,15 @@ class Replaced:
 KEY = ["tenant", "sender", "number", "date", "type"]
 
 
-def keyed_replace(state: DataFrame, incoming: DataFrame, reject_closed: bool = True) -> Replaced:
+def keyed_replace(state: DataFrame, incoming: DataFrame, reject_closed: bool = True, top: int | None = None) -> Replaced:
     """Replace an open document by its key, insert a new one, reject what would replace a closed one.
 
     Both have KEY as columns, state also id and state, incoming `arrival` (a
     total order). Of incoming documents of one key the last by arrival stays.
     Of several in the state the one of the least id is met. Incoming rows with
     a blank key part are quarantined. reject_closed=False replaces closed ones
-    too (M11). New ids follow the largest, in the order of arrival.
+    too (M11). New ids follow the largest (`top`, where the state is a part of
+    its table), in the order of arrival.
     """
     blank = F.lit(False)
     for c in KEY:
@@ -164,7 +169,7 @@ def keyed_replace(state: DataFrame, incoming: DataFrame, reject_closed: bool = T
     rejected = marked.where(refused).select(*incoming.columns)
     accepted = first_per(marked.where(~refused), KEY, [F.desc("arrival")])
     kept = state.join(accepted.where("_met is not null").select(F.col("_met").alias("id")), "id", "left_anti").select(*state.columns)
-    top = state.agg(F.max("id")).first()[0] or 0
+    top = largest_id(state) if top is None else top
     added = numbered(accepted.drop("_met", "_met_state"), ["arrival"], top)
     return Replaced(kept.unionByName(added.select(*[F.col(c) for c in state.columns if c in added.columns]), allowMissingColumns=True), rejected, quarantined)
 
@@ -175,15 +180,16 @@ def delete_first(docs: DataFrame, **filters) -> DataFrame:
     return docs.join(first, "id", "left_anti").select(*docs.columns)
 
 
-def save_reconciliation(state: DataFrame, deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
+def save_reconciliation(state: DataFrame, deliveries: DataFrame, invoices: DataFrame, top: int | None = None) -> DataFrame:
     """Rows of both lists replace those of their (tenant, line_id); the last wins, invoices after deliveries.
 
-    The lists have the state's columns but id, and `ordinal`.
+    The lists have the state's columns but id, and `ordinal`. New ids follow
+    the largest (`top`, where the state is a part of its table).
     """
     both = deliveries.withColumn("_side", F.lit(0)).unionByName(invoices.withColumn("_side", F.lit(1)))
     last = first_per(both, ["tenant", "line_id"], [F.desc("_side"), F.desc("ordinal")])
     kept = state.join(last.select("tenant", "line_id"), ["tenant", "line_id"], "left_anti").select(*state.columns)
-    top = state.agg(F.max("id")).first()[0] or 0
+    top = largest_id(state) if top is None else top
     added = numbered(last, ["_side", "ordinal"], top).drop("_side", "ordinal")
     return kept.unionByName(added.select(*state.columns))
 

@@ -13,8 +13,8 @@ from ..functions import text as textfn
 from ..operators import housekeeping, matching, mutations, reconcile, scans
 from ..sources import invoices as xml
 from ..sources import star
-from ..streaming.ingest import ingest
-from ..sources.tables import Versions, read, shared_dir
+from ..sources.tables import read, shared_dir
+from ..streaming.ingest import ingest, keyed_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,5 +482,5 @@ def stream_ingest_state(spark, folder):
     empty = spark.createDataFrame([], "id long, tenant string, sender string, number string, date string, type string, state int, total double")
     # a pattern, so that one file and a folder of files serve alike
     ingest(spark, f"{folder}/orders.parque[t]", schema, prepare, empty, f"{home}/state", f"{home}/checkpoint", every=None).awaitTermination()
-    versions = Versions(spark, f"{home}/state")
+    versions = keyed_versions(spark, f"{home}/state")
     return versions.read(versions.latest()).select("tenant", "sender", "date", "type", "total")

@@ -84,6 +84,14 @@ TABLES: dict[str, tuple[T.StructType, list[list[str]]]] = {
     "users": (_struct("id long!, email string, created timestamp_ntz, tenant string"), [["id"], ["email"]]),
 }
 
+#: What decides a row's bucket, the tenant first where there is one: nothing that a change alters.
+BUCKET_KEYS: dict[str, list[str]] = {
+    "docs": ["tenant", "content.document.sender", "content.document.number"], "suppliers": ["tenant", "id"], "articles": ["tenant", "id"], "reconciled_lines": ["tenant", "line_id"],
+    "log": ["tenant", "id"], "tenants": ["id"], "users": ["id"],
+}
+#: Columns that lookups ask for and buckets don't tell apart: Parquet keeps a Bloom filter of them.
+BLOOM_COLUMNS: dict[str, tuple[str, ...]] = {"docs": ("content.document.id",), "users": ("email",), "tenants": ("mail_from",), "articles": ("code",)}
+
 #: Codes of documents, their states and logged outcomes.
 DOC_TYPES = {0: "All", 1: "Order", 2: "Delivery note", 3: "Accompanying invoice", 4: "Invoice", 5: "Credit note"}
 DOC_STATES = {0: "Open", 1: "Closed"}
@@ -115,3 +123,32 @@ def violations(df: DataFrame, name: str) -> DataFrame:
         one = one.select(F.lit(",".join(key)).alias("key"), F.concat_ws(",", *[F.col(c).cast("string") for c in key]).alias("value"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: Values that are asked for one by one, so that files and Bloom filters can rule them out; more are joined.
+FEW_VALUES = 1000
+
+
+def refused(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """P11, M18 on write: (key, value, id) of the rows to write whose unique key another row has, of these or of the table.
+
+    Rows replace those of their id. Of the table only the key columns are
+    read, and where few values are written only the files that may have them.
+    """
+    out = rows.sparkSession.createDataFrame([], "key string, value string, id long")
+    for key in TABLES[name][1]:
+        if key == ["id"]:
+            continue
+        solid = " and ".join(f"{c} is not null" for c in key)
+        new = rows.where(solid).select("id", *key)
+        old = table.where(solid).select(F.col("id").alias("_id"), *key)
+        values = [r[0] for r in new.select(key[0]).distinct().limit(FEW_VALUES + 1).collect()]
+        if len(values) <= FEW_VALUES:
+            old = old.where(F.col(key[0]).isin(values))
+        # what is written anew is not what stands against it
+        old = old.join(rows.select(F.col("id").alias("_id")), "_id", "left_anti")
+        both = new.unionByName(old.select(F.col("_id").alias("id"), *key))
+        again = both.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        one = new.join(again, key, "left_semi").select(F.lit(",".join(key)).alias("key"), F.concat_ws(",", *[F.col(c).cast("string") for c in key]).alias("value"), F.col("id").cast("long").alias("id"))
+        out = out.unionByName(one)
+    return out

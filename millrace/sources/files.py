@@ -6,7 +6,7 @@ import random
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.documents import parse
@@ -16,12 +16,17 @@ KINDS = {".pdf": "pdf", ".xml": "xml"}
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """SC13: path, content and kind (pdf, xml, or null for what is refused)."""
-    files = spark.read.format("binaryFile").load(path)
+def uploads(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """SC13: path, content and kind (pdf, xml, or null for what is refused).
+
+    name: what has the extension, the path unless given (as where Spark named
+    the files and their folders say what they are).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.col("path") if name is None else name
     kind = F.lit(None).cast("string")
-    for ext, name in KINDS.items():
-        kind = F.when(extension(F.col("path")) == ext, name).otherwise(kind)
+    for ext, of in KINDS.items():
+        kind = F.when(extension(name) == ext, of).otherwise(kind)
     return files.select("path", "length", "content", kind.alias("kind"))
 
 

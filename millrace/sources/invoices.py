@@ -17,11 +17,17 @@ def parse(xml: Column) -> Column:
     return F.from_xml(xml, SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
 
 
+def key_digest(*parts: Column) -> Column:
+    """SHA-256 of texts that may be null or hold anything."""
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in parts]), 256)
+
+
 def documents(invoices: DataFrame, all_bodies: bool = False) -> DataFrame:
     """PJ4, PJ5, L5: of (source, xml) a document for the first body, or for each.
 
     Type '4'; total 0 where there is none; a line's code is its first article
-    code or ''. Ids are digests of the key fields, the same each time.
+    code or ''. Ids are digests of the key fields, each with its length before
+    it and nulls marked, so different keys never make one text.
     """
     parsed = invoices.select("source", parse(F.col("xml")).alias("x"))
     bodies = F.posexplode("x.FatturaElettronicaBody").alias("body_no", "body")
@@ -30,7 +36,7 @@ def documents(invoices: DataFrame, all_bodies: bool = False) -> DataFrame:
         rows = rows.where("body_no = 0")
     head = F.col("body.DatiGenerali.DatiGeneraliDocumento")
     rows = rows.select("source", "body_no", "sender", head["Numero"].alias("number"), F.date_format(head["Data"], "yyyy-MM-dd").alias("date"), head["ImportoTotaleDocumento"].cast("double").alias("total"), F.col("body.DatiBeniServizi.DettaglioLinee").alias("raw"))
-    doc_id = F.sha2(F.concat_ws("|", "sender", "number", "date", F.col("body_no").cast("string")), 256)
+    doc_id = key_digest(F.col("sender"), F.col("number"), F.col("date"), F.col("body_no").cast("string"))
     rows = rows.withColumn("id", doc_id)
 
     def line(x: Column) -> Column:

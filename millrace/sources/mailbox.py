@@ -41,12 +41,13 @@ def attachments(messages: DataFrame) -> DataFrame:
 
 
 def poll(
-    spark: SparkSession, folder: str, tenants: DataFrame, deliver: Callable[[DataFrame], None], quarantine: Callable[[DataFrame], None], checkpoint: str, every: str | None = "10 minutes"
+    spark: SparkSession, folder: str, tenants: DataFrame, deliver: Callable[[DataFrame], None], quarantine: Callable[[DataFrame], None], checkpoint: str, every: str | None = "10 minutes",
+    names: str = "*.eml",
 ) -> StreamingQuery:
     """ST1-ST4, J7: new messages' attachments of known senders to `deliver`, the others' to `quarantine`.
 
     A batch that failed comes again whole, so `deliver` should absorb repeats
-    (a keyed replacement does). every=None takes what is there and ends.
+    (a keyed replacement does). names: which files are messages. every=None takes what is there and ends.
     """
 
     def batch(df: DataFrame, _: int) -> None:
@@ -57,6 +58,6 @@ def poll(
         finally:
             routed.unpersist()
 
-    stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.eml").load(folder)
+    stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", names).load(folder)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()

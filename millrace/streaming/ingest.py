@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.mutations import keyed_replace, retain
+from ..operators.mutations import KEY, expired, keyed_replace, retain
 from ..sources.tables import Versions
 
 
+def keyed_versions(spark: SparkSession, state: str, buckets: tuple[int, int] = (4, 4)) -> Versions:
+    """A table of documents in buckets by their key, the tenant first."""
+    return Versions(spark, state, KEY, buckets)
+
+
 def merged_batch(versions: Versions, stream: str) -> int:
-    """The number of the stream's last batch that a version holds, -1 if none."""
-    version = versions.latest()
-    while version is not None and version >= 0:
-        name, _, number = (versions.owner(version) or "").rpartition(" batch ")
-        if name == stream and versions.complete(version):
-            return int(number)
-        version -= 1
-    return -1
+    """The number of the stream's last batch that the table holds, -1 if none."""
+    latest = versions.latest()
+    return -1 if latest is None else versions.manifest(latest)["streams"].get(stream, -1)
 
 
 def merge_batch(versions: Versions, batch: DataFrame, number: int, empty: DataFrame, stream: str = "stream") -> None:
     """M10, ST2: the next version is the latest with the batch merged in, and names the stream and the batch.
 
-    A batch that comes again after a failure and is in a version already
+    A batch that comes again after a failure and is in the table already
     changes nothing. Versions that others write between batches are built on.
+    Of a table in buckets by the documents' key only those of the batch's keys
+    are read and written.
     """
     if number <= merged_batch(versions, stream):
         return
     latest = versions.latest()
-    before = empty if latest is None else versions.read(latest)
-    versions.append(keyed_replace(before, batch).state, latest, f"{stream} batch {number}")
+    touched = versions.buckets_of(batch)
+    before = empty if latest is None else versions.read(latest, touched)
+    versions.append(keyed_replace(before, batch, top=versions.top(latest)).state, latest, f"{stream} batch {number}", touched, batch=(stream, number))
 
 
 def ingest(
@@ -43,7 +48,7 @@ def ingest(
     stream is named by its checkpoint, so a new checkpoint over an old state
     begins a new stream upon it.
     """
-    versions = Versions(spark, state)
+    versions = keyed_versions(spark, state)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_batch(versions, prepare(df), n, empty, checkpoint))
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
@@ -51,6 +56,7 @@ def ingest(
 
 
 def retention_job(versions: Versions, as_of, days: int = 90) -> int:
-    """ST5: write the version after the latest without expired documents; returns its number."""
+    """ST5: write the version after the latest without expired documents; returns its number. Buckets without any stay as they are."""
     latest = versions.latest()
-    return versions.append(retain(versions.read(latest), as_of, days), latest, f"retention after {latest}")
+    touched = versions.buckets_of(versions.read(latest).where(expired(as_of, days)))
+    return versions.append(retain(versions.read(latest, touched), as_of, days), latest, f"retention {uuid.uuid4().hex}", touched)

@@ -56,3 +56,19 @@ def test_a_workspace_notices_another_writer(spark, tmp_path):
     one.add("suppliers", rows, ["description"])
     two.add("suppliers", rows, ["description"])
     assert sorted((r.id, r.tenant) for r in one.table("suppliers").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_unique_keys_are_kept_on_write(spark, tmp_path):
+    w, other = (Workspace(spark, str(tmp_path / "w"), t) for t in "ab")
+    people = lambda *emails: spark.createDataFrame([(e,) for e in emails], "email string")
+    w.add("users", people("x@m", "y@m", None, None), ["email"])
+    for emails in (("x@m",), ("z@m", "z@m")):
+        with pytest.raises(ValueError, match="email"):
+            other.add("users", people(*emails), ["email"])
+    other.add("users", people("z@m"), ["email"])
+    mine = w.rows("users")
+    with pytest.raises(ValueError, match="z@m"):
+        w.edit("users", mine.where("email = 'x@m'").withColumn("email", F.lit("z@m")))
+    w.edit("users", mine.where("email = 'x@m'").withColumn("email", F.lit("w@m")))
+    w.edit("users", w.rows("users").where("email = 'w@m'"))
+    assert sorted(str(r.email) for r in w.rows("users").collect()) == ["None", "None", "w@m", "y@m"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import documents as docfn
 from millrace.operators.mutations import keyed_replace
 from millrace.sources import files, invoices
-from millrace.sources.tables import Conflict, Versions, shared_dir, write_by_tenant
+from millrace.api import Workspace
+from millrace.sources.tables import Conflict, Versions, shared_dir
 from millrace.streaming import ingest
 
 LINE = "<DettaglioLinee><NumeroLinea>{n}</NumeroLinea>{codes}<Descrizione>d</Descrizione>{quantity}<PrezzoTotale>3.5</PrezzoTotale><AliquotaIVA>22.00</AliquotaIVA></DettaglioLinee>"
@@ -47,10 +48,40 @@ def test_json_content_drops_unknown_keys(spark):
     assert got[0].id == "9" and got[0].s is None and float(got[0].c.document.lines[0].quantity) == 1.5
 
 
-def test_tenant_partitions_prune(spark, tmp_path):
-    write_by_tenant(spark.createDataFrame([(1, "a"), (2, "b")], "id long, tenant string"), str(tmp_path / "t"))
-    plan = spark.read.parquet(str(tmp_path / "t")).where("tenant = 'a'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(tenant" in plan
+def test_a_tenant_reads_its_own_buckets(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id", "concat('t', id % 40) as tenant", "'x' as description")
+    versions = Versions(spark, str(tmp_path / "t"), ["tenant", "id"], (8, 2))
+    versions.append(rows, None)
+    every, own = versions.read(0), versions.read(0, versions.group_of("t7"))
+    assert len(own.inputFiles()) <= 2 < 8 < len(every.inputFiles()) and own.where("tenant = 't7'").count() == 10 and every.count() == 400
+    one = versions.read(0, versions.buckets_of(spark.createDataFrame([("t7", 47)], "tenant string, id long")))
+    assert len(one.inputFiles()) == 1 and one.where("id = 47").count() == 1
+    w = Workspace(spark, str(tmp_path / "w"), "a", (8, 2))
+    for tenant in "abcdefgh":
+        Workspace(spark, w.folder, tenant, (8, 2)).add("suppliers", rows.select("description").limit(20), ["description"])
+    assert len(w.rows("suppliers").inputFiles()) < len(w.table("suppliers").inputFiles()) and w.rows("suppliers").count() == 20
+
+
+def test_a_change_writes_only_the_buckets_it_touches(spark, tmp_path):
+    schema = STATE
+    state = spark.createDataFrame([(k, f"t{k % 9}", f"s{k}", "1", "d", "4", 0, 1.0) for k in range(2000)], schema)
+    versions = ingest.keyed_versions(spark, str(tmp_path / "state"), (16, 16))
+    versions.append(state, None)
+    batch = spark.createDataFrame([(f"t{k % 9}", f"s{k}", "1", "d", "4", 0, 9.0, k) for k in range(10)], schema.replace("id long, ", "") + ", arrival int")
+    ingest.merge_batch(versions, batch, 0, state.limit(0), "s")
+    before, after = (versions.manifest(v)["buckets"] for v in (0, 1))
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 10 and len(before) > 100
+    final = versions.read(1)
+    assert final.count() == 2000 and final.where("total = 9").count() == 10 and versions.top(1) == 2009
+
+
+def test_added_rows_join_buckets_until_these_are_many_pieces(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path / "log"), ["id"], (2, 1))
+    base = versions.append(spark.range(4), None)
+    for k in range(1, 13):
+        base = versions.append(spark.range(4 * k, 4 * k + 4), base, add=True)
+    assert sorted(r.id for r in versions.read(base).collect()) == list(range(52)) and versions.top(base) == 51
+    assert max(len(p) for p in versions.manifest(base)["buckets"].values()) <= Versions.PIECES
 
 
 STATE = "id long, tenant string, sender string, number string, date string, type string, state int, total double"
@@ -98,16 +129,49 @@ def test_of_two_writers_one_fails(spark, tmp_path):
         with pytest.raises(Conflict):
             versions.append(spark.range(5), None, owner)
     assert versions.read(0).count() == 1 and versions.owner(0) == "a"
-    # a writer that died comes back to its claim, another can't take it
-    versions._claim(1, "dead")
-    with pytest.raises(Conflict):
-        versions.append(one, 0, "b")
-    assert versions.latest() == 0 and versions.append(one, 0, "dead") == 1
+    assert versions.append(one, 0, "b") == 1
     with pytest.raises(Exception):  # noqa: B017
         versions.append(one.selectExpr("raise_error('no')"), 1, "c")
     assert versions.append(one, 1, "d") == 2
 
 
+def test_dead_and_late_writers_block_nothing(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "state"
+    versions = Versions(spark, str(folder))
+    versions.append(spark.range(3), None, "first")
+    # one dies after its rows and before its version; another leaves a torn file
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            versions.append(spark.range(9), 0, "dead")
+    (folder / "data" / "orphan").mkdir()
+    (folder / "_versions" / ".torn").write_text('{"owner"')
+    again = Versions(spark, str(folder))  # after a restart
+    assert again.latest() == 0 and again.append(spark.range(5), 0, "second") == 1
+    # a writer that read version 0 comes back late
+    with pytest.raises(Conflict, match="second"):
+        versions.append(spark.range(7), 0, "late")
+    assert versions.latest() == 1 and versions.read(1).count() == 5
+    assert again.vacuum(keep=2) == [] and again.vacuum(keep=2, idle_seconds=0) == ["orphan"]
+    again.append(spark.range(6), 1)
+    assert len(again.vacuum(keep=1, idle_seconds=0)) == 2 and again.read(again.latest()).count() == 6
+    assert sorted(p.name for p in (folder / "_versions").iterdir() if not p.name.startswith(".")) == ["2"]
+
+
+def test_of_two_retention_jobs_one_counts(spark, tmp_path):
+    schema = STATE + ", created timestamp_ntz"
+    rows = [(k, "t", f"s{k}", "1", "d", "4", k % 2, 1.0, datetime(2020, 1, 1)) for k in range(40)]
+    versions = ingest.keyed_versions(spark, str(tmp_path / "state"))
+    versions.append(spark.createDataFrame(rows, schema), None)
+    other = ingest.keyed_versions(spark, str(tmp_path / "state"))
+    as_of = F.lit("2021-01-01").cast("timestamp_ntz")
+    other.latest = lambda: 0  # it read the same version and writes later
+    assert ingest.retention_job(versions, as_of) == 1
+    with pytest.raises(Conflict):
+        ingest.retention_job(other, as_of)
+    assert versions.latest() == 1 and versions.read(1).count() == 20
+
+
 def test_recorded_answers(spark):
     got = files.contents(files.extract(spark.createDataFrame([("/x/a.pdf", b"1"), ("/x/b.pdf", b"2")], "path string, content binary"), files.recorded({"a.pdf": '{"document": {"number": "7"}}'}), files.EXTRACTED))
     assert [(r.path, r.content.document.number) for r in got.collect()] == [("/x/a.pdf", "7")]
