@@ -56,14 +56,37 @@ KNOWN = [
     ("CC-BY-NC-4.0 (notice)", "Licensed under CC BY-NC 4.0."),
 ]
 
-#: A copyright statement: the word with a sign or a year, or the sign alone, up to the end of its sentence or line.
-#: The same text serves Spark's and the SQL engine's regular expressions, so it looks neither ahead nor back.
+#: Titles that stand over licence texts.
+TITLES = [
+    ("MIT", ["MIT", "MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "License: MIT"]),
+    ("ISC", ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"]),
+    ("0BSD", ["0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD (0BSD)"]),
+    ("Zlib", ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"]),
+    ("Unlicense", ["Unlicense", "The Unlicense"]),
+]
+
+# Copyright statements, line by line. The same texts serve Spark's and the SQL engine's regular expressions, so they look
+# neither ahead nor back, and no group repeats without a bound (Java's would use up the stack on a very long line).
+_SPACE, _INK = r"[\t\r ]", r"[^\t\n\x0B\f\r ]"
 _SIGN = r"(?:\(c\)|©)"
 _YEAR = r"(?:[0-9]{4}|<year>|\[year\]|\[yyyy\]|<yyyy>)"
-_REST = r"[^\n.]*(?:\.[^\s.][^\n.]*){0,8}\.?(?:[\t ]*all rights reserved\.?)?"
-STATEMENT = rf"(?:copyright[\t ]*(?:{_SIGN}|[\t ,:]*{_YEAR})|\(c\)[\t ,:]*{_YEAR}|©){_REST}"
-#: A line of nothing but this says what a statement says.
-RESERVED = r"(^|\n)[\t ]*all rights reserved[\t .]*(\n|$)"
+_YEARS = rf"{_YEAR}(?:{_SPACE}*[-–,]{_SPACE}*(?:{_YEAR}|[0-9]{{2}}|present)){{0,30}}"
+#: A word of a holder's name: no small letter first (but for some small words and addresses), and no full stop last (but after initials and abbreviations).
+_NAME = (
+    rf"(?:(?:and|the|of|by|its|et|al|de|da|di|van|von|del|la|for|contributors?|authors?|others|owners?)[,;]?|\p{{Lu}}\.|(?:Inc|Ltd|Co|Corp|Jr|Sr|Dr|Bros|LLC|GmbH|St)\.,?"
+    rf"|[^\t\n\x0B\f\r @]+@{_INK}+|[^\p{{Ll}}\t\n\x0B\f\r ]{_INK}*[^\t\n\x0B\f\r .]|[^\p{{Ll}}\t\n\x0B\f\r .])"
+)
+_HEAD = rf"(?i:copyright{_SPACE}*{_SIGN}[\t ,:]*(?:{_YEARS})?|copyright[\t ,:]*{_YEARS}|\(c\)[\t ,:]*{_YEARS}|©[\t ,:]*(?:{_YEARS})?)"
+_LATE = rf"(?i:copyright)(?:{_SPACE}+{_NAME}){{1,8}}[\t ,]+{_YEARS}"
+#: A statement wherever it stands in a line: its head and the names that follow, 60 words at most.
+STATEMENT = rf"(?:{_HEAD}|{_LATE})(?:[\t ,;:&-]+{_NAME}){{0,60}}(?:{_SPACE}+[^\p{{Ll}}\t\n\x0B\f\r ]{_INK}*\.)?"
+#: A line of a statement and up to four words of any kind is one.
+LINE = rf"^[^\p{{L}}\p{{N}}(©]*{_HEAD}(?:{_SPACE}+{_INK}+){{0,4}}{_SPACE}*$"
+HAS_STATEMENT = r"(?i)copyright|\(c\)|©"
+#: Says what a statement says, wherever it stands.
+RESERVED = r"(?i)all[\t\r\n ]+rights[\t\r\n ]+reserved"
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -71,11 +94,16 @@ def _spaced(words: str) -> str:
     return f" {words.replace(' ', '  ')} "
 
 
+def without_statements(text: Column) -> Column:
+    """Text without its copyright statements; the rest of their lines stays."""
+    of = lambda line: F.when(line.rlike(LINE), "").otherwise(F.regexp_replace(line, STATEMENT, " "))
+    free = F.regexp_replace(text, RESERVED, " ")
+    return F.when(text.rlike(HAS_STATEMENT), F.array_join(F.transform(F.split(free, "\n"), of), "\n")).otherwise(free)
+
+
 def normalised(text: Column) -> Column:
     """Lower case in ASCII, no copyright statements, words of letters and digits of any script parted by single spaces, one spelling."""
-    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(out, STATEMENT, " ")
-    out = F.regexp_replace(out, RESERVED, "\n")
+    out = F.translate(without_statements(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # two spaces between words, so that each has its own on either side
     out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, "  "), F.lit(" "))
     for other, one in EQUIVALENT:
@@ -83,9 +111,19 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+def titled(licences: DataFrame) -> DataFrame:
+    """Each licence as it is, under each of its titles, and, where its first line has eight words at most and says licence, without that line."""
+    titles = licences.sparkSession.createDataFrame([(i, t) for i, own in TITLES for t in own], "license_id string, title string")
+    under = licences.join(F.broadcast(titles), "license_id").select("license_id", F.concat("title", F.lit("\n"), "text").alias("text"))  # TITLES
+    first = r"^\s*[^\n]*(?i:licen[cs]e)[^\n]*\n"
+    short = F.size(F.split(F.trim(F.regexp_extract("text", first, 0)), r"\s+")) <= 8
+    bare_text = licences.where(F.col("text").rlike(first) & short).select("license_id", F.regexp_replace("text", first, "").alias("text"))
+    return licences.select("license_id", "text").unionByName(under).unionByName(bare_text)
+
+
 def digests(licences: DataFrame) -> DataFrame:
-    """(license_id, license_digest) of (license_id, text); of equal digests the first id stays, of empty texts none."""
-    out = licences.select("license_id", normalised(F.col("text")).alias("t")).where("t != ''")
+    """(license_id, license_digest) of (license_id, text), with and without titles; of equal digests the first id stays, of null and empty texts none."""
+    out = titled(licences).select("license_id", normalised(F.col("text")).alias("t")).where("t != ''")
     return out.groupBy(F.sha2("t", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -116,9 +154,10 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
 
 
 def _sql_normalised(text: str) -> str:
-    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"regexp_replace({out}, '{STATEMENT}', ' ', 'g')"
-    out = f"regexp_replace({out}, '{RESERVED}', chr(10), 'g')"
+    free = f"regexp_replace({text}, '{RESERVED}', ' ', 'g')"
+    of = f"CASE WHEN regexp_matches(x, '{LINE}') THEN '' ELSE regexp_replace(x, '{STATEMENT}', ' ', 'g') END"
+    out = f"CASE WHEN regexp_matches({text}, '{HAS_STATEMENT}') THEN array_to_string([{of} FOR x IN string_split({free}, chr(10))], chr(10)) ELSE {free} END"
+    out = f"translate({out}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"' ' || regexp_replace({out}, '{NOT_WORD}', '  ', 'g') || ' '"
     for other, one in EQUIVALENT:
         out = f"replace({out}, '{_spaced(other)}', '{_spaced(one)}')"
@@ -127,7 +166,9 @@ def _sql_normalised(text: str) -> str:
 
 def oracle() -> str:
     quote = "'"
-    values = ", ".join(f"('{i}', '{t.replace(quote, quote * 2)}')" for i, t in KNOWN)
+    titles = dict(TITLES)
+    every = [(i, t) for i, t in KNOWN] + [(i, f"{title}\n{t}") for i, t in KNOWN for title in titles.get(i, [])]
+    values = ", ".join(f"('{i}', '{t.replace(quote, quote * 2)}')" for i, t in every)
     return f"""
 WITH known(license_id, text) AS (VALUES {values}),
 side AS (SELECT sha256(t) AS license_digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql_normalised('text')} AS t FROM known) WHERE t != '' GROUP BY 1),

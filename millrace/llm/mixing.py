@@ -18,6 +18,8 @@ from .common import settle
 #: Of the counts, when no weights are given: a source's weight is its size to this power.
 TEMPERATURE = 0.5
 SEED = "mix-1"
+#: Above this rate a document's number is the sum of independent ones of smaller equal rates, so a table has some 200 entries at most.
+PART_RATE = 64
 #: Sources up to which their rates are sent to every executor, so that texts need not meet by source.
 FEW_SOURCES = 10_000
 #: Places where a source's rows meet its rate beyond that.
@@ -31,12 +33,15 @@ def unit_hash(seed: str, *parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source: str = "source") -> tuple[DataFrame, bool]:
-    """A row for each source: n, weight, rate, and `cdf`, the distribution function from 0 on; and whether they are few enough to be sent whole.
+    """A row for each source: n, weight, rate, `parts` that the rate is cut into, and `cdf`, the distribution function of a part from 0 on; and whether they are few enough to be sent whole (2 kB each).
 
     The rate is weight / sum(weights) * total / n. `total`: rows wanted, as many
     as there are if None. `weights`: by source; a source that it does not name
-    gets 0. Without it, n ** TEMPERATURE.
+    gets 0. Without it, n ** TEMPERATURE. Weights and totals that are negative,
+    infinite or no numbers are a ValueError.
     """
+    if any(not 0 <= float(v) < float("inf") for v in [*(weights or {}).values(), *([] if total is None else [total])]):
+        raise ValueError("weights and total are finite numbers of 0 or more")
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE))
@@ -49,11 +54,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     all_n, all_w = whole[0] or 0, whole[1] or 0.0
     wanted = float(all_n if total is None else total)
     rate = F.col("weight") / F.lit(all_w) * F.lit(wanted) / F.col("n") if all_w > 0 else F.lit(0.0)
-    out = sizes.withColumn("rate", rate)
-    # a row for each count that has a chance to speak of; sums run along the counts, by logarithms at high rates
+    parts = F.greatest(F.lit(1), F.ceil(rate / PART_RATE)).cast("long")
+    out = sizes.withColumn("rate", rate).withColumn("parts", parts)
+    # a row for each count that has a chance to speak of; sums run along the counts, by logarithms
     steps = (F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     along = Window.partitionBy("source").orderBy("k")
-    counts = out.select("source", "rate", F.explode(F.sequence(F.lit(0), steps)).alias("k"))
+    counts = out.select("source", (F.col("rate") / F.col("parts")).alias("rate")).select("source", "rate", F.explode(F.sequence(F.lit(0), steps)).alias("k"))
     factor = F.when(F.col("k") == 0, 0.0).otherwise(F.ln("rate") - F.ln(F.greatest("k", F.lit(1))))
     counts = counts.withColumn("p", F.exp(F.sum(factor).over(along) - F.col("rate"))).withColumn("c", F.sum("p").over(along))
     cdfs = counts.where("rate > 0").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
@@ -86,7 +92,7 @@ def mix(
     if taken:
         raise ValueError(f"columns are taken: {sorted(taken)}")
     table, sent = rates(docs, weights, total, source)
-    table = table.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
+    table = table.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"), F.col("parts").alias("_mix_parts"))
     point = unit_hash(seed, F.col(doc_id))
     # where rates are not sent whole, a source's rows meet them in SALTS places
     salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -94,7 +100,9 @@ def mix(
     few = docs.join(table, F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
     many = docs.withColumn("_mix_salted", salt).join(salted, F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salted") == F.col("_mix_salt")), "inner")
     joined = few if sent else many
-    count = F.size(F.filter("_mix_cdf", lambda c: c <= point))
+    below = lambda u: F.size(F.filter("_mix_cdf", lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_mix_parts") - 1), F.lit(0), lambda n, j: n + below(unit_hash(seed + "-part", F.col(doc_id), j)))
+    count = below(point) + F.when(F.col("_mix_parts") > 1, more).otherwise(0)
     repeated = joined.withColumn("_mix_n", count).where("_mix_n > 0")
     repeated = repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
     key = F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("_mix_copy").cast("string"))

@@ -16,6 +16,13 @@ from millrace.llm import ann, bpe, components, jaccard, langid, licenses, linede
 from millrace.llm.common import flat_bytes
 
 rnd = random.Random(5)
+
+
+@pytest.fixture(autouse=True)
+def _same_data_in_any_order():
+    rnd.seed(5)
+
+
 WORDS = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
 DOCS = "doc_id long, text string"
 ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "word"), (904, "word"), (905, "été \U0001f600 " * 3000), (None, "one two three four five six"), (906, "x" * 50_000)]
@@ -423,6 +430,30 @@ def test_licence_digests(spark):
     assert pair.select(licenses.normalised(F.col("t"))).distinct().count() == 1
 
 
+def test_ordinary_licence_files_are_found(spark):
+    """Titles, initials, years after names, statements and texts on one line."""
+    texts = dict(licenses.KNOWN)
+    mit, isc, bsd = texts["MIT"], texts["ISC"], texts["BSD-3-Clause"]
+    found = [
+        ("MIT License\n\nCopyright (c) 2020 Jane Smith\n\n" + mit, "MIT"), ("The MIT License (MIT)\n\nCopyright (c) 2014-2021 Foo, Bar and contributors\n\n" + mit, "MIT"),
+        ("# MIT License\n\nCopyright 2020 Foo\n" + mit, "MIT"), ("ISC License\n\nCopyright (c) 2020, A. B. Carter <abc@mail.test>\n\n" + isc, "ISC"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2017, the University of X\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), ("Copyright (c) 2020 J. Smith\n\n" + mit, "MIT"),
+        ("Copyright Jane Smith 2020\n\n" + mit, "MIT"), ("Copyright (c) 2020 Jane Smith. " + mit, "MIT"), ("Copyright (c) 2020 a.b.c.d.e.f.g.h.i.j.k.l Inc.\n" + mit, "MIT"),
+        ("Copyright 2020 jane smith\n" + isc, "ISC"), ("(c) 2001, 2003 The Foo Project, Inc. All rights reserved.\n" + bsd, "BSD-3-Clause"), ("© 2020 Müller & Söhne GmbH\r\n\r\n" + mit.replace(". ", ".\r\n"), "MIT"),
+        ("Copyright (c) [year] [fullname]\n" + mit, "MIT"), ("The Unlicense\n\n" + texts["Unlicense"], "Unlicense"), ("Copyright (C) 1999-2004, 2007, 10 X. Y. Zed and others\nCopyright (C) 2011 Foo\n" + texts["Zlib"], "Zlib"),
+    ]
+    other = [
+        "Copyright 2020 Acme Corp forbids any use copy or sale of this text\nReleased under the MIT License.", "GPL License\n" + mit, "MIT License\nMIT License\n" + mit, "MIT License", "Copyright 2020 " + "Aa.b " * 9000 + mit,
+        "Copyright 2020 " + "A" * 50_000 + " and more words that are text\n" + mit, mit + " Copyright law forbids more.",
+    ]
+    rows = [(k, t) for k, (t, _) in enumerate(found)] + [(100 + k, t) for k, t in enumerate(other)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, DOCS), licenses.known(spark)).collect()}
+    assert [got[k] for k in range(len(found))] == [name for _, name in found]
+    assert [got[100 + k] for k in range(len(other))] == [None] * len(other)
+    none = licenses.digests(spark.createDataFrame([("a", None), ("b", ""), ("c", "X License\nDo it.")], "license_id string, text string")).collect()
+    assert sorted(r.license_id for r in none) == ["c", "c"]
+
+
 def test_licence_texts_of_a_folder(spark, tmp_path):
     (tmp_path / "Own-1.0.txt").write_text("Do as you like.\nAlways.")
     docs = spark.createDataFrame([(1, "DO AS YOU LIKE; always")], DOCS)
@@ -607,6 +638,21 @@ def test_broadcast_models_need_no_package():
     assert named and not any("millrace" in x for x in named)
 
 
+def test_mixing_at_high_rates_is_poisson_with_small_tables(spark):
+    docs = spark.createDataFrame([(k, "rare" if k % 50 == 0 else "common", "t") for k in range(2000)], "doc_id long, source string, text string")
+    table, _ = mixing.rates(docs, {"rare": 1.0}, 20_000.0)
+    row = table.where("source = 'rare'").first()
+    assert row.rate == 500 and row.parts == 8 and len(row.cdf) < 250
+    got = {r.doc_id: r["count"] for r in mixing.mix(docs, {"rare": 1.0}, 20_000.0).groupBy("doc_id").count().collect()}
+    counts = np.array([*got.values()])
+    assert len(got) == 40 and abs(counts.mean() - 500) < 15 and 8 < counts.std() < 40
+    for bad in ({"rare": -1.0}, {"rare": float("nan")}, {"rare": float("inf")}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, bad)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, None, -5.0)
+
+
 # odd inputs of the others
 
 

@@ -242,3 +242,29 @@ def test_pipeline_stages_of_odd_tables(spark, tmp_path):
             assert n == 0 if not rows else n <= 8, name
             if name != "byte_bpe":
                 assert out.columns == corpus_pipeline.COLUMNS
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_op8_verdicts_are_the_rules_and_hold_on_rows_not_learned_from(spark):
+    """Rules learned from even ids: each verdict by plain code over ratios that another engine computes, and odd ids' labels."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(quality.statistics(docs), labels.where("doc_id % 2 = 0"))
+    out = quality.classify(docs, labels, rules).toPandas()
+    assert rules and set(out["kept"]) == {True, False}
+    names = list(quality.RATIOS)
+    ratios = duckdb.sql("SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in quality.RATIOS.items()) + " FROM out").fetchall()
+    for row, values in zip(out.itertuples(), ratios, strict=True):
+        own = dict(zip(names, values, strict=True))
+        failed = row.n_words < 50 or 100 * row.n_repeat_words > 50 * row.n_words
+        hit = any(all((own[c.name] > c.value) if c.above else (own[c.name] <= c.value) for c in rule.conditions) for rule in rules) if row.n_words else True
+        assert row.base_failed == failed and row.kept == (not failed and not hit)
+    kept = dict(zip(out["doc_id"], out["kept"], strict=True))
+    base = dict(zip(out["doc_id"], out["base_failed"], strict=True))
+    odd = [(r.doc_id, r.quality) for r in labels.where("doc_id % 2 = 1 and quality is not null").select("doc_id", F.col("quality")).collect() if r.doc_id in kept]
+    low = [i for i, q in odd if q == 0]
+    good = [i for i, q in odd if q == 1 and not base[i]]
+    assert sum(not kept[i] for i in low) >= 0.95 * len(low) and sum(kept[i] for i in good) >= 0.98 * len(good)
