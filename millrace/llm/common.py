@@ -29,6 +29,19 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of a few numbers that make a file of their own in an intermediate table.
+ROWS_A_FILE = 2_000_000
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as about `rows` rows of a few numbers need, one for each core at least.
+
+    Small tables that are read again and again then cost a few tasks a step,
+    whatever the number of shuffle partitions is.
+    """
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
+
+
 #: Rows, and bytes, that pass to a Python worker at once: texts are long, and a batch is held on both sides.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
 

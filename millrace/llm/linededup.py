@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, bare, chunks, discard, mix64, settle, small
+from .common import SMALL_ROWS, bare, chunks, discard, in_files, mix64, settle, small
 from .components import connected_components
 from .shingles import BASE, distinct
 
@@ -199,16 +199,17 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(both.select("a", "b", "a_content", "b_content").mapInArrow(_verify, "a long, b long"), "line-links")
 
 
-def _open(placed: DataFrame) -> tuple[DataFrame, int]:
+def _open(placed: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """The groups whose lines are in several components, each with its largest (main), settled; and how many pairs those leave."""
     parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     # the largest component of a group is on one side only, so that the lines of a large one don't meet each other
     found = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("c"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).where("parts > 1")
-    found = settle(found.select("band", F.col("c.component").alias("main"), ((F.col("size") - F.col("c.size")) * F.col("size")).alias("cost")), "open")
+    found = found.select("band", F.col("c.component").alias("main"), ((F.col("size") - F.col("c.size")) * F.col("size")).alias("cost"))
+    found = settle(in_files(found, rows), "open")
     return found, found.agg(F.sum("cost")).first()[0] or 0
 
 
-def _centre_pairs(placed: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
+def _centre_pairs(placed: DataFrame, open_: DataFrame, turn: int, rows: int) -> DataFrame:
     """Of each open group: its lines outside the main component with PROBES lines of it, and one of the former with all of other components."""
     left = placed.join(small(open_.select("band", "main")), "band")
     h = F.xxhash64("key", F.lit(turn))
@@ -217,7 +218,8 @@ def _centre_pairs(placed: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
     centre = other.groupBy("band").agg(F.min(F.struct(h.alias("h"), "key", "component")).alias("c"))
     met = other.join(probes, "band").select("key", F.col("c.key").alias("at"))
     met = met.union(left.join(centre, "band").where(F.col("component") != F.col("c.component")).select("key", F.col("c.key").alias("at")))
-    return settle(met.select(F.least("key", "at").alias("a"), F.greatest("key", "at").alias("b")).distinct(), "pairs")
+    pairs = met.select(F.least("key", "at").alias("a"), F.greatest("key", "at").alias("b")).distinct()
+    return settle(in_files(pairs, rows * (PROBES + 1)), "pairs")
 
 
 def _other_pairs(placed: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
@@ -233,13 +235,14 @@ def _other_pairs(placed: DataFrame, open_: DataFrame, texts: DataFrame) -> DataF
     return pairs
 
 
-def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(placed: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """`placed` with the components that links join made one; their ends are components, few as they are."""
-    named = settle(placed.select("key", "component").distinct(), "named")
+    named = settle(in_files(placed.select("key", "component").distinct(), rows), "named")
     ends = links.join(named.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b")
-    roots = settle(connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select("node", F.col("component").alias("root")), "roots")
+    roots = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select("node", F.col("component").alias("root"))
+    roots = settle(in_files(roots, rows), "roots")
     out = placed.join(small(roots), F.col("component") == F.col("node"), "left").select("band", "key", F.coalesce("root", "component").alias("component"))
-    out = settle(out, "placed")
+    out = settle(in_files(out, rows), "placed")
     discard(named, roots, placed)
     return out
 
@@ -250,33 +253,35 @@ def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     # a line that many chunks repeat is one partial row a task here; no task takes a group
     shared = settle(banded.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre != last").select("band", "centre"), "shared")
     grouped = settle(banded.join(small(shared), "band").select("band", "key", "centre").distinct(), "groups")
-    first = settle(grouped.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    wanted = settle(grouped.select("key").distinct(), "wanted")
+    rows = grouped.count()
+    first = settle(in_files(grouped.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), rows), "pairs")
+    wanted = settle(in_files(grouped.select("key").distinct(), rows), "wanted")
     texts = docs.select("text").mapInArrow(_line_texts, "key long, check long, content string").join(small(wanted), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.min(F.struct("check", "content")).alias("r")).select("key", "r.*")
     texts = settle(texts.mapInArrow(_measure, "key long, check long, content string, n long, " + ", ".join(f"{p} long" for p in MAPS)), "texts")
     links = _links(first, texts)
-    labels = settle(connected_components(links), "labels")
-    placed = settle(grouped.join(small(labels), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component")), "placed")
+    labels = settle(in_files(connected_components(links), rows), "labels")
+    placed = grouped.join(small(labels), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    placed = settle(in_files(placed, rows), "placed")
     # further centres while what they leave is many times the lines and each round leaves less
-    rows, before, turn = placed.count(), None, 0
-    open_, cost = _open(placed)
+    before, turn = None, 0
+    open_, cost = _open(placed, rows)
     while cost > PAIRS_A_LINE * rows and (before is None or cost <= ROUND_LEAVES * before):
-        pairs = _centre_pairs(placed, open_, turn)
+        pairs = _centre_pairs(placed, open_, turn, rows)
         more = _links(pairs, texts)
         discard(open_, pairs)
-        placed = _merged(placed, more)
+        placed = _merged(placed, more, rows)
         discard(more)
         before, turn = cost, turn + 1
-        open_, cost = _open(placed)
+        open_, cost = _open(placed, rows)
     # the rest is compared pair by pair
     others = _other_pairs(placed, open_, texts)
     more = _links(others, texts)
-    placed = _merged(placed, more)
+    placed = _merged(placed, more, rows)
     joined = placed.select("key", F.col("component").alias("root")).distinct()
     # a line alone in its component is in no class
     classes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("root")
-    out = settle(joined.join(classes, "root").join(texts.select("key", "check"), "key").select("key", "check", "root"), "classes")
+    out = settle(in_files(joined.join(classes, "root").join(texts.select("key", "check"), "key").select("key", "check", "root"), rows), "classes")
     discard(shared, grouped, first, wanted, texts, links, labels, placed, open_, others, more)
     return out
 
