@@ -443,7 +443,7 @@ def scalar_functions(spark, folder):
     )
 
 
-@query("SELECT number, date, line_id, code, quantity, sender FROM (SELECT docs.number, docs.date, nested.pos::VARCHAR AS line_id, nested.code, nested.quantity, docs.sender FROM nested JOIN docs USING (id))")
+@query("SELECT number, date, line_id, code, quantity, sender, total FROM (SELECT docs.number, docs.date, nested.pos::VARCHAR AS line_id, nested.code, nested.quantity, docs.sender, docs.total FROM nested JOIN docs USING (id))")
 def xml_invoice_lines(spark, folder):
     """Orders written as XML invoices, and the lines that the parser reads of them."""
     docs = star.documents(spark, folder)
@@ -456,12 +456,12 @@ def xml_invoice_lines(spark, folder):
     text = F.concat(
         F.lit('<p:FatturaElettronica xmlns:p="urn:i"><FatturaElettronicaHeader><CedentePrestatore><DatiAnagrafici><Anagrafica><Denominazione>'), doc["sender"],
         F.lit("</Denominazione></Anagrafica></DatiAnagrafici></CedentePrestatore></FatturaElettronicaHeader><FatturaElettronicaBody><DatiGenerali><DatiGeneraliDocumento><Data>"), doc["date"],
-        F.lit("</Data><Numero>"), doc["number"], F.lit("</Numero></DatiGeneraliDocumento></DatiGenerali><DatiBeniServizi>"), F.array_join(F.transform(doc["lines"], line), ""),
+        F.lit("</Data><Numero>"), doc["number"], F.lit("</Numero><ImportoTotaleDocumento>"), doc["total"].cast("decimal(28,2)").cast("string"), F.lit("</ImportoTotaleDocumento></DatiGeneraliDocumento></DatiGenerali><DatiBeniServizi>"), F.array_join(F.transform(doc["lines"], line), ""),
         F.lit("</DatiBeniServizi></FatturaElettronicaBody></p:FatturaElettronica>"),
     )
     out = xml.documents(docs.select(F.col("file_name").alias("source"), text.alias("xml")))
-    out = out.select("number", "date", "sender", F.explode("lines").alias("x"))
-    return out.select("number", "date", F.col("x.line_id").alias("line_id"), F.col("x.code").alias("code"), F.col("x.quantity").cast("double").alias("quantity"), "sender")
+    out = out.select("number", "date", "sender", "total", F.explode("lines").alias("x"))
+    return out.select("number", "date", F.col("x.line_id").alias("line_id"), F.col("x.code").alias("code"), F.col("x.quantity").cast("double").alias("quantity"), "sender", "total")
 
 
 @query(

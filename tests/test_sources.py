@@ -1,14 +1,15 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import documents as docfn
-from millrace.operators.mutations import keyed_replace
+from millrace.operators.mutations import keyed_replace, numbered
 from millrace.sources import files, invoices
 from millrace.api import Workspace
-from millrace.sources.tables import Conflict, Versions, shared_dir
+from millrace.sources.tables import Conflict, Versions, scope, shared_dir
 from millrace.streaming import ingest
 
 LINE = "<DettaglioLinee><NumeroLinea>{n}</NumeroLinea>{codes}<Descrizione>d</Descrizione>{quantity}<PrezzoTotale>3.5</PrezzoTotale><AliquotaIVA>22.00</AliquotaIVA></DettaglioLinee>"
@@ -177,5 +178,14 @@ def test_recorded_answers(spark):
     assert [(r.path, r.content.document.number) for r in got.collect()] == [("/x/a.pdf", "7")]
 
 
+def test_a_scope_deletes_the_tables_made_in_it(spark):
+    with scope():
+        one = numbered(spark.range(9).selectExpr("id as v"), ["v"], 0)
+        kept = one.count()
+        left = [f.removeprefix("file:") for f in one.inputFiles()]
+        assert left and all(os.path.exists(f.removeprefix("//")) for f in left)
+    assert kept == 9 and not any(os.path.exists(f.removeprefix("//")) for f in left)
+
+
 def test_a_shared_folder_is_asked_for(spark):
     assert shared_dir(spark).startswith("file:")
