@@ -22,7 +22,7 @@ def similar_edges(deliveries: DataFrame, invoices: DataFrame, least: int = 90) -
     """
     sides = [first_per(df, ["line_id"], [F.col("ordinal")]).withColumn("s", normalised(F.col("article"))).where("line_id is not null and supplier is not null and s is not null") for df in (deliveries, invoices)]
     names = [df.select("supplier", "s").distinct() for df in sides]
-    pairs = similar.scored(similar.candidates(*names, ["supplier"], least, 3 if least > 66 else 2 if least > 50 else 1), least)
+    pairs = similar.scored(similar.candidates(*names, ["supplier"], least, similar.gram_size(least)), least)
     left = sides[0].select("supplier", F.col("s").alias("a"), F.col("line_id").alias("delivery"), F.col("quantity").alias("need"))
     right = sides[1].select("supplier", F.col("s").alias("b"), F.col("line_id").alias("invoice"), F.col("quantity").alias("room"))
     return left.join(pairs, ["supplier", "a"]).join(right, ["supplier", "b"]).where("need <= room").select("delivery", "invoice", "score")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.similarity import Scorer, edit_score, normalised
 from ..functions.text import is_blank
+from . import similar
 from .running import places
 from .scans import first_per
 
@@ -78,16 +79,22 @@ def resolve_pairs(found: DataFrame, deliveries: DataFrame, invoices: DataFrame)
 def similar_matches(deliveries: DataFrame, invoices: DataFrame, least: int = 90, scorer: Scorer = edit_score) -> DataFrame:
     """J8, natively: lines of one supplier and quantity whose articles score `least` or more; each delivery's best.
 
-    Distinct articles are compared within (supplier, quantity), whose lengths
-    must allow the score. (delivery_id, invoice_id, confidence).
+    Distinct articles of (supplier, quantity) meet through the index of q-grams;
+    another scorer than the edit score compares all whose lengths allow the
+    score. (delivery_id, invoice_id, confidence).
     """
     d = deliveries.withColumn("_n", normalised(F.col("article")))
     i = invoices.withColumn("_n", normalised(F.col("article")))
     left = d.select("supplier", "quantity", F.col("_n").alias("dn")).distinct()
     right = i.select("supplier", "quantity", F.col("_n").alias("inn")).distinct()
-    pairs = left.join(right, ["supplier", "quantity"])
-    short, long = F.least(F.length("dn"), F.length("inn")), F.greatest(F.length("dn"), F.length("inn"))
-    pairs = pairs.where(short * 100 >= long * least).withColumn("score", scorer(F.col("dn"), F.col("inn"))).where(F.col("score") >= least)
+    if scorer is edit_score:
+        key = ["supplier", "quantity"]
+        met = similar.candidates(left.withColumnRenamed("dn", "s"), right.withColumnRenamed("inn", "s"), key, least, similar.gram_size(least))
+        pairs = similar.scored(met, least).withColumnsRenamed({"a": "dn", "b": "inn"})
+    else:
+        pairs = left.join(right, ["supplier", "quantity"])
+        short, long = F.least(F.length("dn"), F.length("inn")), F.greatest(F.length("dn"), F.length("inn"))
+        pairs = pairs.where(short * 100 >= long * least).withColumn("score", scorer(F.col("dn"), F.col("inn"))).where(F.col("score") >= least)
     best = pairs.groupBy("supplier", "quantity", "dn").agg(F.max(F.struct("score", F.col("inn"))).alias("b"))
     best = best.select("supplier", "quantity", F.col("dn").alias("_n"), F.col("b.score").alias("score"), F.col("b.inn").alias("inn"))
     firsts = i.groupBy("supplier", "quantity", F.col("_n").alias("inn")).agg(F.min(F.struct("ordinal", "line_id"))["line_id"].alias("invoice_id"))
@@ -136,16 +143,19 @@ def work_list(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
 def supplier_batches(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
     """A2, PJ2: for each supplier both its lists, in order; null ids and articles become ''.
 
-    One exchange by supplier for both sides. A supplier's lists are one row by
-    definition; `work_list` names the suppliers where that is too much.
+    One exchange by supplier for both sides; a supplier's rows are sorted once,
+    as they are, and only a number goes into the lists to keep their order. A
+    supplier's lists are one row by definition; where that is too much,
+    `supplier_pages` gives the same in bounded rows.
     """
-    item = F.struct("ordinal", F.coalesce("line_id", F.lit("")).alias("id"), F.coalesce("article", F.lit("")).alias("article"), "quantity")
     both = None
     for df, side in ((deliveries, 0), (invoices, 1)):
-        rows = df.where(~is_blank(F.col("supplier"))).select("supplier", F.lit(side).alias("side"), item.alias("item"))
+        rows = df.where(~is_blank(F.col("supplier"))).select("supplier", F.lit(side).alias("side"), "ordinal", F.coalesce("line_id", F.lit("")).alias("id"), F.coalesce("article", F.lit("")).alias("article"), "quantity")
         both = rows if both is None else both.unionByName(rows)
-    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("item")))), lambda x: x.dropFields("ordinal"))
-    return both.groupBy("supplier").agg(of(0).alias("deliveries"), of(1).alias("invoices"))
+    numbered = both.withColumn("n", F.row_number().over(Window.partitionBy("supplier").orderBy("side", "ordinal")))
+    item = F.struct("n", "id", "article", "quantity")
+    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, item))), lambda x: x.dropFields("n"))
+    return numbered.groupBy("supplier").agg(of(0).alias("deliveries"), of(1).alias("invoices"))
 
 
 #: Lines of a page.

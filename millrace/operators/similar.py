@@ -25,9 +25,14 @@ STEPS = ((90, 3), (80, 3), (70, 3), (60, 2), (40, 1), (20, 1), (1, 1))
 PAD = "\x01"
 
 
+def gram_size(score: int) -> int:
+    """The longest grams of which names of this score share some."""
+    return 3 if score > 66 else 2 if score > 50 else 1
+
+
 def steps(least: int) -> list[tuple[int, int]]:
     """The steps down to a least score."""
-    return [s for s in STEPS if s[0] > least] + [(least, 3 if least > 66 else 2 if least > 50 else 1)]
+    return [s for s in STEPS if s[0] > least] + [(least, gram_size(least))]
 
 
 def shared_grams(length: Column, score: int, q: int) -> Column:
