@@ -268,3 +268,34 @@ def test_op8_verdicts_are_the_rules_and_hold_on_rows_not_learned_from(spark):
     low = [i for i, q in odd if q == 0]
     good = [i for i, q in odd if q == 1 and not base[i]]
     assert sum(not kept[i] for i in low) >= 0.95 * len(low) and sum(kept[i] for i in good) >= 0.98 * len(good)
+
+
+@here
+def test_op12_equals_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path(queries.COUNTED_BY))
+    rows = rows_of(spark, "documents", "doc_id", "text")
+    want = sorted((i, len((t or "").encode()), len(tool.encode(t or "", add_special_tokens=False))) for i, t in rows)
+    got = run(spark, "op12_token_counts")
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want and all(r.over_limit == (r.n_tokens > 512) for r in got)
+
+
+@here
+def test_op13_equals_eigenvectors(spark):
+    from test_vectors import plain_whitening
+
+    rows = rows_of(spark, "embeddings", "vec_id", "embedding", "label")
+    dim = max(len(x) for _, x, _ in rows if x)
+    ids, n, exact, z, values, vectors = plain_whitening(rows, dim)
+    got = run(spark, "op13_whitening")
+    assert len(got) == n * min(32, dim) and {r.n for r in got} == {n} and len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-4
+    assert sorted({(r.vec_id, r.deviation) for r in got}) == sorted(zip(ids, exact, strict=True))
+    at = {i: k for k, i in enumerate(ids)}
+    for j in (0, 1, min(32, dim) - 1):
+        own = {r.vec_id: r.whitened for r in got if r.component == j + 1}
+        want = z @ vectors[:, j] / np.sqrt(values[j])
+        sign = np.sign(sum(own[i] * want[at[i]] for i in own))
+        assert max(abs(own[i] - sign * want[at[i]]) for i in own) < 1e-6
+        assert abs(next(r.explained for r in got if r.component == j + 1) - values[j] / values.sum()) < 1e-9
