@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import LOW, Scorer, band, edit_score, normalised
@@ -127,3 +127,8 @@ def route_mail(messages: DataFrame, tenants: DataFrame) -> DataFrame:
     keyed = first_per(tenants.where("mail_from is not null").withColumn("_k", F.lower("mail_from")), ["_k"], [F.col("id")])
     side = keyed.select("_k", F.col("code").alias("tenant"))
     return messages.withColumn("_k", F.lower("sender")).join(side, "_k", "left").drop("_k")
+
+
+def score_of(a: Column, b: Column) -> Column:
+    """The edit score of two names as they are."""
+    return edit_score(normalised(a), normalised(b))
