@@ -37,18 +37,20 @@ PROJECTIONS, COLLISIONS, WIDEN = 192, 0.65, 1.08
 #: Half of the first round's window, in lengths of the difference of two unrelated vectors.
 FIRST_WIDTH = 0.5
 #: The chance that a vector as near as the k-th best has not collided often enough when a query stops.
-MISSED = 0.1
+MISSED = 0.2
+#: Dimensions from which near and far differ so little that the chance must be this instead.
+MANY, MISSED_OF_MANY = 200, 0.14
 #: Squared lengths of a part's vectors are more than the largest divided by this.
 PART_RATIO = 4.0
 SEED = 7
 
 
-def stop_width() -> float:
+def stop_width(d: int = 1) -> float:
     """The half window, in distances of the k-th best, at which a query stops.
 
     A vector at distance r is in a window of half width w with probability
     p = erf(w / (r sqrt 2)); of PROJECTIONS such trials fewer than are needed
-    succeed with probability MISSED.
+    succeed with probability MISSED (MISSED_OF_MANY from MANY dimensions on).
     """
     need = math.ceil(COLLISIONS * PROJECTIONS)
     low, high = 0.0, 8.0
@@ -56,7 +58,7 @@ def stop_width() -> float:
         mid = (low + high) / 2
         p = math.erf(mid / math.sqrt(2))
         missed = sum(math.comb(PROJECTIONS, j) * p**j * (1 - p) ** (PROJECTIONS - j) for j in range(need))
-        low, high = (mid, high) if missed > MISSED else (low, mid)
+        low, high = (mid, high) if missed > (MISSED if d < MANY else MISSED_OF_MANY) else (low, mid)
     return high
 
 
@@ -95,7 +97,7 @@ class Shard:
         factor = math.sqrt(self.reach) / np.sqrt((queries * queries).sum(1))
         centres = ((queries * factor[:, None]) @ self.draws[:d]).T
         need = math.ceil(COLLISIONS * PROJECTIONS)
-        stop = stop_width()
+        stop = stop_width(d)
         found = [np.zeros(0, np.int64) for _ in queries]
         best = [np.full(k, floor) for floor in floors]
         # the windows [low, high) of every query in every sorted array, empty at first, and what collided in them

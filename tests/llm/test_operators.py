@@ -346,6 +346,16 @@ def test_neighbours_stop_when_safe(long):
     assert recall(x, asked, found) >= 0.95
 
 
+@pytest.mark.parametrize("d, n, step", [(384, 6000, 250), (768, 3000, 125)])
+def test_recall_holds_in_many_dimensions(d, n, step):
+    """Random directions, the hardest case, all queries of a stated set."""
+    gen = np.random.default_rng(d)
+    x = gen.normal(size=(n, d))
+    asked = np.arange(0, n, step)
+    found = ann.Shard(np.arange(n), x).search(x[asked], 21, np.full(len(asked), -np.inf))
+    assert np.mean([len(np.intersect1d(own, np.argsort(-(x @ x[q]))[:21])) / 21 for q, own in zip(asked, found, strict=True)]) >= 0.9
+
+
 def test_few_vectors_are_verified_of_many():
     """Windows grow by their edges only, and a tenth of the vectors at most is verified."""
     gen = np.random.default_rng(6)
