@@ -31,6 +31,8 @@ PREFIXES = (4, 5, 6)
 #: Standard deviations from chance at which a term has its full value, the power of its share of the documents that it is
 #: worth in pairs at least, and the value from which a term can change a score at all.
 FULL_Z, COMMON, NIL = 4.0, 1.5, 1e-3
+#: Examples below which what is only common is worth less in pairs: few say little about pairs of neutral terms.
+ENOUGH = 1_000
 FACTORS, BATCH, RATE, DECAY = 8, 256, 0.2, 1e-3
 #: Passes over the examples, and steps that they make at least.
 EPOCHS, STEPS = 15, 600
@@ -120,7 +122,7 @@ def values(docs: np.ndarray, toxic: np.ndarray, rows: int, marked: int) -> tuple
     # one document more or less is chance
     z = np.maximum(np.abs(toxic - expected) - 1, 0) / np.sqrt(expected * (1 - share) + 1)
     alone = np.minimum(1, (z / FULL_Z) ** 2)
-    return alone, np.maximum(alone, (docs / rows) ** COMMON)
+    return alone, np.maximum(alone, (docs / rows) ** COMMON * min(1.0, rows / ENOUGH) ** 2)
 
 
 def train(lists: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, alone: np.ndarray, paired: np.ndarray, seed: int = 1) -> Model:
