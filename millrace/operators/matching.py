@@ -93,15 +93,18 @@ def supplier_entries(names: DataFrame, suppliers: DataFrame, suppress_first: boo
     return known.unionByName(added)
 
 
-def article_entries(lines: DataFrame, articles: DataFrame) -> DataFrame:
+def article_entries(lines: DataFrame, articles: DataFrame, with_known: bool = False) -> DataFrame:
     """Articles of document lines (tenant, supplier_id, code, description) that are unknown, with their best matches.
 
     Lines without a supplier are skipped. For each distinct line: code_score
     and description_score of the supplier's nearest article by code and by
     description, the texts they refer to where 90 or more, and the action.
+    Lines whose code the supplier has need no entry and are left out;
+    `with_known` gives them too, with action known.
     """
-    solid = lines.where("supplier_id is not null and supplier_id != 0").distinct()
-    missing = find_articles(solid, articles).where("article_id is null").drop("article_id")
+    missing = lines.where("supplier_id is not null and supplier_id != 0").distinct()
+    if not with_known:
+        missing = find_articles(missing, articles).where("article_id is null").drop("article_id")
     block = ["tenant", "supplier_id"]
     out = missing
     for c in ("code", "description"):

@@ -37,6 +37,21 @@ def test_supplier_and_article_entries(spark):
     assert got["ABCDEFGHIK"] == ("refer", "ABCDEFGHIJ", 90) and got["zz"][0] == "new" and set(got) == {"ABCDEFGHIK", "zz"}
 
 
+def test_lines_of_known_articles_are_entries_where_asked_for(spark, tmp_path):
+    from millrace.plans import services
+
+    articles = spark.createDataFrame([("t", 1, 7, "10", "ring"), ("t", 1, 8, "100", "bolt")], "tenant string, supplier_id long, id long, code string, description string")
+    lines = spark.createDataFrame([("t", 1, "100", "old ring"), ("t", 1, "1000", "old bolt")], "tenant string, supplier_id long, code string, description string")
+    assert {r.code for r in matching.article_entries(lines, articles).collect()} == {"1000"}
+    got = {r.code: (r.action, r.ref_code, r.code_score, r.description_score) for r in matching.article_entries(lines, articles, with_known=True).collect()}
+    assert got == {"100": ("known", "100", 100, 50), "1000": ("new", None, 75, 50)}
+    # part 200's line has the code of part 2000, which is of the same tenant and supplier
+    spark.range(0, 2001).selectExpr("id p_partkey", "'part ' || id p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(600).selectExpr("id s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    known = services.article_master_entries(spark, str(tmp_path)).where("action = 'known'").collect()
+    assert [(r.code, r.ref_code, r.code_score) for r in known] == [("2000", "2000", 100)]
+
+
 def test_mail_routing_and_log(spark):
     tenants = spark.createDataFrame([(2, "B", "X@y"), (1, "A", "x@Y"), (3, "C", None)], "id long, code string, mail_from string")
     mail = spark.createDataFrame([("x@y",), ("who@y",), (None,)], "sender string")
