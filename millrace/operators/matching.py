@@ -25,8 +25,8 @@ def find_articles(lines: DataFrame, articles: DataFrame) -> DataFrame:
     return lines.join(first, ["tenant", "supplier_id", "code"], "left")
 
 
-#: Choices of a block up to which each of its names simply meets all of them: so many comparisons a name are few.
-FEW_CHOICES = 256
+#: Choices of a block up to which each of its names simply meets all of them: an exchange by grams would cost more.
+FEW_CHOICES = 4096
 
 
 def best_match(queries: DataFrame, choices: DataFrame, block: list[str], scorer: Scorer = edit_score, least: int | None = None) -> DataFrame:
@@ -37,35 +37,33 @@ def best_match(queries: DataFrame, choices: DataFrame, block: list[str], scorer:
     of the whole block, however low; with it a name without such a choice
     scores 0. No choice, or a blank name: id null, score 0, band new.
 
-    In blocks of more than FEW_CHOICES choices the edit score's best is found
-    by an index of q-grams (similar.best_names); another scorer gives no bound
-    to search by and meets the whole block.
+    The edit score's best is found by similar.best_names: in blocks of up to
+    FEW_CHOICES choices among all of them, in larger ones by an index of
+    q-grams. Another scorer gives no bound to search by and meets the whole
+    block.
     """
     asked = queries.select(*block, "name").distinct().withColumn("_q", normalised(F.col("name")))
     forms = asked.where(~is_blank(F.col("name"))).select(*block, "_q").distinct()
     known = choices.select(*block, "id", normalised(F.col("name")).alias("_c")).groupBy(*block, "_c").agg(F.min("id").alias("id"))
-    large = None
     if scorer is edit_score:
-        large = known.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first")).where(F.col("_n") > FEW_CHOICES).select(*block, "_first")
-        large = None if (found := settle(large, "large-blocks")).isEmpty() else found
-    met = forms.join(known, block) if large is None else forms.join(large, block, "left_anti").join(known, block)
-    if least is not None:
-        short, long = F.least(F.length("_q"), F.length("_c")), F.greatest(F.length("_q"), F.length("_c"))
-        met = met.where(short * 100 >= long * least)
-    scored = met.withColumn("score", F.when(F.col("_q") == F.col("_c"), F.when(F.col("_q") == "", 0).otherwise(100)).otherwise(scorer(F.col("_q"), F.col("_c"))))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    best = scored.groupBy(*block, "_q").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("b"))
-    best = best.select(*block, "_q", (-F.col("b.neg")).alias("id"), F.col("b.score").alias("score"))
-    if large is not None:
-        some = forms.join(large, block).select(*block, F.col("_q").alias("s"))
-        entries = known.join(large, block, "left_semi").select(*block, F.col("_c").alias("s"), "id")
-        by_index = best_names(some, entries, block, max(1, least or 1)).withColumnRenamed("a", "_q")
+        known, forms = settle(known, "choices"), settle(forms, "forms")
+        firsts = known.groupBy(*block).agg(F.min("id").alias("_first"))
+        some, entries = forms.withColumnRenamed("_q", "s").join(firsts, block, "left_semi"), known.withColumnRenamed("_c", "s")
+        best = best_names(some, entries, block, max(1, least or 1), FEW_CHOICES).withColumnRenamed("a", "_q")
         if not least:
             # what scores with no name has the block's first
-            rest = some.withColumnRenamed("s", "_q").join(by_index, [*block, "_q"], "left_anti").join(large, block)
-            by_index = by_index.unionByName(rest.select(*block, "_q", F.col("_first").alias("id"), F.lit(0).alias("score")))
-        best = best.unionByName(by_index.select(*best.columns))
+            rest = forms.join(best, [*block, "_q"], "left_anti").join(firsts, block)
+            best = best.unionByName(rest.select(*block, "_q", F.col("_first").alias("id"), F.lit(0).alias("score")))
+    else:
+        met = forms.join(known, block)
+        if least is not None:
+            short, long = F.least(F.length("_q"), F.length("_c")), F.greatest(F.length("_q"), F.length("_c"))
+            met = met.where(short * 100 >= long * least)
+        scored = met.withColumn("score", F.when(F.col("_q") == F.col("_c"), F.when(F.col("_q") == "", 0).otherwise(100)).otherwise(scorer(F.col("_q"), F.col("_c"))))
+        if least is not None:
+            scored = scored.where(F.col("score") >= least)
+        best = scored.groupBy(*block, "_q").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("b"))
+        best = best.select(*block, "_q", (-F.col("b.neg")).alias("id"), F.col("b.score").alias("score"))
     out = asked.join(best, [*block, "_q"], "left")
     score = F.coalesce("score", F.lit(0)).cast("int")
     return out.select(*block, "name", "id", score.alias("score"), band(score).alias("band"))

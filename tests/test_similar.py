@@ -79,3 +79,27 @@ def test_few_of_a_large_tenants_pairs_are_compared(spark):
     found = similar.best_names(a, b.withColumn("id", F.xxhash64("s")), ["tenant"])
     assert found.count() == len(asked) and found.where("score < 60").count() < 20
     assert edit_score is matching.edit_score
+
+
+def test_distances_of_texts_that_share_beginnings():
+    rnd = random.Random(5)
+    names = ["b", "supplier 000000001", "x" * 64, *[edited(rnd, "supplier 000012345", 4) for _ in range(30)]]
+    for known in (names, [*names, "y" * 65, edited(rnd, "long name " * 20, 9)]):
+        texts = sorted(["", "a", "x" * 70, "long name " * 19, *[edited(rnd, "suplier 000012354", 3) for _ in range(30)]])
+        for text, far in zip(texts, similar.distances(texts, known), strict=True):
+            assert far.tolist() == [distance(text, n) for n in known]
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_names_that_differ_in_a_few_characters_do_not_meet_by_grams(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW_CHOICES", few)
+    met = []
+    plain = similar._met
+    monkeypatch.setattr(similar, "_met", lambda *a: met.append(plain(*a).count()) or plain(*a))
+    choices = spark.range(0, 4000, 7).selectExpr("'t' tenant", "id", "'Supplier#' || lpad(id, 9, '0') name")
+    queries = spark.range(0, 9000, 29).selectExpr("'t' tenant", "'Suplier#' || lpad(id, 9, '0') name")
+    got = {r.name: (r.id, r.score) for r in matching.best_match(queries, choices, ["tenant"]).collect()}
+    names = {k: f"supplier {k:09d}" for k in range(0, 4000, 7)}
+    want = {f"Suplier#{q:09d}": max((score(f"suplier {q:09d}", n), -k) for k, n in names.items()) for q in range(0, 9000, 290)}
+    assert len(got) == 311 and all(got[n] == (-k, s) for n, (s, k) in want.items())
+    assert sum(met) < 0.05 * 311 * len(names)
