@@ -1,6 +1,7 @@
 """Answers that are asked for once, mail that waits for its tenant, names in any case, ids of any key."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,37 @@ def test_ids_tell_all_keys_apart(spark):
 
 def test_numbers_follow_a_known_top(spark):
     assert sorted(r.id for r in numbered(spark.range(5).selectExpr("id as v"), ["v"], 41).collect()) == [42, 43, 44, 45, 46]
+
+
+def test_a_drop_is_listed_by_tasks_and_holds_every_document(spark, tmp_path):
+    from millrace.plans import services
+
+    texts = [(k, f"né {k % 50}") for k in range(400)] + [(7, "né 7"), (401, None), (402, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    drop = services._dropped_files(spark, str(tmp_path)).removeprefix("file://")
+    found = [p for p in Path(drop).rglob("*") if p.is_file()]
+    assert sorted(p.read_bytes() for p in found) == sorted((t + "\n").encode() for _, t in texts if t is not None)
+    assert len(list(Path(drop).iterdir())) > int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.threshold"))
+    got = services.file_uploads(spark, str(tmp_path))
+    assert got.count() == 402 and {r.name for r in got.select("name").distinct().collect()} == set(services._NAMES_OF)
+
+
+def test_files_are_opened_once(spark, tmp_path, monkeypatch):
+    from millrace.plans import services
+
+    spark.createDataFrame([(k, "x" * (k % 9)) for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    opened = spark.sparkContext.accumulator(0)
+    plain = services.files.uploads
+
+    def counted(*args):
+        def count(batches):
+            for batch in batches:
+                opened.add(batch.num_rows)
+                yield batch
+
+        found = plain(*args)
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(services.files, "uploads", counted)
+    out = services.extracted_documents(spark, str(tmp_path)).collect()
+    assert sum(r.files for r in out) == 24 and opened.value == 40
