@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import extract, with_retry
-from .tables import Versions
+from .tables import Versions, discard, settle
 
 #: A provider gets (path, content) rows, the path being the content's digest, and returns this; answer null: it failed.
 ASKED = "path string, answer string, error string"
@@ -61,7 +61,8 @@ def ask(files: DataFrame, provider: Callable, versions: Versions, now: datetime,
     Nothing is asked, and no version written, where every answer is there.
     """
     base = versions.latest()
-    open_ = to_ask(files, versions.read(base), now, attempts)
+    # what a content's digest takes of its bytes is taken once, and contents that are answered go no further
+    open_ = settle(to_ask(files, versions.read(base), now, attempts), "to-ask")
     asked = open_.select(F.col("digest").alias("path"), "content")
     if not asked.limit(1).isEmpty():
         got = extract(asked, provider, ASKED).withColumnRenamed("path", "digest").join(open_.select("digest", "before"), "digest")
@@ -76,5 +77,6 @@ def ask(files: DataFrame, provider: Callable, versions: Versions, now: datetime,
         touched = versions.buckets_of(fresh)
         kept = versions.read(base, touched).join(fresh.select("digest"), "digest", "left_anti")
         base = versions.append(kept.unionByName(fresh), base, "extraction", touched)
+    discard(open_)
     keyed = files.select("path", F.sha2("content", 256).alias("digest"))
     return keyed.join(versions.read(base).select("digest", "answer", "error", "attempts"), "digest", "left").select("path", "digest", "answer", "error", "attempts")
