@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.similarity import Scorer, edit_score, normalised
 from ..functions.text import is_blank
+from ..sources.tables import settle
 from . import similar
 from .running import places
 from .scans import first_per
@@ -79,19 +80,18 @@ def resolve_pairs(found: DataFrame, deliveries: DataFrame, invoices: DataFrame)
 def similar_matches(deliveries: DataFrame, invoices: DataFrame, least: int = 90, scorer: Scorer = edit_score) -> DataFrame:
     """J8, natively: lines of one supplier and quantity whose articles score `least` or more; each delivery's best.
 
-    Distinct articles of (supplier, quantity) meet through the index of q-grams;
-    another scorer than the edit score compares all whose lengths allow the
+    Distinct articles of (supplier, quantity) meet where they are, those of very
+    large groups through the index of q-grams (similar.near_pairs); another scorer than the edit score compares all whose lengths allow the
     score. (delivery_id, invoice_id, confidence).
     """
     d = deliveries.withColumn("_n", normalised(F.col("article")))
     i = invoices.withColumn("_n", normalised(F.col("article")))
-    left = d.select("supplier", "quantity", F.col("_n").alias("dn")).distinct()
-    right = i.select("supplier", "quantity", F.col("_n").alias("inn")).distinct()
     if scorer is edit_score:
-        key = ["supplier", "quantity"]
-        met = similar.candidates(left.withColumnRenamed("dn", "s"), right.withColumnRenamed("inn", "s"), key, least, similar.gram_size(least))
-        pairs = similar.scored(met, least).withColumnsRenamed({"a": "dn", "b": "inn"})
+        names = [df.select("supplier", "quantity", F.col("_n").alias("s")) for df in (d, i)]
+        pairs = similar.near_pairs(*names, ["supplier", "quantity"], least).withColumnsRenamed({"a": "dn", "b": "inn"})
     else:
+        left = d.select("supplier", "quantity", F.col("_n").alias("dn")).distinct()
+        right = i.select("supplier", "quantity", F.col("_n").alias("inn")).distinct()
         pairs = left.join(right, ["supplier", "quantity"])
         short, long = F.least(F.length("dn"), F.length("inn")), F.greatest(F.length("dn"), F.length("inn"))
         pairs = pairs.where(short * 100 >= long * least).withColumn("score", scorer(F.col("dn"), F.col("inn"))).where(F.col("score") >= least)
@@ -108,10 +108,12 @@ def reconcile(deliveries: DataFrame, invoices: DataFrame, least: int = 90) -> di
     matches has match_type and the ids; the similar step finds nothing where
     either remainder is empty.
     """
-    exact = exact_matches(deliveries, invoices)
-    rest_d = unmatched(deliveries, exact.select("d_line_id"))
-    rest_i = unmatched(invoices, exact.select("i_line_id"))
-    near = resolve_pairs(similar_matches(rest_d, rest_i, least), rest_d, rest_i)
+    exact = settle(exact_matches(deliveries, invoices).select("d_line_id", "i_line_id"), "exact")
+    rest_d = settle(unmatched(deliveries, exact.select("d_line_id")), "rest")
+    rest_i = settle(unmatched(invoices, exact.select("i_line_id")), "rest")
+    # the remainders have a line of each id, so ids say which lines are meant; a null id says nothing
+    near = similar_matches(rest_d, rest_i, least).where("delivery_id is not null and invoice_id is not null")
+    near = settle(near.select(F.col("delivery_id").alias("d_line_id"), F.col("invoice_id").alias("i_line_id")), "near")
     ids = lambda df, kind: df.select("d_line_id", "i_line_id", F.lit(kind).alias("match_type"))
     return {
         "matches": ids(exact, "exact").unionByName(ids(near, "similar")),

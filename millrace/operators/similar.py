@@ -89,6 +89,61 @@ def scored(pairs: DataFrame, score: int) -> DataFrame:
     return near.withColumn("score", edit_score(F.col("a"), F.col("b")))
 
 
+#: Characters in groups; how many of each a name has is kept in a byte of two numbers, up to eight.
+GROUPS = (*"0123456789", "etq", "aoj", "inx", "srz", "lhdcv", "umpgbfywk ")
+#: Pairs of a block up to which they all meet where they are; grams would send more rows about.
+WHOLE_PAIRS = 4_000_000
+#: Pairs for each name from which bags of names are made to compare them by.
+BAG_COST = 16
+
+
+def bags(side: str) -> list[Column]:
+    """The counts of a name's characters by group, as two numbers of eight bytes, so many bits of each being set."""
+    out, c = [], F.col(side)
+    for half in (0, 1):
+        value = F.lit(0).cast("long")
+        for k, group in enumerate(GROUPS[half * 8 : half * 8 + 8]):
+            n = F.least(F.length(c) - F.length(F.translate(c, group, "")), F.lit(8))
+            ones = F.call_function("shiftleft", F.lit(1).cast("long"), n) - F.lit(1).cast("long")
+            value = value.bitwiseOR(F.shiftleft(ones, 8 * k))
+        out.append(value.alias(f"{side}_bag{half}"))
+    return out
+
+
+def may_score(score: int) -> Column:
+    """What lengths and bags of a and b leave possible: an edit changes the number of one character, or those of two where the length stays."""
+    gap = F.abs(F.length("a") - F.length("b"))
+    limit = F.floor((100 - score) * F.greatest(F.length("a"), F.length("b")) / 100)
+    unlike = F.bit_count(F.col("a_bag0").bitwiseXOR(F.col("b_bag0"))) + F.bit_count(F.col("a_bag1").bitwiseXOR(F.col("b_bag1")))
+    return (gap <= limit) & (unlike <= 2 * limit - gap)
+
+
+def near_pairs(asked: DataFrame, known: DataFrame, keys: list[str], score: int) -> DataFrame:
+    """(keys, a, b, score): the pairs of names that score `score` or more; (keys, s) on both sides, repeated or not.
+
+    Both sides are dealt by their keys once and meet there, but for blocks of
+    more than WHOLE_PAIRS pairs, which meet by the index of q-grams.
+    """
+    asked, known = (settle(df.select(*keys, "s").repartition(*keys).distinct(), "names") for df in (asked, known))
+    count = F.count(F.lit(1))
+    sizes = asked.groupBy(*keys).agg(count.alias("n")).join(known.groupBy(*keys).agg(count.alias("m")), keys)
+    total = sizes.agg(F.max(F.col("n") * F.col("m")), F.sum(F.col("n") * F.col("m")), F.sum(F.col("n") + F.col("m"))).first()
+    some, bagged = (total[0] or 0) > WHOLE_PAIRS, (total[1] or 0) > BAG_COST * (total[2] or 0)
+    large = settle(sizes.where(F.col("n") * F.col("m") > WHOLE_PAIRS).select(*keys), "large-blocks") if some else None
+    left, right = (df.join(large, keys, "left_anti") if some else df for df in (asked, known))
+    left, right = (df.where(F.length("s") > 0).select(*keys, F.col("s").alias(side)).repartition(*keys) for df, side in ((left, "a"), (right, "b")))
+    if bagged:
+        met = left.select("*", *bags("a")).join(right.select("*", *bags("b")), keys).where(may_score(score)).select(*keys, "a", "b")
+    else:
+        short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+        met = left.join(right, keys).where(short * 100 >= long * score)
+    pairs = scored(met, score)
+    if some:
+        names = [df.join(large, keys, "left_semi") for df in (asked, known)]
+        pairs = pairs.unionByName(scored(candidates(*names, keys, score, gram_size(score)), score))
+    return pairs
+
+
 #: Pairs of a block up to which they are rows of a join; beyond that its names are compared in tasks, so many pairs and names known at a time.
 JOINED_PAIRS, PART_PAIRS, PIECE = 20_000, 4_000_000, 16_384
 #: A meeting by a gram is a row of an exchange, which costs as much as so many pairs that are compared in place.

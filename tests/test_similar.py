@@ -103,3 +103,16 @@ def test_names_that_differ_in_a_few_characters_do_not_meet_by_grams(spark, monke
     want = {f"Suplier#{q:09d}": max((score(f"suplier {q:09d}", n), -k) for k, n in names.items()) for q in range(0, 9000, 290)}
     assert len(got) == 311 and all(got[n] == (-k, s) for n, (s, k) in want.items())
     assert sum(met) < 0.05 * 311 * len(names)
+
+
+@pytest.mark.parametrize("whole, cost", [(10**9, 0), (10**9, 10**9), (50, 0)])
+def test_near_pairs_of_all_pairs(spark, monkeypatch, whole, cost):
+    rnd = random.Random(whole + cost)
+    monkeypatch.setattr(similar, "WHOLE_PAIRS", whole)
+    monkeypatch.setattr(similar, "BAG_COST", cost)
+    known = sorted({company(rnd) for _ in range(25)} | {"a", "ab", "aab", "12345", "12346", "12354", "1111111111111"})
+    near = sorted({edited(rnd, n, rnd.randint(0, 5)) for n in known} | {"12345", "11111111111112"} - {""})
+    sides = [spark.createDataFrame([(t, n) for n in side for t in "tu"][: -1], "tenant string, s string") for side in (near, known)]
+    for least in (50, 75):
+        got = {(r.a, r.b, r.score) for r in similar.near_pairs(*sides, ["tenant"], least).where("tenant = 't'").collect()}
+        assert got == {(x, y, score(x, y)) for x in near if x for y in known if score(x, y) >= least}
