@@ -18,11 +18,12 @@ AMOUNT = "decimal(38,10)"
 def similar_edges(deliveries: DataFrame, invoices: DataFrame, least: int = 90) -> DataFrame:
     """(delivery, invoice, score) of lines of one supplier whose articles score `least` or more and where the delivery's quantity fits.
 
-    Articles meet through the index of q-grams, not all with all.
+    A supplier's articles meet where they are, those of very large suppliers
+    through the index of q-grams (similar.near_pairs).
     """
     sides = [first_per(df, ["line_id"], [F.col("ordinal")]).withColumn("s", normalised(F.col("article"))).where("line_id is not null and supplier is not null and s is not null") for df in (deliveries, invoices)]
-    names = [df.select("supplier", "s").distinct() for df in sides]
-    pairs = similar.scored(similar.candidates(*names, ["supplier"], least, similar.gram_size(least)), least)
+    sides = [settle(df.select("supplier", "s", "line_id", "quantity"), "lines") for df in sides]
+    pairs = similar.near_pairs(*[df.select("supplier", "s") for df in sides], ["supplier"], least)
     left = sides[0].select("supplier", F.col("s").alias("a"), F.col("line_id").alias("delivery"), F.col("quantity").alias("need"))
     right = sides[1].select("supplier", F.col("s").alias("b"), F.col("line_id").alias("invoice"), F.col("quantity").alias("room"))
     return left.join(pairs, ["supplier", "a"]).join(right, ["supplier", "b"]).where("need <= room").select("delivery", "invoice", "score")
