@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,9 @@ from pyspark.sql.window import Window
 from ..functions.similarity import edit_score
 from ..sources.tables import discard, settle
 
+# executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: (score, q) of the steps; q-grams need a score over 100 - 100 / q.
 STEPS = ((90, 3), (80, 3), (70, 3), (60, 2), (40, 1), (20, 1), (1, 1))
 PAD = "\x01"
