@@ -2,15 +2,17 @@
 
 Vectors are dealt to shards by a hash of their ids, and a shard's vectors to
 parts by their length. A part keeps, for each of many random projections, an
-array of its vectors sorted by the projected value. A query opens a window
-about its own value in every array and widens all of them together (virtual
-rehashing: each round's window is a multiple of the last); only what lies
-between the old edges and the new ones is read and counted. A vector that lies
-in enough windows has collided often enough and is verified by its exact inner
-product. A query is done with a part when every vector was verified, or when
-the best k are so near that a nearer vector would have collided often enough
-but for a chance of MISSED. Parts too short to beat the best k are left out
-exactly.
+array of its vectors sorted by the projected value, cut into at most 256 cells
+of equally many vectors; a vector is a byte for each projection. A query opens
+a window about its own value in every array, a run of cells, and a vector
+collides where its cell is in the window: 64 bytes or so are compared at once.
+All windows widen together (virtual rehashing). As windows only grow, the
+vectors that have collided often enough at the last width are all that ever
+did, so two widths are counted: at the first the vectors with the most
+collisions are verified by their exact inner products, and the k-th best of
+them says at which width a query may stop, as a vector nearer than that would
+have collided often enough but for a chance of MISSED. All that have at that
+width are verified. Parts too short to beat the best k are left out exactly.
 
 Inner products become distances by one more coordinate that gives every
 vector of a part the same length.
@@ -32,10 +34,12 @@ from .common import bare, settle
 K, QUERY_STEP = 20, 20
 #: Vectors of a shard; queries that are sent to a shard's task at most, and those that are searched for together.
 SHARD_ROWS, BLOCK_ROWS, TOGETHER = 16_384, 65_536, 256
-#: Projections, the share of them that a vector must collide in, and the factor from one round's windows to the next's.
-PROJECTIONS, COLLISIONS, WIDEN = 192, 0.65, 1.08
-#: Half of the first round's window, in lengths of the difference of two unrelated vectors.
-FIRST_WIDTH = 0.5
+#: Projections (a byte holds their number), and the share of them that a vector must collide in.
+PROJECTIONS, COLLISIONS = 192, 0.65
+#: Half of the first window, in lengths of the difference of two unrelated vectors, and the vectors verified then for each of the k.
+FIRST_WIDTH, FIRST_SHARE = 0.5, 4
+#: Cells of a sorted array, and vectors that are counted at once (their bytes fit a core's cache).
+CELLS, COUNTED = 256, 2048
 #: The chance that a vector as near as the k-th best has not collided often enough when a query stops.
 MISSED = 0.2
 #: Dimensions from which near and far differ so little that the chance must be this instead.
@@ -85,6 +89,34 @@ class Shard:
         values = (rows @ self.draws[:d] + spare[:, None] * self.draws[d]).T
         self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(values, self.order, axis=1)
+        # edges[c] is the place in a sorted array where cell c begins
+        n = len(rows)
+        self.edges = np.arange(min(n, CELLS) + 1) * n // min(n, CELLS)
+        of_place = np.repeat(np.arange(min(n, CELLS), dtype=np.uint8), np.diff(self.edges))
+        cells = np.empty((PROJECTIONS, n), np.uint8)
+        np.put_along_axis(cells, self.order, np.broadcast_to(of_place, cells.shape), axis=1)
+        self.cells = [np.ascontiguousarray(cells[:, at : at + COUNTED]) for at in range(0, n, COUNTED)]
+
+    def windows(self, centres: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every query (a row) and projection the first cell of its window and the one after the last, to the nearest edge.
+
+        centres: queries' values by projection; width: each query's half window.
+        """
+        low, high = np.empty(centres.T.shape, np.int64), np.empty(centres.T.shape, np.int64)
+        middles = (self.edges[1:] + self.edges[:-1]) / 2
+        for j in range(PROJECTIONS):
+            low[:, j] = np.searchsorted(middles, np.searchsorted(self.sorted[j], centres[j] - width, "left"))
+            high[:, j] = np.searchsorted(middles, np.searchsorted(self.sorted[j], centres[j] + width, "right"))
+        return low, high
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many windows [low, high) of one query each vector is."""
+        open_ = high > low
+        if not open_.all():
+            # an empty window is that of no cell: all its vectors are taken off again
+            return self.collisions(np.where(open_, low, 0), np.where(open_, high, CELLS)) - np.uint8(np.count_nonzero(~open_))
+        first, span = low.astype(np.uint8)[:, None], (high - low - 1).astype(np.uint8)[:, None]
+        return np.concatenate([np.add.reduce((block - first <= span).view(np.uint8), axis=0, dtype=np.uint8) for block in self.cells])
 
     def search(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[np.ndarray]:
         """For each query (a row) the positions of the verified vectors.
@@ -100,38 +132,25 @@ class Shard:
         stop = stop_width(d)
         found = [np.zeros(0, np.int64) for _ in queries]
         best = [np.full(k, floor) for floor in floors]
-        # the windows [low, high) of every query in every sorted array, empty at first, and what collided in them
-        low = np.empty((len(queries), PROJECTIONS), np.int64)
-        for j in range(PROJECTIONS):
-            low[:, j] = np.searchsorted(self.sorted[j], centres[j])
-        high = low.copy()
-        counts = np.zeros((len(queries), n), np.int16)
         # no inner product here is larger than that of the longest vector in the query's direction
         active = np.flatnonzero(floors <= self.reach / factor * (1 + 1e-9))
-        width = math.sqrt(2 * self.reach) * FIRST_WIDTH
-        while len(active):
-            first, last = np.empty((len(active), PROJECTIONS), np.int64), np.empty((len(active), PROJECTIONS), np.int64)
-            for j in range(PROJECTIONS):
-                first[:, j] = np.searchsorted(self.sorted[j], centres[j, active] - width, "left")
-                last[:, j] = np.searchsorted(self.sorted[j], centres[j, active] + width, "right")
-            left_over = []
-            for i, a, b in zip(active.tolist(), first, last, strict=True):
-                edges = [row[x:y] for row, x, y in zip(self.order, a.tolist(), low[i].tolist(), strict=True)]
-                edges += [row[x:y] for row, x, y in zip(self.order, high[i].tolist(), b.tolist(), strict=True)]
-                low[i], high[i] = a, b
-                before = counts[i] >= need
-                counts[i] += np.bincount(np.concatenate(edges), minlength=n).astype(np.int16)
-                fresh = np.flatnonzero((counts[i] >= need) & ~before)
-                if len(fresh):
-                    found[i] = np.concatenate((found[i], fresh))
-                    both = np.concatenate((best[i], self.rows[fresh] @ queries[i]))
-                    best[i] = np.partition(both, len(both) - k)[len(both) - k :]
-                    floors[i] = best[i].min()
-                apart = math.sqrt(max(0.0, 2 * (self.reach - factor[i] * floors[i])))
-                if len(found[i]) < n and width < stop * apart:
-                    left_over.append(i)
-            active = np.array(left_over, int)
-            width *= WIDEN
+
+        def raised(i: int, fresh: np.ndarray) -> None:
+            both = np.concatenate((best[i], self.rows[fresh] @ queries[i]))
+            best[i] = np.partition(both, len(both) - k)[len(both) - k :]
+            floors[i] = best[i].min()
+            found[i] = np.concatenate((found[i], fresh))
+
+        most = min(n, FIRST_SHARE * k)
+        width = np.full(len(active), math.sqrt(2 * self.reach) * FIRST_WIDTH)
+        for i, low, high in zip(active.tolist(), *self.windows(centres[:, active], width), strict=True):
+            raised(i, np.argpartition(self.collisions(low, high), n - most)[n - most :])
+        active = active[[len(found[i]) < n for i in active.tolist()]] if len(active) else active
+        width = stop * np.sqrt(np.maximum(0.0, 2 * (self.reach - factor[active] * floors[active])))
+        for i, low, high in zip(active.tolist(), *self.windows(centres[:, active], width), strict=True):
+            known = np.zeros(n, bool)
+            known[found[i]] = True
+            raised(i, np.flatnonzero((self.collisions(low, high) >= need) & ~known))
         return found
 
 

@@ -372,6 +372,22 @@ def test_few_vectors_are_verified_of_many():
     assert at_once.max() == ann.PROJECTIONS and at_once[asked[0]] == ann.PROJECTIONS
 
 
+@pytest.mark.parametrize("n", [3, 100, 5000])
+def test_collisions_are_counted_by_cells(n):
+    """Counts are those of windows of whole cells, of empty and of full ones too."""
+    gen = np.random.default_rng(n)
+    x = gen.normal(size=(n, 16))
+    index = ann.Shard(np.arange(n), x)
+    centres = (gen.normal(size=(4, 16)) @ index.draws[:-1]).T
+    for width in (0.0, 0.4, 2.0, np.inf):
+        for low, high in zip(*index.windows(centres, np.full(4, width)), strict=True):
+            plain = np.zeros(n, int)
+            for a, b, order in zip(low, high, index.order, strict=True):
+                plain[order[index.edges[a] : index.edges[max(a, b)]]] += 1
+            assert index.collisions(low, high).tolist() == plain.tolist()
+    assert (plain == ann.PROJECTIONS).all()
+
+
 def test_neighbours_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 700)
     gen = np.random.default_rng(8)
