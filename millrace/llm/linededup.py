@@ -209,23 +209,32 @@ def _open(placed: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return found, found.agg(F.sum("cost")).first()[0] or 0
 
 
-def _centre_pairs(placed: DataFrame, open_: DataFrame, turn: int, rows: int) -> DataFrame:
-    """Of each open group: its lines outside the main component with PROBES lines of it, and one of the former with all of other components."""
-    left = placed.join(small(open_.select("band", "main")), "band")
+def _open_lines(placed: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """The lines of the open groups with their group's main component, sizes and parity maps, settled."""
+    return settle(placed.join(small(open_.select("band", "main")), "band").join(texts.select("key", "n", *MAPS), "key"), "left")
+
+
+def _centre_pairs(placed: DataFrame, open_: DataFrame, texts: DataFrame, turn: int, rows: int) -> DataFrame:
+    """Of each open group: its lines outside the main component with PROBES lines of it, and one of the former with all of other components, where they may link."""
+    left = _open_lines(placed, open_, texts)
     h = F.xxhash64("key", F.lit(turn))
+    line = F.struct(h.alias("h"), "key", "component", "n", *MAPS)
     other = left.where("component != main")
-    probes = left.where("component = main").groupBy("band", F.pmod(h, F.lit(PROBES)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "key")).alias("c"))
-    centre = other.groupBy("band").agg(F.min(F.struct(h.alias("h"), "key", "component")).alias("c"))
-    met = other.join(probes, "band").select("key", F.col("c.key").alias("at"))
-    met = met.union(left.join(centre, "band").where(F.col("component") != F.col("c.component")).select("key", F.col("c.key").alias("at")))
-    pairs = met.select(F.least("key", "at").alias("a"), F.greatest("key", "at").alias("b")).distinct()
-    return settle(in_files(pairs, rows * (PROBES + 1)), "pairs")
+    probes = left.where("component = main").groupBy("band", F.pmod(h, F.lit(PROBES)).alias("slot")).agg(F.min(line).alias("c"))
+    centre = other.groupBy("band").agg(F.min(line).alias("c"))
+    probes, centre = [_side(df.select("band", "c.*"), "b", "component", "band") for df in (probes, centre)]
+    same = F.col("a_band") == F.col("b_band")
+    met = _side(other, "a", "band").join(probes, same).where(_may_link()).select("a_key", "b_key")
+    met = met.union(_side(left, "a", "component", "band").join(centre, same).where("a_component != b_component").where(_may_link()).select("a_key", "b_key"))
+    pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    pairs = settle(in_files(pairs, rows * (PROBES + 1)), "pairs")
+    discard(left)
+    return pairs
 
 
 def _other_pairs(placed: DataFrame, open_: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs of a group that are in different components and may link."""
-    left = placed.join(small(open_.select("band", "main")), "band").join(texts.select("key", "n", *MAPS), "key")
-    left = settle(left, "left")
+    left = _open_lines(placed, open_, texts)
     one = _side(left.where("component != main"), "a", "component", "band", "main")
     two = _side(left, "b", "component", "band")
     met = one.join(two, F.col("a_band") == F.col("b_band"))
@@ -267,7 +276,7 @@ def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     before, turn = None, 0
     open_, cost = _open(placed, rows)
     while cost > PAIRS_A_LINE * rows and (before is None or cost <= ROUND_LEAVES * before):
-        pairs = _centre_pairs(placed, open_, turn, rows)
+        pairs = _centre_pairs(placed, open_, texts, turn, rows)
         more = _links(pairs, texts)
         discard(open_, pairs)
         placed = _merged(placed, more, rows)

@@ -196,6 +196,22 @@ def test_lines_of_one_stem_all_meet(spark):
     assert len(met) > 390 and met <= gone and not any(k % 2 == 0 for k in gone)
 
 
+def test_only_lines_that_may_link_are_compared(spark, monkeypatch):
+    """Unlike lines of one stem meet centres by sizes and parity maps; their texts are not read for each."""
+    own = random.Random(12)
+    chars = lambda n: "".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    stem, counts, links = chars(100), [], linededup._links
+    rows = [(k, stem + chars(30)) for k in range(300)]
+
+    def counted(pairs, texts):
+        counts.append(pairs.count())
+        return links(pairs, texts)
+
+    monkeypatch.setattr(linededup, "_links", counted)
+    gone = linededup.duplicate_lines(spark.createDataFrame(rows, DOCS)).count()
+    assert gone == 0 and len(counts) > 2 and sum(counts[1:]) <= len(rows)
+
+
 def test_short_lines_are_exact_classes(spark):
     rows = [(1, "yes\n\nMIT License\n} "), (2, "Yes\nno\n\n mit license"), (3, "}\n\nyes yes"), (4, "no"), (5, "Released under the MIT license.")]
     rows += [(6, "released under the mit license."), (7, "released under the bsd license.")]
