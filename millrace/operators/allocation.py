@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.similarity import normalised
 from ..sources.tables import discard, settle
 from . import similar
-from .running import running
+from .running import crowded, in_task, running
 from .scans import first_per
 
 AMOUNT = "decimal(38,10)"
@@ -79,20 +81,27 @@ def allocate(deliveries: DataFrame, invoices: DataFrame) -> DataFrame:
     Both sides are laid end to end within a key; every place where a line
     begins or ends starts a stretch that belongs to one line of each side at
     most. So a key of n and m lines makes n + m stretches, never n * m pairs.
+    A key's lines move to one task, once; only keys that may have too many for
+    one are spread over tasks by range.
     """
     key = ["supplier", "article"]
-    events = None
-    for df, side in ((deliveries, "d"), (invoices, "i")):
-        solid = df.where("quantity > 0").select(*key, "line_id", F.col("quantity").cast(AMOUNT).alias("quantity"), "ordinal")
-        laid = running(solid, key, ["ordinal"], {"begin": F.col("quantity")})
-        laid = laid.select(*key, F.col("begin").cast(AMOUNT).alias("begin"), (F.col("begin") + F.col("quantity")).cast(AMOUNT).alias("end"), F.col("line_id").alias("id"))
-        line = F.struct("begin", "end", "id")
-        none = F.lit(None).cast(laid.select(line.alias("x")).schema["x"].dataType)
-        begins = laid.select(*key, F.col("begin").alias("at"), *[(line if side == s else none).alias(s) for s in "di"])
-        ends = laid.select(*key, F.col("end").alias("at"), none.alias("d"), none.alias("i"))
-        events = begins.unionByName(ends) if events is None else events.unionByName(begins).unionByName(ends)
+    sides = [df.where("quantity > 0").select(*key, F.lit(side).alias("side"), "line_id", F.col("quantity").cast(AMOUNT).alias("quantity"), "ordinal") for df, side in ((deliveries, "d"), (invoices, "i"))]
+    most, spread = crowded(sides[0].unionByName(sides[1]), key)
+    out = _stretches(most.repartition(*key), key, in_task)
+    return out if spread is None else out.unionByName(_stretches(spread, key, running))
+
+
+def _stretches(lines: DataFrame, key: list[str], run: Callable) -> DataFrame:
+    """Of lines of both sides (side 'd' or 'i') what `allocate` gives; run: what makes running values within keys."""
+    laid = run(lines, [*key, "side"], ["ordinal"], {"begin": F.col("quantity")})
+    laid = laid.select(*key, "side", F.col("begin").cast(AMOUNT).alias("begin"), (F.col("begin") + F.col("quantity")).cast(AMOUNT).alias("end"), F.col("line_id").alias("id"))
+    line = F.struct("begin", "end", "id")
+    # a row for each place: with the line that begins there, or none where one ends
+    places = F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(True).alias("begins")), F.struct(F.col("end").alias("at"), F.lit(False).alias("begins"))))
+    events = laid.select(*key, "side", line.alias("line"), places.alias("p"))
+    events = events.select(*key, F.col("p.at").alias("at"), *[F.when(F.col("p.begins") & (F.col("side") == s), F.col("line")).alias(s) for s in "di"])
     events = events.groupBy(*key, "at").agg(F.max("d").alias("d"), F.max("i").alias("i"))
-    now = running(events, key, ["at"], lasts={"delivery": F.col("d"), "invoice": F.col("i")})
+    now = run(events, key, ["at"], lasts={"delivery": F.col("d"), "invoice": F.col("i")})
     open_ = lambda c: F.when(F.col(f"{c}.end") > F.col("at"), F.col(c))
     now = now.select(*key, "at", open_("delivery").alias("d"), open_("invoice").alias("i")).where("d is not null or i is not null")
     share = (F.least("d.end", "i.end") - F.col("at")).cast("decimal(28,10)")

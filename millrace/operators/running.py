@@ -9,6 +9,30 @@ from pyspark.sql.window import Window
 from ..sources.tables import settle
 
 
+#: Groups that a hash of the keys makes, and rows of one beyond which its keys are spread over tasks.
+GROUPS, GROUP_ROWS = 1 << 16, 1_000_000
+
+
+def crowded(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """df without the keys that may have too many rows for a task, and the rows of those, None if there are none.
+
+    Rows are counted by a hash of their keys, GROUPS numbers in all, so that
+    no row need move for it; groups of more than GROUP_ROWS rows are few.
+    """
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS))
+    counted = df.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    full = [r["g"] for r in counted.where(F.col("n") > GROUP_ROWS).select("g").collect()]
+    return (df.where(~group.isin(full)), df.where(group.isin(full))) if full else (df, None)
+
+
+def in_task(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """What `running` gives, of keys whose rows all fit a task: plain windows, for which a key's rows move once at most."""
+    here = Window.partitionBy(*keys).orderBy(*order)
+    earlier, sofar = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, 0)
+    found = {name: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for name, c in (sums or {}).items()} | {name: F.max(c).over(sofar) for name, c in (lasts or {}).items()}
+    return df.select(*df.columns, *[c.alias(name) for name, c in found.items()])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
     """df with running values of each key (nulls are equal) in a total order.
 

@@ -117,3 +117,17 @@ def test_the_feed_tells_inserts_updates_and_deletes(spark):
     assert got == want and changes.unequal_buckets(frame(old), frame(old)).count() == 0
     assert changes.unequal_buckets(frame(old), frame(new)).count() <= len(want)
     assert changes.feed(frame({1: ("a", 1)}).limit(0), frame({1: ("a", 1)})).count() == 1
+
+
+def test_lines_of_a_key_move_once(spark, monkeypatch):
+    """Few lines of a key are allocated after one exchange, many by ranges, with equal results."""
+    rows = [[(f"{side}{n}", None if n % 7 == 0 else str(n % 5), "a", Decimal(n % 4), n) for n in range(60)] for side in "di"]
+    d, i = (spark.createDataFrame(r, "line_id string, supplier string, article string, quantity decimal(28,10), ordinal int") for r in rows)
+    out = allocation.allocate(d, i)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("hashpartitioning(supplier") == 1
+    monkeypatch.setattr(running, "GROUP_ROWS", 15)
+    spread = allocation.allocate(d, i)
+    assert spread._jdf.queryExecution().executedPlan().toString().count("Exchange") > 1
+    key = lambda r: tuple(map(str, r))
+    assert sorted(spread.collect(), key=key) == sorted(out.collect(), key=key)
