@@ -168,9 +168,10 @@ def keyed_replace(state: DataFrame, incoming: DataFrame, reject_closed: bool = T
     refused = F.coalesce(closed, F.lit(False))
     rejected = marked.where(refused).select(*incoming.columns)
     accepted = first_per(marked.where(~refused), KEY, [F.desc("arrival")])
-    kept = state.join(accepted.where("_met is not null").select(F.col("_met").alias("id")), "id", "left_anti").select(*state.columns)
     top = largest_id(state) if top is None else top
-    added = numbered(accepted.drop("_met", "_met_state"), ["arrival"], top)
+    # what replaces is settled as it is numbered, and what it replaces is read from there
+    added = numbered(accepted.drop("_met_state"), ["arrival"], top)
+    kept = state.join(added.where("_met is not null").select(F.col("_met").alias("id")), "id", "left_anti").select(*state.columns)
     return Replaced(kept.unionByName(added.select(*[F.col(c) for c in state.columns if c in added.columns]), allowMissingColumns=True), rejected, quarantined)
 
 
@@ -188,9 +189,10 @@ def save_reconciliation(state: DataFrame, deliveries: DataFrame, invoices: DataF
     """
     both = deliveries.withColumn("_side", F.lit(0)).unionByName(invoices.withColumn("_side", F.lit(1)))
     last = first_per(both, ["tenant", "line_id"], [F.desc("_side"), F.desc("ordinal")])
-    kept = state.join(last.select("tenant", "line_id"), ["tenant", "line_id"], "left_anti").select(*state.columns)
     top = largest_id(state) if top is None else top
+    # the last rows are settled as they are numbered, and what they replace is read from there
     added = numbered(last, ["_side", "ordinal"], top).drop("_side", "ordinal")
+    kept = state.join(added.select("tenant", "line_id"), ["tenant", "line_id"], "left_anti").select(*state.columns)
     return kept.unionByName(added.select(*state.columns))
 
 
