@@ -460,7 +460,8 @@ def xml_invoice_lines(spark, folder):
         F.lit("</DatiBeniServizi></FatturaElettronicaBody></p:FatturaElettronica>"),
     )
     out = xml.documents(docs.select(F.col("file_name").alias("source"), text.alias("xml")))
-    out = out.select("number", "date", "sender", "total", F.explode("lines").alias("x"))
+    # explode would first count the lines of each list, and make the list twice
+    out = out.select("number", "date", "sender", "total", F.explode_outer("lines").alias("x")).where("x is not null")
     return out.select("number", "date", F.col("x.line_id").alias("line_id"), F.col("x.code").alias("code"), F.col("x.quantity").cast("double").alias("quantity"), "sender", "total")
 
 

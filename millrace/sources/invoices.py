@@ -39,12 +39,14 @@ def documents(invoices: DataFrame, all_bodies: bool = False) -> DataFrame:
     doc_id = key_digest(F.col("sender"), F.col("number"), F.col("date"), F.col("body_no").cast("string"))
     rows = rows.withColumn("id", doc_id)
 
-    def line(x: Column) -> Column:
+    def line(x: Column, master: Column) -> Column:
         code = F.coalesce(F.get(x["CodiceArticolo"], F.lit(0))["CodiceValore"], F.lit(""))
         return F.struct(
-            x["NumeroLinea"].cast("string").alias("line_id"), F.col("id").alias("master_id"), code.alias("code"), x["Descrizione"].alias("description"),
+            x["NumeroLinea"].cast("string").alias("line_id"), master.alias("master_id"), code.alias("code"), x["Descrizione"].alias("description"),
             x["Quantita"].alias("quantity"), x["UnitaMisura"].alias("unit"), F.lit(0).cast("decimal(28,10)").alias("taxable"),
             x["AliquotaIVA"].cast("string").alias("vat"), x["PrezzoTotale"].alias("total"),
         )
 
-    return rows.select("source", "id", F.lit("4").alias("type"), "number", "date", "sender", F.transform(F.coalesce("raw", F.array()), line).alias("lines"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    # a list of the one id, so that its digest is made once for a document and not for each line
+    lines = F.get(F.transform(F.array("id"), lambda master: F.transform(F.coalesce("raw", F.array()), lambda x: line(x, master))), F.lit(0))
+    return rows.select("source", "id", F.lit("4").alias("type"), "number", "date", "sender", lines.alias("lines"), F.coalesce("total", F.lit(0.0)).alias("total"))

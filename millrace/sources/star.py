@@ -39,15 +39,20 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nested_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(order, lines): each order's lines in order, as the documents nest them."""
-    line = F.struct(
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate").alias("ordinal"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_id"), F.col("l_orderkey").cast("string").alias("master_id"), F.col("l_partkey").cast("string").alias("code"),
-        F.lit(None).cast("string").alias("description"), F.col("l_quantity").cast(AMOUNT).alias("quantity"), F.lit("pz").alias("unit"), F.lit(0).cast(AMOUNT).alias("taxable"),
-        F.col("l_tax").cast("string").alias("vat"), F.col("l_extendedprice").cast(AMOUNT).alias("total"),
+    """(order, lines): each order's lines in order, as the documents nest them.
+
+    Rows move and are sorted as the table has them; what a document's line is
+    made of is worked out afterwards, as most of it says the same thing again.
+    """
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+    # dealt before they are grouped, so that no task sorts lists of single lines for the shuffle
+    rows = read(spark, folder, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(order)).alias("lines"))
+    line = lambda x: F.struct(
+        F.concat_ws("-", "id", x["l_linenumber"]).alias("line_id"), F.col("id").cast("string").alias("master_id"), x["l_partkey"].cast("string").alias("code"),
+        F.lit(None).cast("string").alias("description"), x["l_quantity"].cast(AMOUNT).alias("quantity"), F.lit("pz").alias("unit"), F.lit(0).cast(AMOUNT).alias("taxable"),
+        x["l_tax"].cast("string").alias("vat"), x["l_extendedprice"].cast(AMOUNT).alias("total"),
     )
-    rows = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return rows.withColumn("lines", F.transform("lines", lambda x: x.dropFields("ordinal")))
+    return rows.withColumn("lines", F.transform("lines", line))
 
 
 def documents(spark: SparkSession, folder: str, with_lines: bool = True) -> DataFrame:

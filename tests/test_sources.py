@@ -35,6 +35,21 @@ def test_xml_invoices(spark):
     assert [(d.number, d.total) for d in both] == [("7", 9.5), ("8", 0.0)]
 
 
+def test_xml_invoice_lines_are_made_once(spark, tmp_path):
+    """Rows are shuffled as the tables have them, and an id's digest is made once for a document; explode would count the lines of a list that it makes twice."""
+    from millrace.plans.catalog import QUERIES
+
+    spark.sql("SELECT cast(1 as long) o_orderkey, cast(2 as long) o_custkey, 'O' o_orderstatus, 7.5D o_totalprice, timestamp_ntz'1995-01-02' o_orderdate, '1-URGENT' o_orderpriority UNION ALL SELECT 2, 2, 'O', 0.0D, timestamp_ntz'1995-01-03', '1-URGENT'").write.parquet(str(tmp_path / "orders.parquet"))
+    line = "SELECT cast({} as long) l_orderkey, cast({} as long) l_partkey, cast(4 as long) l_suppkey, {} l_linenumber, {}D l_quantity, 2.0D l_extendedprice, 0.0D l_discount, 0.0D l_tax, 'N' l_returnflag, 'O' l_linestatus, timestamp_ntz'1995-02-02' l_shipdate"
+    # order 2 has no line, and the lines of order 3 have no order
+    spark.sql(" UNION ALL ".join(line.format(*x) for x in ((1, 30, 2, 5.0), (1, 31, 1, 6.0), (1, 29, 2, 5.0), (3, 30, 1, 5.0)))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["xml_invoice_lines"](spark, str(tmp_path))
+    assert sorted((r.number, r.line_id, r.code, r.quantity, r.sender, r.total) for r in out.collect()) == [("1", "1", "31", 6.0, "2", 7.5), ("1", "2", "29", 5.0, "2", 7.5), ("1", "3", "30", 5.0, "2", 7.5)]
+    plan = QUERIES["xml_invoice_lines"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan[plan.rindex("Exchange hashpartitioning(l_orderkey") :]
+    assert plan.count("sha2(") == 1 and "collect_list" not in shuffled and "concat_ws" not in shuffled
+
+
 def test_files_by_extension(spark, tmp_path):
     for name in ("a.PDF", "b.xml", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
