@@ -74,16 +74,16 @@ class Workspace:
             if found:
                 raise ValueError("not unique: " + ", ".join(f"{r.key} {r.value}" for r in found))
 
-    def _change(self, name: str, change, touched: list[int]) -> int:
+    def _change(self, name: str, change, touched: list[int], in_place: bool = False) -> int:
         """Write what `change` makes of the rows of some buckets, of the version that was read last."""
         base = self._seen[name]
-        return self.commit(name, change(self._versions(name).read(base, touched)), touched=touched)
+        return self.commit(name, change(self._versions(name).read(base, touched)), touched=touched, in_place=in_place)
 
     def _change_where(self, name: str, hit, change, everyone: bool = False) -> int:
-        """_change of the buckets that have a row that is hit."""
+        """_change of the buckets that have a row that is hit, row by row."""
         versions, base = self._base(name)
         rows = versions.read(base, None if everyone else versions.group_of(self.tenant))
-        return self._change(name, change, versions.buckets_of(rows.where(hit)))
+        return self._change(name, change, versions.buckets_of(rows.where(hit)), in_place=True)
 
     # reading
 
@@ -151,7 +151,8 @@ class Workspace:
     def _line_edit(self, change, document: str, line: dict) -> int:
         schema = "tenant string, doc_id string, line " + schemas.LINE.simpleString()
         row = (self.tenant, document, tuple(line.get(n) for n in schemas.LINE.names))
-        return self._change_document(document, lambda docs: change(docs, self.spark.createDataFrame([row], schema)))
+        # the one edit goes to the documents, which stay where they are
+        return self._change_document(document, lambda docs: change(docs, F.broadcast(self.spark.createDataFrame([row], schema))))
 
     def append_line(self, document: str, line: dict) -> int:
         return self._line_edit(mutations.append_lines, document, line)

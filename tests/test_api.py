@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_sources import BODY, CODE, LINE, invoice
 
 from millrace.api import Workspace, health
-from millrace.sources.tables import Conflict
+from millrace.sources.tables import Conflict, Versions
 
 NOW = datetime(2024, 3, 2)
 
@@ -72,3 +72,29 @@ def test_unique_keys_are_kept_on_write(spark, tmp_path):
     w.edit("users", mine.where("email = 'x@m'").withColumn("email", F.lit("w@m")))
     w.edit("users", w.rows("users").where("email = 'w@m'"))
     assert sorted(str(r.email) for r in w.rows("users").collect()) == ["None", "None", "w@m", "y@m"]
+
+
+def test_changes_of_rows_leave_them_in_place(spark, tmp_path, monkeypatch):
+    """A change of some rows, line edits too, is written by the tasks that read them: nothing is shuffled but the edit."""
+    doc = "named_struct('id', cast(id as string), 'type', '1', 'number', cast(id as string), 'date', '2024-01-01', 'sender', 's', 'lines', array({}), 'taxable', cast(null as double), 'discount', cast(null as string), 'vat', cast(null as string), 'total', 1.0D)"
+    line = "named_struct('line_id', 'L', 'master_id', cast(id as string), 'code', 'c', 'description', '', 'quantity', cast(1 as decimal(28,10)), 'unit', '', 'taxable', cast(1 as decimal(28,10)), 'vat', '', 'total', cast(1 as decimal(28,10)))"
+    content = f"named_struct('model_name', 'm', 'file_name', 'f', 'document', {doc.format(line)})"
+    docs = spark.range(200).selectExpr("id", "'f' file_name", "timestamp_ntz'2024-01-01' created", f"{content} content", "cast(null as binary) attachment", "concat('t', id % 4) tenant", "0 state")
+    w = Workspace(spark, str(tmp_path / "w"), "t1")
+    w.commit("docs", docs)
+    plans, append = [], Versions.append
+
+    def watched(self, df, *args, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return append(self, df, *args, **how)
+
+    monkeypatch.setattr(Versions, "append", watched)
+    monkeypatch.setattr(type(docs), "hint", lambda self, name, *columns: pytest.fail(f"{name} of rows that stay where they are"))
+    w.set_state("1", 1)
+    w.append_line("5", {"line_id": "new", "code": "Z"})
+    w.replace_line("9", {"line_id": "l", "code": "R"})
+    w.remove_line("13", "L")
+    w.remove_document(state=-1, number="17")
+    assert len(plans) == 5 and not any("SortMergeJoin" in p for p in plans)
+    got = {r["id"]: (r["state"], [x["code"] for x in r["content"]["document"]["lines"]]) for r in w.table("docs").collect()}
+    assert got == {k: (int(k == 1), {5: ["c", "Z"], 9: ["R"], 13: []}.get(k, ["c"])) for k in range(200) if k != 17}
