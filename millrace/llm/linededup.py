@@ -41,6 +41,8 @@ MAPS = [f"p{k}" for k in range(PARITIES // 64)]
 PAIRS_A_LINE, ROUND_LEAVES = 4, 0.75
 #: Lines of a group's largest component that a round compares the others with.
 PROBES = 8
+#: Characters of lines whose shingles are worked out at once.
+PART = 1 << 14
 #: Bytes of text whose equal lines are signed once.
 SIGN_BYTES = 1_000_000
 
@@ -49,26 +51,56 @@ def _lines(text: str | None) -> list[str]:
     return [x.strip() for x in (text or "").lower().split("\n")]
 
 
-def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every line's shingles end to end, and each one's line; lines have SHINGLE characters at least."""
-    hashes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the lines end to end, the places of those that reach from one line into the next, and where lines end; lines have SHINGLE characters at least."""
+    hashes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    hashes += np.uint64(1)
+    work = np.empty_like(hashes)
     # a polynomial over SHINGLE characters, by doubling
     step = 1
     while step < SHINGLE:
-        hashes = hashes[:-step] + hashes[step:] * np.uint64(pow(int(BASE), step, 2**64))
+        n = len(hashes) - step
+        np.multiply(hashes[step:], np.uint64(pow(int(BASE), step, 2**64)), out=work[:n])
+        hashes = hashes[:n]
+        hashes += work[:n]
         step *= 2
-    inside = owner[: len(hashes)] == owner[SHINGLE - 1 :]
-    return mix64(hashes[inside]), owner[: len(hashes)][inside]
+    _mix_in_place(hashes, work[: len(hashes)])
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    return hashes, (ends[:-1, None] - np.arange(1, SHINGLE)).ravel(), ends
+
+
+def _mix_in_place(x: np.ndarray, work: np.ndarray) -> None:
+    """mix64 without new arrays, of which a chunk would need a dozen."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=work)
+        x ^= work
+        if factor is not None:
+            x *= np.uint64(factor)
+
+
+def _parts(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Lines, and the first one's place, of PART characters or so, whose arrays stay in a core's cache."""
+    start = size = 0
+    for k, line in enumerate(lines):
+        size += len(line)
+        if size >= PART:
+            yield start, lines[start : k + 1]
+            start, size = k + 1, 0
+    if start < len(lines):
+        yield start, lines[start:]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys (BANDS 64-bit numbers) of each line."""
-    hashes, owner = _shingles(lines)
     none = np.uint64(2**64 - 1)
-    least = np.full(len(lines) * BINS, none)
-    np.minimum.at(least, owner * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(5))
-    least = least.reshape(len(lines), BINS)
+    least = np.full((len(lines), BINS), none)
+    for start, part in _parts(lines):
+        hashes, across, ends = _shingles(part)
+        bins = np.repeat(np.arange(0, len(part) * BINS, BINS), np.diff(ends, prepend=0))[: len(hashes)]
+        bins += (hashes & np.uint64(BINS - 1)).view(np.int64)
+        hashes >>= np.uint64(5)
+        hashes[across] = none  # the least of a bin is what it was
+        np.minimum.at(least[start : start + len(part)].reshape(-1), bins, hashes)
     # an empty bin takes what the last full bin before it has, going round
     twice = np.concatenate((least, least), axis=1)
     last = np.maximum.accumulate(np.where(twice != none, np.arange(2 * BINS), -1), axis=1)[:, BINS:]
@@ -87,9 +119,8 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """Each line's sorted distinct shingles."""
     if not lines:
         return []
-    hashes, owner = _shingles(lines)
-    ends = np.cumsum(np.bincount(owner, minlength=len(lines)))
-    return [distinct(x) for x in np.split(hashes, ends[:-1])]
+    hashes, _, ends = _shingles(lines)
+    return [distinct(hashes[a : b - SHINGLE + 1]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def set_sizes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +129,16 @@ def set_sizes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     A bit is the parity of the number of shingles that fall to it: where two
     lines' bits differ, a shingle is in one of them only.
     """
-    sets = shingle_sets(lines)
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes = np.zeros(len(lines), np.int64)
     maps = np.zeros((len(lines), PARITIES // 64), np.int64)
-    for k, s in enumerate(sets):
-        odd = np.bincount((s >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
-        maps[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    for start, part in _parts(lines):
+        sets = shingle_sets(part)
+        own = slice(start, start + len(part))
+        sizes[own] = [len(s) for s in sets]
+        bits = (np.concatenate(sets) >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64)
+        bits += np.repeat(np.arange(0, len(part) * PARITIES, PARITIES), sizes[own])
+        odd = (np.bincount(bits, minlength=len(part) * PARITIES) & 1).astype(np.uint8)
+        maps[own] = np.packbits(odd.reshape(len(part), PARITIES), axis=1).view(np.int64)
     return sizes, maps
 
 
@@ -114,40 +149,39 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _hashes(line: str) -> tuple[int, int]:
-    """Two signed 64-bit hashes of a line: of its class, and what tells different lines of one class apart."""
+def _hashes(lines: list[str]) -> np.ndarray:
+    """Two signed 64-bit hashes of each line: of its class, and what tells different lines of one class apart."""
     import xxhash
 
-    digest = xxhash.xxh3_128_digest(line.encode())
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(line.encode()) for line in lines]), "<i8").reshape(-1, 2)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batches, "text", SIGN_BYTES):
-        names: dict[str, tuple[int, int]] = {}
-        keys, checks, rows, numbers, fresh, fresh_at = [], [], [], [], [], []
+        names: dict[str, int] = {}
+        which, rows, numbers, fresh, fresh_at = [], [], [], [], []
         for row, text in enumerate(chunk.column(1).to_pylist()):
             for number, line in enumerate(_lines(text)):
                 if len(line) < MIN_CHARS:
                     continue
                 name = names.get(line)
                 if name is None:
-                    name = names[line] = _hashes(line)
+                    name = names[line] = len(names)
                     if len(line) >= SHINGLE:
                         fresh.append(line)
-                        fresh_at.append(len(keys))
-                keys.append(name[0])
-                checks.append(name[1])
+                        fresh_at.append(len(which))
+                which.append(name)
                 rows.append(row)
                 numbers.append(number)
+        both = _hashes(list(names))[np.array(which, np.int64)]
         bands = signatures(fresh).view(np.int64).ravel() if fresh else np.zeros(0, np.int64)
-        counts = np.zeros(len(keys), np.int64)
+        counts = np.zeros(len(which), np.int64)
         counts[fresh_at] = BANDS
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         rows = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), chunk.column(0).take(rows), chunk.column(2).take(rows), pa.array(numbers, pa.int32()),
+                pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), chunk.column(0).take(rows), chunk.column(2).take(rows), pa.array(numbers, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)),
             ],
             names=["key", "check", "doc_id", "text_key", "line", "bands"],
@@ -157,10 +191,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batches, "text", SIGN_BYTES):
         lines = list(dict.fromkeys(line for text in chunk.column(0).to_pylist() for line in _lines(text) if len(line) >= SHINGLE))
-        both = [_hashes(line) for line in lines]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64()), pa.array(lines, pa.string())], names=["key", "check", "content"]
-        )
+        both = _hashes(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(lines, pa.string())], names=["key", "check", "content"])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +168,22 @@ def test_lines_of_two_texts_under_one_id(spark):
     assert got == ["A line", "B alone\nthird text", "second text"]
 
 
+def test_lines_are_signed_part_by_part():
+    """What signing 2 million characters holds at once is of a part of them, and each line gets what it gets alone."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("abcdefgh é\U0001f600", k=1000)) for _ in range(2000)] + ["12345678", "x" * 3 * linededup.PART]
+    tracemalloc.start()
+    try:
+        keys, (sizes, maps) = linededup.signatures(lines), linededup.set_sizes(lines)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24_000_000
+    for k in (0, 7, 1999, 2000, 2001):
+        n, own = linededup.set_sizes([lines[k]])
+        assert (keys[k] == linededup.signatures([lines[k]])[0]).all() and sizes[k] == n[0] and (maps[k] == own[0]).all()
+
+
 def test_line_sets_and_parities_are_exact():
     lines = [prose(rnd.randint(3, 60)) for _ in range(80)] + ["\U0001f600é" * 8, "x" * 500]
     lines += [edited(x, 2) for x in lines[:40]]
