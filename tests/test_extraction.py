@@ -137,3 +137,33 @@ def test_files_are_opened_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(services.files, "uploads", counted)
     out = services.extracted_documents(spark, str(tmp_path)).collect()
     assert sum(r.files for r in out) == 24 and opened.value == 40
+
+
+def test_the_driver_holds_no_list_of_dropped_files(spark, tmp_path):
+    drop = tmp_path / "a drop"
+    for place in ("one.PDF", "b/two.xml", "b/c d/thrée%20.Xml", "b/c d/four", "b/_no/five.xml", "_k=1/six.txt", ".seven.pdf", "b/_eight.pdf", "nine._COPYING_", "b/empty.pdf", "b/_metadata.xml"):
+        (drop / place).parent.mkdir(parents=True, exist_ok=True)
+        (drop / place).write_bytes(b"" if "empty" in place else place.encode())
+    (drop / "nothing").mkdir()
+    for k in range(300):
+        (drop / f"b/{k}.txt").write_bytes(b"%d" % k)
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(drop))
+    got = files.uploads(spark, str(drop))
+    rows = lambda df: sorted((r.path, r.length, bytes(r.content)) for r in df.select("path", "length", "content").collect())
+    assert rows(got) == rows(plain) and got.count() == 305
+    assert {r.path.rsplit("/", 1)[1]: r.kind for r in got.where("kind is not null").collect()} == {"one.PDF": "pdf", "two.xml": "xml", "thrée%20.Xml": "xml"}
+    # neither a file nor a part for every few of them is the driver's
+    assert plain.inputFiles() and not any("drop" in p for p in got.inputFiles())
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < plain.rdd.getNumPartitions()
+
+
+def test_paths_that_are_no_folder_are_read_as_before(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    for name in ("a.pdf", "b.pdf", "c.xml"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "none").mkdir()
+    read = lambda path: sorted(bytes(r.content) for r in files.uploads(spark, str(path)).collect())
+    assert read(tmp_path / "a.pdf") == [b"a.pdf"] and read(tmp_path / "*.pdf") == [b"a.pdf", b"b.pdf"] and read(tmp_path / "none") == []
+    with pytest.raises(AnalysisException):
+        read(tmp_path / "missing")
