@@ -167,3 +167,15 @@ def test_paths_that_are_no_folder_are_read_as_before(spark, tmp_path):
     assert read(tmp_path / "a.pdf") == [b"a.pdf"] and read(tmp_path / "*.pdf") == [b"a.pdf", b"b.pdf"] and read(tmp_path / "none") == []
     with pytest.raises(AnalysisException):
         read(tmp_path / "missing")
+
+
+def test_files_to_extract_are_listed_by_tasks_and_opened_in_few(spark, tmp_path, monkeypatch):
+    from millrace.plans import services
+
+    spark.createDataFrame([(k, f"text {k % 90}") for k in range(200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given = []
+    plain = services.files.uploads
+    monkeypatch.setattr(services.files, "uploads", lambda *args: given.append(plain(*args)) or given[-1])
+    out = services.extracted_documents(spark, str(tmp_path)).collect()
+    assert sum(r.files for r in out) == 120 and len(given) == 1
+    assert not any("/drop/" in p for p in given[0].inputFiles()) and given[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
